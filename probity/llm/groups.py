@@ -116,7 +116,7 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
     labels = entity_labels(edges, "pid", "entity").withColumnRenamed("record", "pid")
     folds = cut(mapping.where("fold_minmove is not null and pid is not null").select("pid", "fold_minmove").distinct().join(labels, "pid"))
     torn = folds.groupBy("label").agg(F.min("fold_minmove").alias("lo"), F.max("fold_minmove").alias("hi")).where("lo < hi").select("label")
-    torn_folds = folds.join(torn, "label", "left_semi")
+    torn_folds = folds.join(torn, "label", "left_semi").select("pid", "fold_minmove", "label")
     left, right = torn_folds.toDF("patient_a", "fold_a", "label"), torn_folds.toDF("patient_b", "fold_b", "label")
     return left.join(right, "label").where("patient_a < patient_b and fold_a != fold_b").select("patient_a", "patient_b").distinct()
 

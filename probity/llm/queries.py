@@ -15,18 +15,18 @@ WITH RECURSIVE m AS (
   SELECT {_PLAIN_IMAGE.format('image_a')} AS a, {_PLAIN_IMAGE.format('image_b')} AS b
   FROM near_duplicate_candidates WHERE ncc_full >= 0.99 AND NOT isnan(ncc_full)),
 e AS (SELECT a AS u, b AS v FROM m WHERE a <> b UNION SELECT b, a FROM m WHERE a <> b),
-walk AS (SELECT u AS vertex, u AS at FROM e UNION SELECT w.vertex, e.v FROM walk w JOIN e ON w.at = e.u)
-SELECT min(at) AS group_id, vertex AS image_id FROM walk GROUP BY vertex"""
+walk AS (SELECT u AS vertex, u AS far FROM e UNION SELECT w.vertex, e.v FROM walk w JOIN e ON w.far = e.u)
+SELECT min(far) AS group_id, vertex AS image_id FROM walk GROUP BY vertex"""
 
 P2_SQL = f"""
 WITH RECURSIVE mp AS (SELECT {_IDS} AS pid, {_STEMS} AS plain, fold_minmove FROM proposed_pid_to_stem_mapping),
 t AS (SELECT pid, 'stem ' || plain AS entity FROM mp WHERE pid IS NOT NULL AND plain IS NOT NULL
   UNION SELECT {_IDS}, 'image ' || image_id FROM fixed_test_fold4 WHERE patient_id IS NOT NULL AND image_id IS NOT NULL),
 e AS (SELECT DISTINCT x.pid AS u, y.pid AS v FROM t x JOIN t y USING (entity) WHERE x.pid IS NOT NULL AND y.pid IS NOT NULL),
-walk AS (SELECT u AS pid, u AS at FROM e UNION SELECT w.pid, e.v FROM walk w JOIN e ON w.at = e.u),
+walk AS (SELECT u AS pid, u AS far FROM e UNION SELECT w.pid, e.v FROM walk w JOIN e ON w.far = e.u),
 f AS (SELECT DISTINCT pid, fold_minmove FROM mp WHERE fold_minmove IS NOT NULL AND pid IS NOT NULL)
 SELECT DISTINCT x.pid AS patient_a, y.pid AS patient_b
-FROM walk w JOIN f x ON x.pid = w.pid JOIN f y ON y.pid = w.at
+FROM walk w JOIN f x ON x.pid = w.pid JOIN f y ON y.pid = w.far
 WHERE x.pid < y.pid AND x.fold_minmove <> y.fold_minmove"""
 
 
