@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .sources import drift
+
 FLAGSHIP = "point_metrics"
 
 
 def queries() -> dict:
-    return {}
+    return drift.queries()
 
 
 def oracle_sql() -> dict[str, str]:
