@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import groups
+from . import groups, overlap
 
 _PLAIN_IMAGE = r"try_cast(nullif(regexp_extract(trim({0}, ' ' || chr(9) || chr(10) || chr(13)), '^(?:.*/)?0*([0-9]{{1,18}})(?:\.mat|\.0+)?$', 1), '') AS BIGINT)"
 _BARE = r"upper(regexp_replace({0}, '[\s\-]', '', 'g'))"
@@ -30,8 +30,28 @@ FROM walk w JOIN f x ON x.pid = w.pid JOIN f y ON y.pid = w.far
 WHERE x.pid < y.pid AND x.fold_minmove <> y.fold_minmove"""
 
 
+P1_SQL = """
+WITH seen AS (SELECT image_id, max(raw_array_hash) AS h1, max(canonical_image_hash) AS h2, max(display_hash) AS h3, max(thumb) AS thumb
+  FROM image_manifest WHERE readable GROUP BY image_id),
+x AS (SELECT image_id, unnest(thumb)::DOUBLE AS v, generate_subscripts(thumb, 1) AS k FROM seen WHERE thumb IS NOT NULL),
+m AS (SELECT image_id, avg(v) AS mean, sqrt(var_pop(v) * count(*)) AS norm FROM x GROUP BY image_id),
+u AS MATERIALIZED (SELECT x.image_id, list((v - mean) / norm ORDER BY k) AS u FROM x JOIN m USING (image_id) WHERE norm > 1e-9 GROUP BY x.image_id),
+h AS (SELECT * FROM seen WHERE image_id IN (SELECT image_id FROM fixed_test_fold4)),
+t AS (SELECT * FROM seen WHERE image_id IN (SELECT image_id FROM train_fold4)),
+p AS (
+  SELECT image_id AS a, image_id AS b FROM h WHERE image_id IN (SELECT image_id FROM t)
+  UNION SELECT h.image_id, t.image_id FROM h JOIN t ON h.h1 = t.h1
+  UNION SELECT h.image_id, t.image_id FROM h JOIN t ON h.h2 = t.h2
+  UNION SELECT h.image_id, t.image_id FROM h JOIN t ON h.h3 = t.h3
+  UNION SELECT x.image_id, y.image_id FROM u x JOIN u y ON list_inner_product(x.u, y.u) >= 0.97
+  WHERE x.image_id IN (SELECT image_id FROM h) AND y.image_id IN (SELECT image_id FROM t))
+SELECT DISTINCT least(a, b) AS image_a, greatest(a, b) AS image_b FROM p"""
+
+
 def queries() -> dict:
     return {
+        "p1_found": overlap.p1_found,
+        "p1_counts": overlap.p1_counts,
         "p2_found": groups.p2_found,
         "p2_splits": groups.p2_splits,
         "p2_balance": groups.p2_balance,
@@ -42,6 +62,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": P1_SQL,
         "p2_found": P2_SQL,
         "p3_found": P3_SQL,
         "p3_group_sizes": f"SELECT n_images, count(*) AS n_groups FROM (SELECT group_id, count(*) AS n_images FROM ({P3_SQL}) GROUP BY group_id) GROUP BY n_images",
