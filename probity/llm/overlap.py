@@ -81,7 +81,7 @@ def _lists(df: DataFrame, basis: np.ndarray, lead: int, width: float, reach: flo
     """(list, id, payload): the list of each vector, or with reach every list that may hold a partner."""
     steps = int(math.ceil((reach or 0) / width)) + 1
     offsets = np.array(list(itertools.product(range(-steps, steps + 1), repeat=lead)), dtype=np.int64) if reach else np.zeros((1, lead), dtype=np.int64)
-    radix = 2 * int(math.ceil(1 / width)) + 2 * steps + 3
+    radix = 2 * int(math.ceil(4 / width)) + 1  # more than there are levels, the same for both sides
 
     def assign(batches):
         for pdf in batches:
