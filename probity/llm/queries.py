@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import groups, overlap
+from . import groups, neighbours, overlap
 
 _PLAIN_IMAGE = r"try_cast(nullif(regexp_extract(trim({0}, ' ' || chr(9) || chr(10) || chr(13)), '^(?:.*/)?0*([0-9]{{1,18}})(?:\.mat|\.0+)?$', 1), '') AS BIGINT)"
 _BARE = r"upper(regexp_replace({0}, '[\s\-]', '', 'g'))"
@@ -48,6 +48,16 @@ p AS (
 SELECT DISTINCT least(a, b) AS image_a, greatest(a, b) AS image_b FROM p"""
 
 
+P5_SQL = """
+WITH seen AS (SELECT image_id, max(thumb) AS thumb FROM image_manifest WHERE thumb IS NOT NULL AND image_id IS NOT NULL GROUP BY image_id),
+x AS (SELECT image_id, unnest(thumb)::DOUBLE AS v, generate_subscripts(thumb, 1) AS k FROM seen),
+m AS (SELECT image_id, avg(v) AS mean, sqrt(var_pop(v) * count(*)) AS norm FROM x GROUP BY image_id),
+u AS MATERIALIZED (SELECT x.image_id, list((v - mean) / norm ORDER BY k) AS u FROM x JOIN m USING (image_id) WHERE norm > 1e-9 GROUP BY x.image_id),
+s AS (SELECT a.image_id AS a, b.image_id AS b, round(list_inner_product(a.u, b.u), 6) AS sim FROM u a JOIN u b ON a.image_id <> b.image_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM s WHERE sim >= 0.8)
+SELECT DISTINCT least(a, b) AS image_a, greatest(a, b) AS image_b FROM r WHERE n <= 5"""
+
+
 def queries() -> dict:
     return {
         "p1_found": overlap.p1_found,
@@ -57,6 +67,8 @@ def queries() -> dict:
         "p2_balance": groups.p2_balance,
         "p3_found": groups.p3_found,
         "p3_group_sizes": groups.p3_group_sizes,
+        "p5_found": neighbours.p5_found,
+        "p5_nn_similarity": neighbours.p5_nn_similarity,
     }
 
 
@@ -65,5 +77,6 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": P1_SQL,
         "p2_found": P2_SQL,
         "p3_found": P3_SQL,
+        "p5_found": P5_SQL,
         "p3_group_sizes": f"SELECT n_images, count(*) AS n_groups FROM (SELECT group_id, count(*) AS n_images FROM ({P3_SQL}) GROUP BY group_id) GROUP BY n_images",
     }
