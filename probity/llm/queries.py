@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import groups, neighbours, overlap
+from . import encode, groups, neighbours, overlap
 
 _PLAIN_IMAGE = r"try_cast(nullif(regexp_extract(trim({0}, ' ' || chr(9) || chr(10) || chr(13)), '^(?:.*/)?0*([0-9]{{1,18}})(?:\.mat|\.0+)?$', 1), '') AS BIGINT)"
 _BARE = r"upper(regexp_replace({0}, '[\s\-]', '', 'g'))"
@@ -69,6 +69,8 @@ def queries() -> dict:
         "p3_group_sizes": groups.p3_group_sizes,
         "p5_found": neighbours.p5_found,
         "p5_nn_similarity": neighbours.p5_nn_similarity,
+        "p6_ids": encode.p6_ids,
+        "p6_fertility": encode.p6_fertility,
     }
 
 
