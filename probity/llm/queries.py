@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import encode, groups, neighbours, overlap, truncated
+from . import encode, groups, mixing, neighbours, overlap, truncated
 
 _PLAIN_IMAGE = r"try_cast(nullif(regexp_extract(trim({0}, ' ' || chr(9) || chr(10) || chr(13)), '^(?:.*/)?0*([0-9]{{1,18}})(?:\.mat|\.0+)?$', 1), '') AS BIGINT)"
 _BARE = r"upper(regexp_replace({0}, '[\s\-]', '', 'g'))"
@@ -71,6 +71,8 @@ def queries() -> dict:
         "p5_nn_similarity": neighbours.p5_nn_similarity,
         "p6_ids": encode.p6_ids,
         "p6_fertility": encode.p6_fertility,
+        "p7_mix": mixing.p7_mix,
+        "p7_shares": mixing.p7_shares,
         "p8_found": truncated.p8_found,
         "p8_rates": truncated.p8_rates,
     }
