@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from .operators import bootstrap, metrics, ranking, screening, splits
 from .sources import drift
 
 FLAGSHIP = "point_metrics"
+MODULES = (metrics, bootstrap, ranking, splits, screening, drift)
 
 
 def queries() -> dict:
-    return drift.queries()
+    return {name: q for m in MODULES for name, q in m.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES if hasattr(m, "oracle_sql") for name, sql in m.oracle_sql().items()}
