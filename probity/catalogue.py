@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .operators import bootstrap, design, metrics, ranking, screening, splits
+from .operators import bootstrap, design, metrics, ranking, registry, screening, splits
 from .sources import drift
 
 FLAGSHIP = "point_metrics"
-MODULES = (metrics, bootstrap, ranking, splits, screening, design, drift)
+MODULES = (metrics, bootstrap, ranking, splits, screening, design, registry, drift)
 
 
 def queries() -> dict:
