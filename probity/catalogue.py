@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .operators import bootstrap, design, metrics, ranking, registry, screening, splits
-from .sources import drift
+from .sources import drift, files
+from .streaming import sums
 
 FLAGSHIP = "point_metrics"
-MODULES = (metrics, bootstrap, ranking, splits, screening, design, registry, drift)
+MODULES = (metrics, bootstrap, ranking, splits, screening, design, registry, drift, files, sums)
 
 
 def queries() -> dict:
