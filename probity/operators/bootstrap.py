@@ -23,20 +23,30 @@ METRICS = ["balanced_accuracy", "macro_f1", "accuracy", "ece", "brier"]
 BY = ["model", "arm"]
 
 
-def cluster_sums(pred: DataFrame, unit: str, by: list[str] = BY) -> tuple[DataFrame, DataFrame]:
-    """The sums of each cluster: (by, unit, nine cells, n, s_brier) and, by bin, (by, unit, bin, n, s_conf, s_correct)."""
-    s = m.scored(m.with_cells(pred))
-    flat = s.groupBy(*by, unit).agg(*(F.sum(c).alias(c) for c in m.CELLS), F.count("*").cast("double").alias("n"), F.sum("brier").alias("s_brier"))
-    return flat, m.bin_sums(pred, [*by, unit])
+def cluster_sums(pred: DataFrame, unit: str, by: list[str] = BY) -> DataFrame:
+    """(by, unit, bin, nine cells, n, s_conf, s_correct, s_brier): one pass over the rows."""
+    return m.scored(m.with_cells(pred)).groupBy(*by, unit, "bin").agg(
+        *(F.sum(c).alias(c) for c in m.CELLS), F.count("*").cast("double").alias("n"), F.sum("confidence").alias("s_conf"), F.sum("correct").alias("s_correct"), F.sum("brier").alias("s_brier"))
 
 
-def replicates(pred: DataFrame, weights: DataFrame, unit: str, by: list[str] = BY) -> DataFrame:
-    """(rep, by, METRICS): every replicate's metrics."""
-    flat, bins = cluster_sums(pred, unit, by)
-    key = ["rep", *by]
-    sums = weights.join(flat, unit).groupBy(*key).agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in [*m.CELLS, "n", "s_brier"]))
-    binned = weights.join(bins, unit).groupBy(*key, "bin").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in ("n", "s_conf", "s_correct")))
-    return m.from_cells(sums).withColumn("brier", div("s_brier", "n")).join(m.ece_of(binned, key), key).select(*key, *METRICS)
+SUMS = [*m.CELLS, "n", "s_conf", "s_correct", "s_brier"]
+
+
+def from_sums(per_bin: DataFrame, key: list[str]) -> DataFrame:
+    """key, METRICS: from sums by (key, bin)."""
+    per = per_bin.groupBy(*key).agg(*(F.sum(c).alias(c) for c in [*m.CELLS, "n", "s_brier"]), F.sum(F.abs(F.col("s_correct") - F.col("s_conf"))).alias("gap"))
+    return m.from_cells(per).withColumns({"brier": div("s_brier", "n"), "ece": div("gap", "n")}).select(*key, *METRICS)
+
+
+def point(sums: DataFrame, by: list[str] = BY) -> DataFrame:
+    """by, METRICS: of all rows."""
+    return from_sums(sums.groupBy(*by, "bin").agg(*(F.sum(c).alias(c) for c in SUMS)), by)
+
+
+def replicates(sums: DataFrame, weights: DataFrame, unit: str, by: list[str] = BY) -> DataFrame:
+    """(rep, by, METRICS): every replicate's metrics, from one join of draws and sums."""
+    drawn = weights.join(sums, unit).groupBy("rep", *by, "bin").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in SUMS))
+    return from_sums(drawn, ["rep", *by])
 
 
 def interval(x: str) -> list[Column]:
@@ -88,8 +98,13 @@ def _clusters(spark, d):
     return fx.units(spark, d).groupBy("cluster_id").agg(F.min("true_class").alias("true_class"))
 
 
-def _reps(spark, d, salt=2026):
-    return cut(replicates(_pred(spark, d), fx.draws(_clusters(spark, d), "cluster_id", "true_class", salt=salt), "cluster_id"))
+def _sums(spark, d):
+    return cut(cluster_sums(_pred(spark, d), "cluster_id"))
+
+
+def _reps(spark, d, salt=2026, sums=None):
+    sums = _sums(spark, d) if sums is None else sums
+    return cut(replicates(sums, fx.draws(_clusters(spark, d), "cluster_id", "true_class", salt=salt), "cluster_id"))
 
 
 def _round(df, *columns):
@@ -99,7 +114,7 @@ def _round(df, *columns):
 # --- queries --------------------------------------------------------------------------------------------------
 
 def q_cluster_sums(spark, d):
-    flat, _ = cluster_sums(_pred(spark, d), "cluster_id")
+    flat = _sums(spark, d).groupBy(*BY, "cluster_id").agg(*(F.sum(c).alias(c) for c in SUMS))
     return _round(flat.select(*BY, "cluster_id", *(F.col(c).cast("bigint").alias(c) for c in m.CELLS), F.col("n").cast("bigint").alias("n"), "s_brier"), "s_brier")
 
 
@@ -114,17 +129,19 @@ def q_draw_totals(spark, d):
 
 def q_bootstrap_ci(spark, d):
     """(model, arm, metric, estimate, ci_lo, ci_hi)."""
-    reps = long_metrics(_reps(spark, d), ["rep", *BY])
-    point = long_metrics(m.summary(_pred(spark, d), BY), BY).withColumnRenamed("value", "estimate")
-    return _round(reps.groupBy(*BY, "metric").agg(*interval("value")).join(point, [*BY, "metric"]), "estimate", "ci_lo", "ci_hi")
+    sums = _sums(spark, d)
+    reps = long_metrics(_reps(spark, d, sums=sums), ["rep", *BY])
+    whole = long_metrics(point(sums), BY).withColumnRenamed("value", "estimate")
+    return _round(reps.groupBy(*BY, "metric").agg(*interval("value")).join(whole, [*BY, "metric"]), "estimate", "ci_lo", "ci_hi")
 
 
 def q_protocol_difference(spark, d):
     """B minus A by model and metric, its interval, how often it is above 0, p, and the decision."""
-    point = paired(long_metrics(m.summary(_pred(spark, d), BY), BY), ["model", "metric"]).select("model", "metric", F.col("difference").alias("estimate"))
-    reps = paired(long_metrics(_reps(spark, d), ["rep", *BY]), ["rep", "model", "metric"])
+    sums = _sums(spark, d)
+    whole = paired(long_metrics(point(sums), BY), ["model", "metric"]).select("model", "metric", F.col("difference").alias("estimate"))
+    reps = paired(long_metrics(_reps(spark, d, sums=sums), ["rep", *BY]), ["rep", "model", "metric"])
     s = reps.groupBy("model", "metric").agg(*interval("difference"), F.avg((F.col("difference") > 0).cast("double")).alias("share_up"), p_two_sided("difference").alias("p"))
-    s = _round(s.join(point, ["model", "metric"]), "estimate", "ci_lo", "ci_hi", "share_up", "p")
+    s = _round(s.join(whole, ["model", "metric"]), "estimate", "ci_lo", "ci_hi", "share_up", "p")
     outside = (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0)
     return s.withColumns({
         "excludes_0": outside,
@@ -133,10 +150,11 @@ def q_protocol_difference(spark, d):
 
 def q_pairwise_difference(spark, d):
     """Left minus right model by arm and metric, with interval, share above 0, p and Holm's p within an arm and metric."""
-    point = model_pairs(long_metrics(m.summary(_pred(spark, d), BY), BY), ["arm", "metric"]).withColumnRenamed("difference", "estimate")
-    reps = model_pairs(long_metrics(_reps(spark, d), ["rep", *BY]), ["rep", "arm", "metric"])
+    sums = _sums(spark, d)
+    whole = model_pairs(long_metrics(point(sums), BY), ["arm", "metric"]).withColumnRenamed("difference", "estimate")
+    reps = model_pairs(long_metrics(_reps(spark, d, sums=sums), ["rep", *BY]), ["rep", "arm", "metric"])
     s = reps.groupBy("arm", "metric", "left", "right").agg(*interval("difference"), F.avg((F.col("difference") > 0).cast("double")).alias("share_left"), p_two_sided("difference").alias("p"))
-    s = _round(s.join(point, ["arm", "metric", "left", "right"]), "estimate", "ci_lo", "ci_hi", "share_left", "p")
+    s = _round(s.join(whole, ["arm", "metric", "left", "right"]), "estimate", "ci_lo", "ci_hi", "share_left", "p")
     return _round(holm(s, "p", ["arm", "metric"], ["left", "right"]), "p_holm")
 
 
@@ -178,7 +196,7 @@ def q_stem_bootstrap(spark, d):
     code = F.when(F.col("stem").startswith("MR"), F.regexp_extract("stem", "([0-9]{6})", 1).cast("bigint") + 10_000_000).otherwise(F.col("stem").try_cast("bigint"))
     pred = pred.withColumn("code", code)
     stems = fx.units(spark, d).withColumn("stem", strict_stem("pid")).withColumn("code", code).groupBy("code").agg(F.min("true_class").alias("true_class"))
-    reps = replicates(pred, fx.draws(stems, "code", "true_class"), "code")
+    reps = replicates(cluster_sums(pred, "code"), fx.draws(stems, "code", "true_class"), "code")
     diff = paired(long_metrics(reps, ["rep", *BY], ["balanced_accuracy", "accuracy"]), ["rep", "model", "metric"])
     return _round(diff.groupBy("model", "metric").agg(F.avg("difference").alias("mean"), *interval("difference")), "mean", "ci_lo", "ci_hi")
 
@@ -188,14 +206,15 @@ def q_unchanged_fold_difference(spark, d):
     folds = fx.row_folds(fx.units(spark, d)).select("unit_id", (F.col("fold_b") == F.col("fold_a")).alias("same"))
     pred = _pred(spark, d).join(folds, "unit_id").withColumn("subset", F.explode(F.when(F.col("same"), F.array(F.lit("all"), F.lit("same fold"))).otherwise(F.array(F.lit("all")))))
     w = fx.draws(_clusters(spark, d), "cluster_id", "true_class")
-    reps = replicates(pred, w, "cluster_id", [*BY, "subset"])
+    reps = replicates(cluster_sums(pred, "cluster_id", [*BY, "subset"]), w, "cluster_id", [*BY, "subset"])
     diff = paired(long_metrics(reps, ["rep", *BY, "subset"], ["balanced_accuracy", "macro_f1"]), ["rep", "model", "subset", "metric"])
     return _round(diff.groupBy("model", "subset", "metric").agg(F.avg("difference").alias("mean"), *interval("difference")), "mean", "ci_lo", "ci_hi")
 
 
 def q_fresh_draws(spark, d):
     """The intervals of a second, independent set of draws against the first, within a tolerance of 0.03."""
-    ci = lambda salt, tag: long_metrics(_reps(spark, d, salt), ["rep", *BY]).groupBy(*BY, "metric").agg(*(c.alias(f"{n}_{tag}") for c, n in zip(interval("value"), ("lo", "hi"))))
+    sums = _sums(spark, d)
+    ci = lambda salt, tag: long_metrics(_reps(spark, d, salt, sums), ["rep", *BY]).groupBy(*BY, "metric").agg(*(c.alias(f"{n}_{tag}") for c, n in zip(interval("value"), ("lo", "hi"))))
     both = ci(2026, "a").join(ci(777, "b"), [*BY, "metric"])
     far = F.greatest(F.abs(F.col("lo_a") - F.col("lo_b")), F.abs(F.col("hi_a") - F.col("hi_b")))
     return _round(both.groupBy("metric").agg(F.count("*").alias("n"), F.max(far).alias("max_difference")), "max_difference").withColumn("stable", F.col("max_difference") <= F.lit(0.03))
@@ -269,7 +288,7 @@ def q_dose_slope(spark, d):
 def q_masked_did(spark, d):
     """B minus A on exposed clusters minus the same on the others: masks on one set of draws, not new draws."""
     ex = exposure(spark, d).groupBy("cluster_id").agg((F.round(F.avg("frac_other_train"), 6) >= F.lit(0.8)).alias("exposed"))
-    flat, _ = cluster_sums(_pred(spark, d), "cluster_id")
+    flat = _sums(spark, d)
     w = fx.draws(_clusters(spark, d), "cluster_id", "true_class").join(ex.na.fill(False), "cluster_id")
     reps = m.from_cells(w.join(flat, "cluster_id").groupBy("rep", *BY, "exposed").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in m.CELLS)))
     diff = paired(reps.select("rep", *BY, "exposed", F.col("balanced_accuracy").alias("value")), ["rep", "model", "exposed"])

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import div
-from ..plans import fixtures as fx
 from . import bootstrap as b
 from . import metrics as m
 
@@ -48,12 +47,12 @@ def orders(values: DataFrame, key: list[str]) -> DataFrame:
     return ordered.select(*key, F.col("ms")[0]["model"].alias("first"), F.array_join(F.transform("ms", lambda s: s["model"]), ">").alias("models"))
 
 
-def _point(spark, d):
-    return b.long_metrics(m.summary(fx.predictions(spark, d), b.BY), b.BY, TWO)
+def _point(spark, d, sums=None):
+    return b.long_metrics(b.point(b._sums(spark, d) if sums is None else sums), b.BY, TWO)
 
 
-def _values(spark, d):
-    return b.long_metrics(b._reps(spark, d), ["rep", *b.BY], TWO)
+def _values(spark, d, sums=None):
+    return b.long_metrics(b._reps(spark, d, sums=sums), ["rep", *b.BY], TWO)
 
 
 def q_rank_table(spark, d):
@@ -62,9 +61,10 @@ def q_rank_table(spark, d):
 
 def q_kendall(spark, d):
     """Tau between protocols: of the points, and its distribution over replicates."""
-    reps = tau(_values(spark, d), ["rep", "metric"])
+    sums = b._sums(spark, d)
+    reps = tau(_values(spark, d, sums), ["rep", "metric"])
     s = reps.groupBy("metric").agg(F.avg("tau").alias("mean_tau"), *b.interval("tau"), F.avg((F.col("tau") > 0).cast("double")).alias("share_positive"), F.avg((F.col("tau") > F.lit(1 - 1e-9)).cast("double")).alias("share_one"))
-    return m.rounded(s.join(tau(_point(spark, d), ["metric"]), "metric"), "mean_tau", "ci_lo", "ci_hi", "share_positive", "share_one", "tau")
+    return m.rounded(s.join(tau(_point(spark, d, sums), ["metric"]), "metric"), "mean_tau", "ci_lo", "ci_hi", "share_positive", "share_one", "tau")
 
 
 def q_top_frequency(spark, d):

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import centred, display_pixels, div, dot, pair_category
@@ -31,12 +33,12 @@ def pixel_hashes(df: DataFrame, row: str, pixels: str, shape: str) -> DataFrame:
         F.sha2(F.concat(F.lit(f"disp|{shape}|"), text(display_pixels(pixels))), 256).alias("display"))
 
 
-def exact_groups(df: DataFrame, row: str, key: str, flags: dict[str, str]) -> DataFrame:
+def exact_groups(df: DataFrame, row: str, key: list[str], flags: dict[str, str]) -> DataFrame:
     """key, first, n, and for each flag whether the group has several values: groups of two and more.
 
     The first member names the group. Members are not collected, so a group may be of any size.
     """
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(
+    return df.dropna(subset=key).groupBy(*key).agg(
         F.min(row).alias("first"), F.count("*").alias("n"), *((F.countDistinct(c) > 1).alias(name) for name, c in flags.items())).where("n > 1")
 
 
@@ -102,17 +104,44 @@ def hamming_join(hashes: DataFrame, row: str, most: int, bits: int = 64) -> Data
     return joined.where(F.col("band") == first).select("id_a", "id_b", F.bit_count("x").alias("distance"))
 
 
-def unit_vectors(df: DataFrame, row: str, vector: str, keep: list[str]) -> DataFrame:
-    """row, keep, u: vectors centred and scaled to length 1; constant ones are left out."""
-    x = df.withColumn("_c", centred(vector)).withColumn("_n", F.sqrt(dot(F.col("_c"), F.col("_c"))))
-    return x.where(F.col("_n") > F.lit(1e-12)).select(row, *keep, F.transform("_c", lambda v: v / F.col("_n")).alias("u"))
+def block_search(rows: DataFrame, row: str, vector: str, score, k: int, every: int = 50, block: int = 4096) -> DataFrame:
+    """(query, other, turn, ncc): each query's k best other rows; queries are the rows whose id is divisible by `every`.
 
-
-def search_blocks(rows: DataFrame, row: str, every: int = 50, blocks: int = 8) -> DataFrame:
-    """q (a struct of the query row) beside every other row: queries are the rows whose id is divisible by `every`."""
-    queries = rows.where(F.col(row) % every == 0).select(F.pmod(F.xxhash64(row), F.lit(blocks)).alias("_b"), F.struct("*").alias("q"))
-    spread = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("_b", F.col("_b").cast("bigint"))
-    return spread.join(queries, "_b").where(F.col(f"q.{row}") != F.col(row)).drop("_b")
+    Both sides are cut into hashed blocks of about `block` rows and each pair of blocks is one task's group;
+    score(q, x) gives a list of score matrices, one a turn. A block's k best are kept, then the k best of all;
+    ties go to the first turn, then the smaller id.
+    """
+    pieces = max(1, -(-rows.count() // block))
+    q_pieces = max(1, -(-rows.where(F.col(row) % every == 0).count() // block))
+    packed = rows.select(F.col(row).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = packed.where(F.col("id") % every == 0).withColumn("a", at(q_pieces)).withColumn("b", upto(pieces))
+    right = packed.withColumn("b", at(pieces)).withColumn("a", upto(q_pieces))
+
+    def best(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if len(q) and len(x):
+            ids, scores = x["id"].to_numpy(), score(units(q["v"]), units(x["v"]))
+            for i, query in enumerate(q["id"]):
+                for turn, s in enumerate(scores):
+                    ncc = np.round(s[i], 6)
+                    ok = np.nonzero((ids != query) & ~np.isnan(ncc))[0]
+                    top = ok[np.lexsort((ids[ok], -ncc[ok]))[:k]]
+                    parts.append(pd.DataFrame({"query": query, "other": ids[top], "turn": turn, "ncc": ncc[top]}))
+        return pd.concat(parts) if parts else pd.DataFrame({"query": [], "other": [], "turn": [], "ncc": []})
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, "query bigint, other bigint, turn int, ncc double")
+    order = Window.partitionBy("query").orderBy(F.desc("ncc"), "turn", "other")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def units(vectors) -> np.ndarray:
+    """Rows centred and scaled to length 1; constant rows become NaN."""
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    x -= x.mean(axis=1, keepdims=True)
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, n, out=np.full_like(x, np.nan), where=n > 1e-12)
 
 
 def dihedral(side: int) -> dict[str, list[int]]:
@@ -123,10 +152,6 @@ def dihedral(side: int) -> dict[str, list[int]]:
             "rot270": at(lambda i, j: (n - j) * s + i), "transpose": at(lambda i, j: j * s + i), "antitranspose": at(lambda i, j: (n - j) * s + n - i)}
 
 
-def permuted(v, order: list[int]) -> Column:
-    return F.transform(F.array(*(F.lit(i) for i in order)), lambda i: F.get(v, i))
-
-
 # --- queries -----------------------------------------------------------------------------------------------------------
 
 def q_thumb_hashes(spark, d):
@@ -135,12 +160,10 @@ def q_thumb_hashes(spark, d):
 
 
 def q_exact_groups(spark, d):
-    """Groups of equal images by each hash."""
-    im, out = images(spark, d), None
-    for kind in ("raw_array_hash", "canonical_image_hash", "display_hash"):
-        g = exact_groups(im, "image_id", kind, {"cross_patient": "patient_id", "cross_class": "label", "cross_fold": "fold"}).select(F.lit(kind).alias("kind"), F.col(kind).alias("hash"), "first", "n", "cross_patient", "cross_class", "cross_fold")
-        out = g if out is None else out.unionByName(g)
-    return out
+    """Groups of equal images by each hash, from one pass."""
+    kinds = ("raw_array_hash", "canonical_image_hash", "display_hash")
+    long = images(spark, d).select("image_id", "patient_id", "label", "fold", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(k).alias("hash")) for k in kinds))).alias("x")).select("*", "x.*").where("hash is not null")
+    return exact_groups(long, "image_id", ["kind", "hash"], {"cross_patient": "patient_id", "cross_class": "label", "cross_fold": "fold"})
 
 
 def q_hash_comparison(spark, d):
@@ -229,20 +252,17 @@ def q_phash_pairs(spark, d):
 
 def q_vector_search(spark, d):
     """The five nearest vectors of each query by correlation; ties by id."""
-    u = unit_vectors(_vectors(spark, d), "vec_id", "embedding", ["label"])
-    s = search_blocks(u, "vec_id").select(F.col("q.vec_id").alias("query"), F.col("vec_id").alias("other"), (F.col("q.label") == F.col("label")).alias("same_class"), F.round(dot(F.col("q.u"), F.col("u")), 6).alias("ncc"))
-    best = Window.partitionBy("query").orderBy(F.desc("ncc"), "other")
-    return s.withColumn("rank", F.row_number().over(best)).where("rank <= 5")
+    v = _vectors(spark, d)
+    near = block_search(v, "vec_id", "embedding", lambda q, x: [q @ x.T], 5)
+    label = v.select(F.col("vec_id").alias("other"), F.col("label").alias("l_other"))
+    return near.join(v.select(F.col("vec_id").alias("query"), "label"), "query").join(label, "other").select("query", "other", (F.col("label") == F.col("l_other")).alias("same_class"), "ncc", "rank")
 
 
 def q_dihedral(spark, d):
     """For each query, the vector and turn that fit best: correlation with seven turned copies; ties by turn, then id."""
-    turns = dihedral(SIDE)
-    u = unit_vectors(_vectors(spark, d), "vec_id", "embedding", [])
-    turned = u.withColumn("turns", F.array(*(F.struct(F.lit(i).alias("t"), F.lit(n).alias("name"), permuted(F.col("u"), o).alias("u")) for i, (n, o) in enumerate(turns.items()))))
-    s = search_blocks(turned, "vec_id").select(F.col("q.vec_id").alias("query"), F.col("vec_id").alias("other"), F.explode(F.transform("turns", lambda t: F.struct(t["t"].alias("t"), t["name"].alias("turn"), F.round(dot(F.col("q.u"), t["u"]), 6).alias("ncc")))).alias("x")).select("query", "other", "x.*")
-    best = s.groupBy("query").agg(F.max_by(F.struct("other", "turn", "ncc"), F.struct("ncc", -F.col("t"), -F.col("other"))).alias("b"))
-    return best.select("query", "b.*")
+    names, orders = list(dihedral(SIDE)), [np.array(o) for o in dihedral(SIDE).values()]
+    best = block_search(_vectors(spark, d), "vec_id", "embedding", lambda q, x: [q @ x[:, o].T for o in orders], 1)
+    return best.select("query", "other", F.get(F.array(*map(F.lit, names)), F.col("turn")).alias("turn"), "ncc")
 
 
 def q_verify_pairs(spark, d):
