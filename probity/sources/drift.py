@@ -33,6 +33,13 @@ FIELDS = {
 _SERIES, _SEQ = "run_series", "file_seq"
 
 
+def _plain(value: str) -> F.Column:
+    """A variant column as plain text."""
+    inner = F.expr(f"""CASE WHEN {value} IS NULL THEN NULL WHEN schema_of_variant({value}) LIKE 'OBJECT%' THEN coalesce(try_variant_get({value}, '$.value', 'string'), try_variant_get({value}, '$.hex', 'string'), to_json({value}))
+        WHEN schema_of_variant({value}) LIKE 'ARRAY%' THEN coalesce(try_variant_get({value}, '$[0]', 'string'), to_json({value})) ELSE try_variant_get({value}, '$', 'string') END""")
+    return F.when(inner.rlike("^(?i:true|false)$"), F.lower(inner)).when(inner.rlike("^-?[0-9]+,[0-9]+$"), F.replace(inner, F.lit(","), F.lit("."))).otherwise(inner)
+
+
 def read_fields(files: DataFrame, key: str = "image_id") -> DataFrame:
     """(run_series, file_seq, row_key, field, kind, content): one row a field of a readable record.
 
@@ -49,11 +56,7 @@ def read_fields(files: DataFrame, key: str = "image_id") -> DataFrame:
     kind = (F.when(F.col("shape") == "VOID", F.lit(None)).when(F.col("shape") == "STRING", F.lit("string"))
             .when(F.col("shape") == "BOOLEAN", F.lit("boolean")).when(F.col("shape") == "ARRAY", F.lit("array"))
             .when(F.col("shape") == "OBJECT", F.lit("object")).otherwise(F.lit("number")))
-    inner = F.expr("""CASE shape WHEN 'OBJECT' THEN coalesce(try_variant_get(value, '$.value', 'string'), try_variant_get(value, '$.hex', 'string'), to_json(value))
-                      WHEN 'ARRAY' THEN coalesce(try_variant_get(value, '$[0]', 'string'), to_json(value))
-                      ELSE try_variant_get(value, '$', 'string') END""")
-    text = F.when(inner.rlike("^(?i:true|false)$"), F.lower(inner)).when(inner.rlike("^-?[0-9]+,[0-9]+$"), F.replace(inner, F.lit(","), F.lit("."))).otherwise(inner)
-    return flat.select(_SERIES, _SEQ, "row_no", "row_key", "field", kind.alias("kind"), text.alias("content"))
+    return flat.select(_SERIES, _SEQ, "row_no", "row_key", "field", kind.alias("kind"), _plain("value").alias("content"))
 
 
 def headers(fields: DataFrame) -> DataFrame:
@@ -97,19 +100,24 @@ def renames(fields: DataFrame, gone: DataFrame, come: DataFrame, least: float =
     return ranked.where("ro = 1 and rn = 1").select(*group)
 
 
-def changes(fields: DataFrame) -> DataFrame:
-    """(run_series, file_seq, change_kind, old_field, new_field): each file against the one before it."""
-    here = cut(headers(fields))
+def changes(files: DataFrame) -> DataFrame:
+    """(run_series, file_seq, change_kind, old_field, new_field): each file against the one before it.
+
+    Headers need names and kinds only. Contents are read in a second pass, of the files alone in which one
+    name went and another came, and of the files before them.
+    """
+    here = cut(headers(read_fields(files)))
     there = here.select(_SERIES, F.col(_SEQ).alias("prev_seq"), "field", F.col("kind").alias("old_kind"))
     after = here.select(_SERIES, _SEQ, "prev_seq").where("prev_seq is not null").distinct()
-    come = here.where("prev_seq is not null").join(there, [_SERIES, "prev_seq", "field"], "left_anti").select(_SERIES, _SEQ, F.col("field").alias("new_field"))
-    gone = there.join(after, [_SERIES, "prev_seq"]).join(here.select(_SERIES, _SEQ, "field"), [_SERIES, _SEQ, "field"], "left_anti").select(
-        _SERIES, _SEQ, "prev_seq", F.col("field").alias("old_field"))
+    come = cut(here.where("prev_seq is not null").join(there, [_SERIES, "prev_seq", "field"], "left_anti").select(_SERIES, _SEQ, F.col("field").alias("new_field")))
+    gone = cut(there.join(after, [_SERIES, "prev_seq"]).join(here.select(_SERIES, _SEQ, "field"), [_SERIES, _SEQ, "field"], "left_anti").select(
+        _SERIES, _SEQ, "prev_seq", F.col("field").alias("old_field")))
     changed = here.join(there, [_SERIES, "prev_seq", "field"]).where("kind != old_kind")
     touched = gone.join(come, [_SERIES, _SEQ], "left_semi")
-    near = touched.select(_SERIES, _SEQ, F.col("old_field").alias("field")).unionByName(come.select(_SERIES, _SEQ, F.col("new_field").alias("field"))).unionByName(
-        touched.select(_SERIES, F.col("prev_seq").alias(_SEQ), F.col("old_field").alias("field"))).distinct()
-    moved = cut(renames(fields.join(near, [_SERIES, _SEQ, "field"], "left_semi"), touched, come))
+    near = cut(touched.select(_SERIES, F.col("prev_seq").alias(_SEQ), F.col("old_field").alias("field")).unionByName(
+        come.join(touched, [_SERIES, _SEQ], "left_semi").select(_SERIES, _SEQ, F.col("new_field").alias("field"))).distinct())
+    contents = read_fields(files.join(near.select(_SERIES, _SEQ).distinct(), [_SERIES, _SEQ], "left_semi")).join(near, [_SERIES, _SEQ, "field"], "left_semi")
+    moved = cut(renames(cut(contents), touched, come))
     as_row = lambda df, kind, old, new: df.select(_SERIES, _SEQ, F.lit(kind).alias("change_kind"), old.alias("old_field"), new.alias("new_field"))
     none = F.lit("")
     return (
@@ -121,7 +129,7 @@ def changes(fields: DataFrame) -> DataFrame:
 
 
 def p4_found(spark, sf_dir: str) -> DataFrame:
-    return changes(read_fields(table(spark, sf_dir, "retrain_files")))
+    return changes(table(spark, sf_dir, "retrain_files"))
 
 
 def p4_schema(spark, sf_dir: str) -> DataFrame:
@@ -158,16 +166,20 @@ def aliases(moved: DataFrame) -> DataFrame:
 def unified(files: DataFrame) -> DataFrame:
     """Every readable record once, with the fields and types of FIELDS; what has no value is null.
 
-    A value whose name is an alias goes to its field; values that do not fit a field's type become null.
+    A value whose name is an alias goes to its field; values that do not fit a field's type become null. The
+    aliases (names of fields, not data) are few; with them the table is one projection of the records.
     """
-    fields = read_fields(files)
-    known = aliases(changes(fields).where("change_kind = 'renamed'"))
-    named = fields.join(F.broadcast(known), fields["field"] == known["alias"], "left").select(
-        _SERIES, _SEQ, "row_no", F.coalesce(known["field"], fields["field"]).alias("name"), "content")
-    flag = lambda c: F.when(F.col(c).isin("1", "1.0"), F.lit(True)).when(F.col(c).isin("0", "0.0"), F.lit(False)).otherwise(F.col(c).try_cast("boolean"))
-    as_type = {"boolean": flag, "int": lambda c: F.col(c).try_cast("double").try_cast("int"), "bigint": lambda c: F.col(c).try_cast("decimal(38,6)").try_cast("bigint")}
-    wide = named.groupBy(_SERIES, _SEQ, "row_no").agg(*(F.max(F.when(F.col("name") == n, F.col("content"))).alias(n) for n in FIELDS))
-    return wide.select(_SERIES, _SEQ, "row_no", *(as_type.get(t, lambda c, t=t: F.col(c).try_cast(t))(n).alias(n) for n, t in FIELDS.items()))
+    known: dict[str, list[str]] = {name: [name] for name in FIELDS}
+    for row in aliases(changes(files).where("change_kind = 'renamed'")).orderBy("alias").collect():
+        known[row["field"]].append(row["alias"])
+    records = files.select(_SERIES, _SEQ, "row_no", F.try_parse_json("record").alias("v")).where(
+        F.expr("v is not null and schema_of_variant(v) like 'OBJECT%'")).dropDuplicates([_SERIES, _SEQ, "row_no"])
+    quoted = lambda n: n.replace("\\", "\\\\").replace("'", "\\'")
+    values = [F.expr("coalesce(" + ", ".join(f"try_variant_get(v, '$[\"{quoted(n)}\"]', 'variant')" for n in names) + ")").alias(field) for field, names in known.items()]
+    flag = lambda c: F.when(c.isin("1", "1.0"), F.lit(True)).when(c.isin("0", "0.0"), F.lit(False)).otherwise(c.try_cast("boolean"))
+    as_type = {"boolean": flag, "int": lambda c: c.try_cast("double").try_cast("int"), "bigint": lambda c: c.try_cast("decimal(38,6)").try_cast("bigint")}
+    wide = records.select(_SERIES, _SEQ, "row_no", *values).select(_SERIES, _SEQ, "row_no", *(_plain(n).alias(n) for n in FIELDS))
+    return wide.select(_SERIES, _SEQ, "row_no", *(as_type.get(t, lambda c, t=t: c.try_cast(t))(F.col(n)).alias(n) for n, t in FIELDS.items()))
 
 
 def p4_table(spark, sf_dir: str) -> DataFrame:
