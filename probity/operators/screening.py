@@ -204,7 +204,7 @@ def q_similarity_quantiles(spark, d):
     grid = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
     q = F.percentile("v", F.array(*(F.lit(x) for x in grid)))
     cols = [f"q{int(x * 100):02d}" for x in grid]
-    return rounded(long.groupBy("population", "metric").agg(F.count("v").alias("n"), F.min("v").alias("least"), *(q[i].alias(c) for i, c in enumerate(cols)), F.max("v").alias("most")), "least", *cols, "most", places=4)
+    return rounded(long.groupBy("population", "metric").agg(F.count("v").alias("n"), F.min("v").alias("least"), *(q[i].alias(c) for i, c in enumerate(cols)), F.max("v").alias("most")), "least", *cols, "most")
 
 
 def q_top_pairs(spark, d):
@@ -309,7 +309,7 @@ def oracle_sql() -> dict[str, str]:
     groups = " UNION ALL ".join(f"SELECT '{k}' AS kind, {k} AS hash, min(image_id) AS first, count(*) AS n, count(DISTINCT patient_id) > 1 AS cross_patient, count(DISTINCT label) > 1 AS cross_class, count(DISTINCT fold) > 1 AS cross_fold FROM im WHERE {k} IS NOT NULL GROUP BY {k} HAVING count(*) > 1" for k in ("raw_array_hash", "canonical_image_hash", "display_hash"))
     sets = lambda k, n: f"{n} AS (SELECT list(image_id ORDER BY image_id) AS g FROM im WHERE {k} IS NOT NULL GROUP BY {k} HAVING count(*) > 1)"
     cnt = lambda src, name: f"SELECT '{name}' AS measure, count(*) AS n_groups, coalesce(sum(len(g) - 1), 0)::BIGINT AS n_surplus FROM {src}"
-    quant = ", ".join(f"round(quantile_cont(v, {q}), 4) + 0.0::DOUBLE AS q{int(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
+    quant = ", ".join(f"round(quantile_cont(v, {q}), 6) + 0.0::DOUBLE AS q{int(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
     basis = "(CASE WHEN {u} = 0 THEN sqrt(1 / 8::DOUBLE) ELSE sqrt(2 / 8::DOUBLE) END * cos(pi() * (2 * {x} + 1) * {u} / 16::DOUBLE))"
     ph = f"""WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS p FROM embeddings),
 co AS (SELECT vec_id, u.u * 8 + w.w AS k, round(sum(v * {basis.format(u='u.u', x='(p // 8)')} * {basis.format(u='w.w', x='(p % 8)')}), 9) AS c FROM e, range(8) u(u), range(8) w(w) GROUP BY ALL),
@@ -330,7 +330,7 @@ SELECT form, n, count(*) AS n_groups FROM (SELECT form, k, count(*) AS n FROM f
         "pair_categories": f"{_P} SELECT category, count(*) AS n_pairs, count(*) FILTER (NOT same_class) AS n_cross_class FROM pr GROUP BY ALL",
         "threshold_counts": f"{_P}, l AS (SELECT 'ncc_full' AS metric, ncc_full AS v, category, same_class FROM pr UNION ALL SELECT 'ssim_full', ssim_full, category, same_class FROM pr) SELECT metric, t.t AS threshold, coalesce(category, 'unknown') AS category, count(*) AS n_pairs, count(*) FILTER (NOT same_class) AS n_cross_class FROM l, (VALUES {thr}) t(t) WHERE v >= t.t GROUP BY ALL",
         "similarity_quantiles": f"""{_P}, po AS (SELECT 'all' AS population, * FROM pr UNION ALL SELECT 'same_patient', * FROM pr WHERE patient_a = patient_b UNION ALL SELECT 'cross_patient', * FROM pr WHERE patient_a <> patient_b UNION ALL SELECT 'cross_patient_cross_fold', * FROM pr WHERE category = 'cross-patient/cross-fold'),
-l AS ({long4}) SELECT population, metric, count(v) AS n, round(min(v), 4) + 0.0::DOUBLE AS least, {quant}, round(max(v), 4) + 0.0::DOUBLE AS most FROM l GROUP BY ALL""",
+l AS ({long4}) SELECT population, metric, count(v) AS n, round(min(v), 6) + 0.0::DOUBLE AS least, {quant}, round(max(v), 6) + 0.0::DOUBLE AS most FROM l GROUP BY ALL""",
         "top_pairs": f"{_P} SELECT image_a, image_b, category, ncc_full, ssim_full FROM pr ORDER BY ncc_full DESC NULLS LAST, ssim_full DESC NULLS LAST, image_a, image_b LIMIT 200",
         "cross_patient_high": f"{_P} SELECT image_a, image_b, patient_a, patient_b, label_a, label_b, fold_a, fold_b, same_class, category, ncc_full, ssim_full, mad_norm, thumb_ncc, phash_hamming FROM pr WHERE patient_a <> patient_b AND ncc_full >= 0.90",
         "stage_a": f"{_P} SELECT count(*) AS n_pairs, count(*) FILTER (coalesce(thumb_ncc >= 0.9::DOUBLE, false) OR coalesce(phash_hamming <= 10, false)) AS n_candidates, count(*) FILTER (thumb_ncc >= 0.9::DOUBLE) AS by_thumb, count(*) FILTER (phash_hamming <= 10) AS by_hash FROM pr",
