@@ -111,7 +111,7 @@ def cut_texts(documents: DataFrame, frequent: int = 20, share: float = 0.1, head
         SELECT doc_id, src, last_class, goes_on, at_limit, no_word, is_start, one, words, marked, in_tag, CASE
           WHEN in_tag THEN true
           WHEN last_class = 'e' THEN at_limit AND marks
-          WHEN last_class = 't' THEN goes_on OR last_word rlike '^<[^/].*[^/]>$'
+          WHEN last_class = 't' THEN goes_on OR last_word rlike '^<[^/>]([^>]*[^/>])?>$'
           WHEN last_class IN ('s', 'q') THEN false
           WHEN one AND words <= {heading} THEN (no_word AND is_start) OR at_limit OR coalesce(n_chars > bytes + 2, false) OR marked
           ELSE goes_on OR no_word OR at_limit END AS cut
