@@ -188,3 +188,39 @@ def p4_table(spark, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {"p4_found": p4_found, "p4_schema": p4_schema, "p4_table": p4_table}
+
+
+# --- the same in SQL ---------------------------------------------------------------------------------------------------
+
+_FIELDS_SQL = """rj AS (SELECT run_series, file_seq, row_no, record AS j FROM retrain_files WHERE json_valid(record) AND json_type(CASE WHEN json_valid(record) THEN record ELSE '0' END) = 'OBJECT'),
+fk AS (SELECT *, coalesce(json_extract_string(j, '$.image_id'), '#' || row_no) AS row_key, unnest(json_keys(j)) AS field FROM rj),
+fv AS (SELECT run_series, file_seq, row_key, field, json_extract(j, '$."' || field || '"') AS v FROM fk),
+ft AS (SELECT *, json_type(v) AS t, CASE json_type(v) WHEN 'OBJECT' THEN coalesce(json_extract_string(v, '$.value'), json_extract_string(v, '$.hex'), v::VARCHAR) WHEN 'ARRAY' THEN coalesce(json_extract_string(v, '$[0]'), v::VARCHAR) ELSE json_extract_string(v, '$') END AS c FROM fv),
+fields AS MATERIALIZED (SELECT run_series, file_seq, row_key, field, CASE t WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind,
+  CASE WHEN regexp_full_match(c, '(?i:true|false)') THEN lower(c) WHEN regexp_full_match(c, '-?[0-9]+,[0-9]+') THEN replace(c, ',', '.') ELSE c END AS content FROM ft)"""
+
+FOUND_SQL = f"""WITH {_FIELDS_SQL},
+nm AS (SELECT run_series, file_seq, field, nullif(coalesce(array_to_string(list_sort(list(DISTINCT kind) FILTER (kind IS NOT NULL)), '|'), ''), '') AS kind FROM fields GROUP BY 1, 2, 3),
+bf AS (SELECT *, lag(file_seq) OVER (PARTITION BY run_series ORDER BY file_seq) AS prev_seq FROM (SELECT DISTINCT run_series, file_seq FROM nm)),
+hr AS (SELECT nm.*, prev_seq FROM nm JOIN bf USING (run_series, file_seq)),
+cm AS (SELECT run_series, file_seq, field AS new_field FROM hr h WHERE prev_seq IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nm p WHERE p.run_series = h.run_series AND p.file_seq = h.prev_seq AND p.field = h.field)),
+gn AS (SELECT b.run_series, b.file_seq, b.prev_seq, p.field AS old_field FROM bf b JOIN nm p ON p.run_series = b.run_series AND p.file_seq = b.prev_seq WHERE NOT EXISTS (SELECT 1 FROM nm h WHERE h.run_series = b.run_series AND h.file_seq = b.file_seq AND h.field = p.field)),
+vl AS (SELECT run_series, file_seq, field, row_key, min(content) AS content FROM fields WHERE content IS NOT NULL GROUP BY 1, 2, 3, 4),
+bo AS (SELECT g.run_series, g.file_seq, old_field, new_field, x.content AS x, y.content AS y, try_cast(x.content AS DOUBLE) AS nx, try_cast(y.content AS DOUBLE) AS ny FROM gn g JOIN cm c ON c.run_series = g.run_series AND c.file_seq = g.file_seq
+  JOIN vl x ON x.run_series = g.run_series AND x.file_seq = g.prev_seq AND x.field = old_field JOIN vl y ON y.run_series = g.run_series AND y.file_seq = g.file_seq AND y.field = new_field AND y.row_key = x.row_key),
+st AS (SELECT run_series, file_seq, old_field, new_field, avg(coalesce(abs(nx - ny) < 1e-9, x = y)::INT) AS equal, avg(abs(nx - ny)) AS apart, stddev_pop(nx) AS spread, bool_and(nx IS NOT NULL AND ny IS NOT NULL) AS num, bool_or(coalesce(nx <> floor(nx), false)) AS frac FROM bo GROUP BY 1, 2, 3, 4),
+sc AS (SELECT *, CASE WHEN num AND frac AND spread > 0 THEN 1 - apart / spread ELSE 0 END AS near, 1 - levenshtein(replace(lower(old_field), '_', ''), replace(lower(new_field), '_', ''))::DOUBLE / greatest(length(old_field), length(new_field)) AS close FROM st),
+ok AS (SELECT *, round(greatest(equal, near), 3) AS score FROM sc WHERE equal >= 0.8 OR near >= 0.9),
+mv AS (SELECT run_series, file_seq, old_field, new_field FROM ok QUALIFY row_number() OVER (PARTITION BY run_series, file_seq, old_field ORDER BY score DESC, close DESC, new_field) = 1
+  AND row_number() OVER (PARTITION BY run_series, file_seq, new_field ORDER BY score DESC, close DESC, old_field) = 1)
+SELECT run_series, file_seq, 'renamed' AS change_kind, old_field, new_field FROM mv
+UNION ALL SELECT run_series, file_seq, 'added', '', new_field FROM cm ANTI JOIN mv USING (run_series, file_seq, new_field)
+UNION ALL SELECT run_series, file_seq, 'removed', old_field, '' FROM gn ANTI JOIN mv USING (run_series, file_seq, old_field)
+UNION ALL SELECT h.run_series, h.file_seq, 'type_changed', h.field, h.field FROM hr h JOIN nm p ON p.run_series = h.run_series AND p.file_seq = h.prev_seq AND p.field = h.field WHERE h.kind <> p.kind"""
+
+SCHEMA_SQL = f"""WITH {_FIELDS_SQL}, s AS (SELECT field, kind, count(DISTINCT (run_series, file_seq)) AS n, CASE kind WHEN 'boolean' THEN 1 WHEN 'number' THEN 2 WHEN 'string' THEN 3 WHEN 'array' THEN 4 WHEN 'object' THEN 5 ELSE 0 END AS level FROM fields GROUP BY ALL)
+SELECT field, coalesce(array_to_string(list_sort(list(DISTINCT kind) FILTER (kind IS NOT NULL)), '|'), '') AS kinds, (['null', 'boolean', 'number', 'string', 'array', 'object'])[max(level) + 1] AS type, sum(n)::BIGINT AS n_uses FROM s GROUP BY field"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"p4_found": FOUND_SQL, "p4_schema": SCHEMA_SQL}
