@@ -30,7 +30,7 @@ FROM walk w JOIN f x ON x.pid = w.pid JOIN f y ON y.pid = w.far
 WHERE x.pid < y.pid AND x.fold_minmove <> y.fold_minmove"""
 
 
-P1_SQL = """
+_P1_PAIRS = """
 WITH seen AS (SELECT image_id, max(raw_array_hash) AS h1, max(canonical_image_hash) AS h2, max(display_hash) AS h3, max(thumb) AS thumb
   FROM image_manifest WHERE readable GROUP BY image_id),
 x AS (SELECT image_id, unnest(thumb)::DOUBLE AS v, generate_subscripts(thumb, 1) AS k FROM seen WHERE thumb IS NOT NULL),
@@ -44,10 +44,17 @@ p AS (
   UNION SELECT h.image_id, t.image_id FROM h JOIN t ON h.h2 = t.h2
   UNION SELECT h.image_id, t.image_id FROM h JOIN t ON h.h3 = t.h3
   UNION SELECT x.image_id, y.image_id FROM u x JOIN u y ON list_inner_product(x.u, y.u) >= 0.97
-  WHERE x.image_id IN (SELECT image_id FROM h) AND y.image_id IN (SELECT image_id FROM t))
-SELECT DISTINCT least(a, b) AS image_a, greatest(a, b) AS image_b FROM p"""
+  WHERE x.image_id IN (SELECT image_id FROM h) AND y.image_id IN (SELECT image_id FROM t))"""
+P1_SQL = f"{_P1_PAIRS} SELECT DISTINCT least(a, b) AS image_a, greatest(a, b) AS image_b FROM p"
 
 
+P1_COUNTS_SQL = f"""{_P1_PAIRS}, pr AS (SELECT DISTINCT a AS held, b FROM p),
+st AS (SELECT {_IDS} AS pid, min({_STEMS}) AS stem FROM proposed_pid_to_stem_mapping GROUP BY 1),
+sf AS (SELECT {_PLAIN_ID.format('stem')} AS stem, bool_or(spans_folds) AS spans_folds FROM stem_table GROUP BY 1),
+h0 AS (SELECT DISTINCT image_id AS held, eval_set, {_IDS} AS pid FROM fixed_test_fold4),
+h1 AS (SELECT DISTINCT held, eval_set, stem, spans_folds FROM h0 LEFT JOIN st USING (pid) LEFT JOIN sf USING (stem))
+SELECT eval_set, stem, spans_folds, count(*) AS n_pairs, count(DISTINCT held) AS n_images FROM pr JOIN h1 USING (held) GROUP BY ALL"""
+
 P5_SQL = """
 WITH seen AS (SELECT image_id, max(thumb) AS thumb FROM image_manifest WHERE thumb IS NOT NULL AND image_id IS NOT NULL GROUP BY image_id),
 x AS (SELECT image_id, unnest(thumb)::DOUBLE AS v, generate_subscripts(thumb, 1) AS k FROM seen),
@@ -81,6 +88,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": P1_SQL,
+        "p1_counts": P1_COUNTS_SQL,
         "p2_found": P2_SQL,
         "p3_found": P3_SQL,
         "p5_found": P5_SQL,
