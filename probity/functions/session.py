@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once a context, for workers that could not import it.
+
+    The archive is code that Spark's file server sends out; no data goes through it.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_probity_shipped", None) is None:
+        root = Path(__file__).resolve().parents[1]
+        copy = Path(tempfile.mkdtemp(prefix="spark-probity-"))
+        shutil.copytree(root, copy / "code" / root.name, ignore=shutil.ignore_patterns("__pycache__"))
+        sc._probity_shipped = shutil.make_archive(str(copy / root.name), "zip", copy / "code")
+        sc.addPyFile(sc._probity_shipped)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the one the cluster names in spark.checkpoint.dir.
 
