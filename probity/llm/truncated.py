@@ -10,7 +10,8 @@ Then the candidates are checked: a short text without any sentence mark is a hea
 no whole word of the corpus but the start of one, or its length lies at a limit of its source, or its recorded length is more than
 it can have; a text that ends with an ellipsis counts only if its length lies at a limit of its
 source and the source often ends its texts so there. A limit is a length, in characters or bytes, at which a source has far more texts than just below it.
-A text that ends inside a tag or just after an opening one is always cut.
+A text that ends inside a tag or
+address or just after an opening tag is always cut.
 
 Defined cases: null, empty and blank texts are never cut; repeated texts are judged like single ones; null
 sources are one source of their own; an empty table gives an empty result. Whole texts are read.
@@ -31,7 +32,12 @@ _CLASS = r"""CASE WHEN x rlike '^</?\\pL.*>$' THEN 't' WHEN x rlike '^\\p{{IsHan
     WHEN x rlike '^[.!?。！？؟।]$' THEN 's' WHEN x IN ('…', '...') THEN 'e' WHEN x rlike '^["”»’)\\]}}」』]$' THEN 'q' ELSE x END"""
 
 #: What a system puts where it cut, and blanks; an ellipsis alone may be the author's and stays.
-_MARKS = r"(?:\\s+|\\[(?:…|\\.\\.\\.)\\]|�|(?<=[\\pL\\pM\\pN\\s])-)+$"
+_MARK = r"\\[(?:…|\\.\\.\\.)\\]|�|(?<=[\\pL\\pM\\pN\\s])-"
+_BLANK = r"[\\s\\p{{Cf}}]"
+_MARKS = rf"(?:{_BLANK}|{_MARK})+$"
+
+#: The beginning of an address that ends like a sentence.
+_ADDRESS = r"(?:^|\\s)(?:https?://[^/\\s]*[.]|https?://[^?\\s]*[?]|\\S+@[^.\\s]*[.])$"
 
 
 def read_tokens(documents: DataFrame) -> DataFrame:
@@ -43,7 +49,7 @@ def read_tokens(documents: DataFrame) -> DataFrame:
           FROM {{docs}} WHERE text rlike '[^\\s]'),
         tok AS (SELECT *, regexp_extract_all(lower(body), '{_TOKEN}', 0) AS w FROM body)
         SELECT doc_id, src, n_chars, w, transform(w, x -> {_CLASS}) AS c,
-          char_length(text) AS chars, octet_length(text) AS bytes, body rlike '<[^<>\\s][^<>]*$' AS in_tag, body != regexp_replace(text, '\\s+$', '') AS marked,
+          char_length(text) AS chars, octet_length(text) AS bytes, body rlike '<[^<>\\s][^<>]*$' AS in_tag, text rlike '(?:{_MARK}){_BLANK}*$' AS marked, body rlike '{_ADDRESS}' AS in_address,
           char_length(regexp_replace(body, '(?:…|\\.\\.\\.)$', '')) AS chars_left
         FROM tok""", docs=documents)
 
@@ -89,7 +95,7 @@ def cut_texts(documents: DataFrame, frequent: int = 20, share: float = 0.1, head
     starts = spark.sql("SELECT DISTINCT explode(transform(sequence(1, char_length(last_word) - 1), i -> substring(last_word, 1, i))) AS last_word FROM {whole} WHERE char_length(last_word) > 1", whole=whole)
     last = spark.sql(
         """
-        SELECT doc_id, src, n_chars, chars, bytes, chars_left, in_tag, marked, element_at(w, -1) AS last_word, element_at(c, -1) AS last_class,
+        SELECT doc_id, src, n_chars, chars, bytes, chars_left, in_tag, marked, in_address, element_at(w, -1) AS last_word, element_at(c, -1) AS last_class,
           concat_ws(' ', slice(concat(array('^', '^'), w), -3, 3)) AS tri, concat_ws(' ', slice(concat(array('^', '^'), c), -3, 3)) AS tri_c,
           NOT exists(slice(c, 1, size(c) - 1), x -> x IN ('s', 'e')) AS one, size(filter(c, x -> x = 'w')) + size(filter(c, x -> x IN ('h', 'n'))) / 2.0D AS words
         FROM {tok} WHERE size(w) > 0""", tok=tokens)
@@ -109,7 +115,7 @@ def cut_texts(documents: DataFrame, frequent: int = 20, share: float = 0.1, head
     return spark.sql(
         """
         SELECT doc_id, src, last_class, goes_on, at_limit, no_word, is_start, one, words, marked, in_tag, CASE
-          WHEN in_tag THEN true
+          WHEN in_tag OR in_address THEN true
           WHEN last_class = 'e' THEN at_limit AND marks
           WHEN last_class = 't' THEN goes_on OR last_word rlike '^<[^/>]([^>]*[^/>])?>$'
           WHEN last_class IN ('s', 'q') THEN false
