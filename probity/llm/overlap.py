@@ -85,8 +85,9 @@ def _lists(df: DataFrame, basis: np.ndarray, lead: int, width: float, reach: flo
 
     def assign(batches):
         for pdf in batches:
-            for at in range(0, len(pdf), 2000):
-                part = pdf.iloc[at:at + 2000]
+            chunk = max(1, 4_000_000 // offsets.size)
+            for at in range(0, len(pdf), chunk):
+                part = pdf.iloc[at:at + chunk]
                 w = unit_rows(stacked(part["payload"])) @ basis[:, :lead]
                 own = np.floor(w / width).astype(np.int64)
                 cells = own[:, None, :] + offsets[None]
@@ -104,9 +105,15 @@ def _lists(df: DataFrame, basis: np.ndarray, lead: int, width: float, reach: flo
     return df.mapInPandas(assign, "list bigint, id bigint, payload binary")
 
 
-def cosine_join(left: DataFrame, right: DataFrame, at_least: float, lead: int = 3, width: float = 0.25, block: int = 2048) -> DataFrame:
-    """(id_l, id_r, similarity): all pairs of (id, payload) rows whose cosine is at_least or more."""
+def cosine_join(left: DataFrame, right: DataFrame, at_least: float, lead: int | None = None, width: float = 0.25, block: int = 2048) -> DataFrame:
+    """(id_l, id_r, similarity): all pairs of (id, payload) rows whose cosine is at_least or more.
+
+    lead: terms that key a list. Without one it grows with the logarithm of the rows, so that lists keep
+    their length; the result is the same with any.
+    """
     basis = axes(left.select("payload").unionByName(right.select("payload")))
+    if lead is None:
+        lead = max(2, min(6, round(math.log(max(right.count(), 1) / 2000, 4))))
     lead, prefix, reach = min(lead, len(basis)), basis[:, :PREFIX], math.sqrt(max(0.0, 2 - 2 * at_least)) + 1e-6
     posted, asked = cut(_lists(right, basis, lead, width, None)), cut(_lists(left, basis, lead, width, reach))
     asked = asked.join(posted.select("list").distinct(), "list", "left_semi")
