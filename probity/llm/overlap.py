@@ -116,9 +116,10 @@ def cosine_join(left: DataFrame, right: DataFrame, at_least: float, lead: int |
         lead = max(2, min(6, round(math.log(max(right.count(), 1) / 2000, 4))))
     lead, prefix, reach = min(lead, len(basis)), basis[:, :PREFIX], math.sqrt(max(0.0, 2 - 2 * at_least)) + 1e-6
     posted, asked = cut(_lists(right, basis, lead, width, None)), cut(_lists(left, basis, lead, width, reach))
-    asked = asked.join(posted.select("list").distinct(), "list", "left_semi")
+    # there are at most (2 / width + 1) ** lead lists (9 ** 6 rows of 16 bytes): small enough to broadcast
     sizes = posted.groupBy("list").agg(F.count("*").alias("n")).withColumn("n_r", F.ceil(F.col("n") / block).cast("int")).drop("n").join(
         asked.groupBy("list").agg(F.count("*").alias("n")).withColumn("n_l", F.ceil(F.col("n") / block).cast("int")).drop("n"), "list")
+    sizes = F.broadcast(sizes)
     piece = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     l_rows = asked.join(sizes, "list").withColumn("l", piece(F.col("n_l"))).withColumn("r", every(F.col("n_r"))).select("list", "l", "r", "id", "payload")
