@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from probity.llm import neighbours as nb
 from probity.llm import overlap as ov
@@ -97,6 +98,12 @@ def test_similar_images_with_repeats_and_ties(spark):
     assert got[105] == [(0, 1.0), (100, 1.0), (101, 1.0), (102, 1.0), (103, 1.0)] and got[0][0] == (100, 1.0)
 
 
+def test_stated_queries_get_the_same_neighbours(spark):
+    df = manifest(spark, [(i, t, "", 0) for i, t in enumerate(clustered(150, 6).tolist())])
+    some = {tuple(r) for r in nb.similar_images(df, 5, every=10).collect()}
+    assert some == {tuple(r) for r in nb.similar_images(df, 5).where("image_id % 10 = 0").collect()} and len(some) == 75
+
+
 def test_similar_images_of_few(spark):
     assert nb.similar_images(manifest(spark, []), 5).count() == 0
     assert nb.similar_images(manifest(spark, [(1, [1, 2, 3], "", 0)]), 5).count() == 0
@@ -105,7 +112,7 @@ def test_similar_images_of_few(spark):
 
 def test_shards_keep_recall(spark):
     x = clustered(900, 8)
-    near = nb.nearest(payload(spark, range(900), x), 5, rows=150, most=200).collect()
+    near = nb.nearest(payload(spark, range(900), x).withColumn("ask", F.lit(True)), 5, rows=150, most=200).collect()
     best = {}
     for r in near:
         best.setdefault(r["id"], []).append((-r["similarity"], r["other"]))
