@@ -47,12 +47,12 @@ def read_fields(files: DataFrame, key: str = "image_id") -> DataFrame:
     comma as a point, booleans in lower case. row_key is the record's key, or its row number without one.
     """
     spark = files.sparkSession
-    records = files.select(_SERIES, _SEQ, "row_no", F.try_parse_json("record").alias("v")).where(
-        F.expr("v is not null and schema_of_variant(v) like 'OBJECT%'"))
+    # what is no object has no fields, so it needs no filter, which would parse every record once more
+    records = files.select(_SERIES, _SEQ, "row_no", F.try_parse_json("record").alias("v"))
     flat = spark.sql(
         f"""SELECT r.{_SERIES}, r.{_SEQ}, r.row_no, coalesce(try_variant_get(r.v, '$.{key}', 'string'), concat('#', r.row_no)) AS row_key,
                f.key AS field, split(schema_of_variant(f.value), '[<(]')[0] AS shape, f.value AS value
-            FROM {{r}} r, LATERAL variant_explode(r.v) f""", r=records)
+            FROM {{r}} r, LATERAL variant_explode(r.v) f WHERE f.key IS NOT NULL""", r=records)
     kind = (F.when(F.col("shape") == "VOID", F.lit(None)).when(F.col("shape") == "STRING", F.lit("string"))
             .when(F.col("shape") == "BOOLEAN", F.lit("boolean")).when(F.col("shape") == "ARRAY", F.lit("array"))
             .when(F.col("shape") == "OBJECT", F.lit("object")).otherwise(F.lit("number")))
@@ -107,15 +107,16 @@ def changes(files: DataFrame) -> DataFrame:
     name went and another came, and of the files before them.
     """
     here = cut(headers(read_fields(files)))
-    there = here.select(_SERIES, F.col(_SEQ).alias("prev_seq"), "field", F.col("kind").alias("old_kind"))
     after = here.select(_SERIES, _SEQ, "prev_seq").where("prev_seq is not null").distinct()
-    come = cut(here.where("prev_seq is not null").join(there, [_SERIES, "prev_seq", "field"], "left_anti").select(_SERIES, _SEQ, F.col("field").alias("new_field")))
-    gone = cut(there.join(after, [_SERIES, "prev_seq"]).join(here.select(_SERIES, _SEQ, "field"), [_SERIES, _SEQ, "field"], "left_anti").select(
-        _SERIES, _SEQ, "prev_seq", F.col("field").alias("old_field")))
-    changed = here.join(there, [_SERIES, "prev_seq", "field"]).where("kind != old_kind")
+    then = here.select(_SERIES, F.col(_SEQ).alias("prev_seq"), "field", F.col("kind").alias("old_kind"), F.lit(True).alias("in_old")).join(after, [_SERIES, "prev_seq"])
+    now = here.where("prev_seq is not null").select(_SERIES, _SEQ, "field", "kind", F.lit(True).alias("in_new"))
+    differ = cut(now.join(then, [_SERIES, _SEQ, "field"], "full").where("in_old is null or in_new is null or kind != old_kind"))
+    come = differ.where("in_old is null").select(_SERIES, _SEQ, F.col("field").alias("new_field"))
+    gone = differ.where("in_new is null").select(_SERIES, _SEQ, "prev_seq", F.col("field").alias("old_field"))
+    changed = differ.where("kind != old_kind")
     touched = gone.join(come, [_SERIES, _SEQ], "left_semi")
-    near = cut(touched.select(_SERIES, F.col("prev_seq").alias(_SEQ), F.col("old_field").alias("field")).unionByName(
-        come.join(touched, [_SERIES, _SEQ], "left_semi").select(_SERIES, _SEQ, F.col("new_field").alias("field"))).distinct())
+    near = touched.select(_SERIES, F.col("prev_seq").alias(_SEQ), F.col("old_field").alias("field")).unionByName(
+        come.join(touched, [_SERIES, _SEQ], "left_semi").select(_SERIES, _SEQ, F.col("new_field").alias("field"))).distinct()
     contents = read_fields(files.join(near.select(_SERIES, _SEQ).distinct(), [_SERIES, _SEQ], "left_semi")).join(near, [_SERIES, _SEQ, "field"], "left_semi")
     moved = cut(renames(cut(contents), touched, come))
     as_row = lambda df, kind, old, new: df.select(_SERIES, _SEQ, F.lit(kind).alias("change_kind"), old.alias("old_field"), new.alias("new_field"))
