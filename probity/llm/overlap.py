@@ -168,7 +168,7 @@ def cross_pairs(pictures: DataFrame, at_least: float = 0.97) -> DataFrame:
     by_hash = hashes.where("held").select("kind", "hash", F.col("image_id").alias("a")).join(
         hashes.where("trained").select("kind", "hash", F.col("image_id").alias("b")), ["kind", "hash"]).select(F.col("a").alias("held"), F.col("b").alias("trained"))
     pictures = pictures.where("thumb is not null and array_size(thumb) > 0 and array_min(thumb) < array_max(thumb)")
-    classes = cut(pictures.groupBy("thumb").agg(F.min("image_id").alias("id"), F.max("held").alias("any_held"), F.max("trained").alias("any_trained")))
+    classes = pictures.groupBy("thumb").agg(F.min("image_id").alias("id"), F.max("held").alias("any_held"), F.max("trained").alias("any_trained"))
     payload = cut(packed(classes, "thumb", ["id", "any_held", "any_trained"]))
     near = cosine_join(payload.where("any_held").select("id", "payload"), payload.where("any_trained").select("id", "payload"), at_least)
     members = pictures.join(classes.select("thumb", "id"), "thumb").select("id", "image_id", "held", "trained")
