@@ -13,7 +13,7 @@ TEXTS = ["", " ", "a", "Hello world, it's fine!", "  two  spaces \n\n\t end ", "
 
 
 @pytest.fixture(scope="module")
-def reference():
+def library():
     t = Tokenizer.from_file(en.VOCABULARY.replace(".tiktoken", ".json"))
     t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
@@ -24,16 +24,16 @@ def voc():
     return en.vocabulary(en.VOCABULARY)
 
 
-def test_encoding_equals_the_library(voc, reference):
-    assert [voc.encode(t) for t in TEXTS] == reference(TEXTS)
+def test_encoding_equals_the_library(voc, library):
+    assert [voc.encode(t) for t in TEXTS] == library(TEXTS)
     assert voc.encode(None) == []
 
 
-def test_encoding_of_random_texts(voc, reference):
+def test_encoding_of_random_texts(voc, library):
     rng = random.Random(2)
     parts = ["the", "ing", " ", "  ", "\n", "é", "ü", "漢", "🙂", "'ll", "'S", "9", "00", "_", "-", "<|", "|>", "zq", "Ω", "ß", "́"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(60))) for _ in range(400)]
-    assert [voc.encode(t) for t in texts] == reference(texts)
+    assert [voc.encode(t) for t in texts] == library(texts)
 
 
 def test_ids_decode_to_the_text(voc):
@@ -51,21 +51,21 @@ def test_append_and_edit(voc):
         assert en.Prefixes(voc).extend(s[:k] + b"xyz").cut(k).extend(s[k:]).tokens() == whole
 
 
-def test_ids_in_spark(spark, reference):
+def test_ids_in_spark(spark, library):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)] + [(99, None, None)], "doc_id bigint, text string, ids string")
     got = {r["doc_id"]: r["i"] for r in df.select("doc_id", en.token_ids("text").alias("i")).collect()}
-    assert got.pop(99) == [] and [got[i] for i in range(len(TEXTS))] == reference(TEXTS)
+    assert got.pop(99) == [] and [got[i] for i in range(len(TEXTS))] == library(TEXTS)
     n = {r["doc_id"]: r["n"] for r in df.select("doc_id", en.token_count("text").alias("n")).collect()}
     assert all(n[i] == len(got[i]) for i in got) and n[99] == 0
 
 
-def test_whole_corpus(spark, reference):
+def test_whole_corpus(spark, library):
     from probity.functions.session import table
     from probity.llm import queries as q
     got = {r["doc_id"]: r["ids"] for r in q.queries()["p6_ids"](spark, str(DATA)).collect()}
     docs = table(spark, str(DATA), "documents").select("doc_id", "text").collect()
     assert len(got) == len(docs)
-    assert [got[r["doc_id"]] for r in docs] == reference([r["text"] or "" for r in docs])
+    assert [got[r["doc_id"]] for r in docs] == library([r["text"] or "" for r in docs])
 
 
 # mixing
