@@ -110,6 +110,31 @@ def test_similar_images_of_few(spark):
     assert nb.similar_images(manifest(spark, [(1, [1, 2, 3], "", 0), (2, [1, 2, 4], "", 0)]), 5).count() == 2
 
 
+@pytest.mark.parametrize("k", [2, 20])
+def test_each_image_gets_its_best_of_both_kinds(spark, k):
+    x, rng = clustered(200, 9), np.random.default_rng(9)
+    owner = np.where(np.arange(200) % 3 == 0, 500, rng.integers(0, 60, 200))  # one holds a third
+    owner[::7] = 900  # and a group of near copies is one patient's
+    x[::7] = x[0] + rng.integers(-1, 2, x[::7].shape)
+    rows = [(i, t, str(p) if i != 50 else None) for i, (t, p) in enumerate(zip(x.tolist(), owner.tolist()))]
+    got = {r["image_id"]: r for r in nb.nn_similarity(spark.createDataFrame(rows, "image_id bigint, thumb array<smallint>, patient_id string"), k, step=5).collect()}
+    s = unit(x) @ unit(x).T
+    assert set(got) == set(range(0, 200, 5)) and got[50][2:] == (None, None)
+    for i in set(got) - {50}:
+        for value, kind in ((got[i][2], owner == owner[i]), (got[i][3], owner != owner[i])):
+            kind[[i, 50]] = False
+            assert value == (pytest.approx(s[i, kind].max(), abs=2e-6) if kind.any() else None)
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_best_of_kind_in_blocks_equals_one_block(spark, same):
+    x = clustered(90, 10)
+    df = spark.createDataFrame([(i, str(i % 4), t) for i, t in enumerate(x.tolist())], "image_id bigint, patient_id string, thumb array<smallint>")
+    every = ov.packed(df, "thumb", ["image_id", "patient_id"])
+    one, many = (sorted(map(tuple, nb.best_of_kind(every.where("image_id % 2 = 0"), every, same, b, m).collect())) for b, m in ((1024, 8192), (7, 5)))
+    assert one == many and len(one) == 45
+
+
 def test_shards_keep_recall(spark):
     x = clustered(900, 8)
     near = nb.nearest(payload(spark, range(900), x).withColumn("ask", F.lit(True)), 5, rows=150, most=200).collect()
