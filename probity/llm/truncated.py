@@ -40,22 +40,28 @@ _MARKS = rf"(?:{_BLANK}|{_MARK})+$"
 _ADDRESS = r"(?:^|\\s)(?:https?://[^/\\s]*[.]|https?://[^?\\s]*[?]|\\S+@[^.\\s]*[.])$"
 
 
+def read_texts(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_chars, src, key): one row a row whose text is not blank; key is the text's hash."""
+    return documents.sparkSession.sql(
+        rf"SELECT doc_id, n_chars, coalesce({SOURCE}, '') AS src, unhex(sha2(text, 256)) AS key FROM {{docs}} WHERE text rlike '[^\s]'", docs=documents)
+
+
 def read_tokens(documents: DataFrame) -> DataFrame:
-    """One row a text that is not blank: its tokens as written (lower case) and by class, its lengths."""
+    """One row a different text that is not blank: its key, its tokens as written (lower case) and by class, its lengths."""
     return documents.sparkSession.sql(
         rf"""
         WITH body AS (
-          SELECT doc_id, text, n_chars, coalesce({SOURCE}, '') AS src, regexp_replace(text, '{_MARKS}', '') AS body
-          FROM {{docs}} WHERE text rlike '[^\\s]'),
+          SELECT unhex(sha2(text, 256)) AS key, text, regexp_replace(text, '{_MARKS}', '') AS body
+          FROM (SELECT DISTINCT text FROM {{docs}} WHERE text rlike '[^\s]')),
         tok AS (SELECT *, regexp_extract_all(lower(body), '{_TOKEN}', 0) AS w FROM body)
-        SELECT doc_id, src, n_chars, w, transform(w, x -> {_CLASS}) AS c,
-          char_length(text) AS chars, octet_length(text) AS bytes, body rlike '<[^<>\\s][^<>]*$' AS in_tag, text rlike '(?:{_MARK}){_BLANK}*$' AS marked, body rlike '{_ADDRESS}' AS in_address,
-          char_length(regexp_replace(body, '(?:…|\\.\\.\\.)$', '')) AS chars_left
+        SELECT key, w, transform(w, x -> {_CLASS}) AS c,
+          char_length(text) AS chars, octet_length(text) AS bytes, body rlike '<[^<>\s][^<>]*$' AS in_tag, text rlike '(?:{_MARK}){_BLANK}*$' AS marked, body rlike '{_ADDRESS}' AS in_address,
+          char_length(regexp_replace(body, '(?:…|\.\.\.)$', '')) AS chars_left
         FROM tok""", docs=documents)
 
 
 def trigrams(tokens: DataFrame) -> DataFrame:
-    """(tri, tri_c, inside, at_end): all trigrams with their classes, counted inside and at the ends of texts."""
+    """(tri, tri_c, inside, at_end): all trigrams with their classes, counted inside and at the ends of different texts."""
     return tokens.sparkSession.sql(
         """
         SELECT t.w AS tri, t.c AS tri_c, count_if(NOT t.last) AS inside, count_if(t.last) AS at_end FROM (
@@ -64,42 +70,46 @@ def trigrams(tokens: DataFrame) -> DataFrame:
           FROM {tok} WHERE size(w) > 0) GROUP BY 1, 2""", tok=tokens)
 
 
-def limits(tokens: DataFrame, least: int = 4, times: float = 6.0) -> DataFrame:
+def limits(texts: DataFrame, least: int = 4, times: float = 6.0) -> DataFrame:
     """(src, unit, len): lengths at which a source has at least `times` as many texts as just below.
 
-    There must be `least` texts of that length, twice as many if it is below 100.
+    texts has one row a different text of a source. There must be `least` texts of that length, twice as many if it is below 100.
     """
-    return tokens.sparkSession.sql(
+    return texts.sparkSession.sql(
         """
         WITH len AS (
-          SELECT src, 'chars' AS unit, chars AS len, 1 AS weight FROM {tok} UNION ALL SELECT src, 'bytes', bytes, 1 FROM {tok}
-          UNION ALL SELECT src, 'left', chars_left, 1 FROM {tok}),
+          SELECT src, 'chars' AS unit, chars AS len, 1 AS weight FROM {texts} UNION ALL SELECT src, 'bytes', bytes, 1 FROM {texts}
+          UNION ALL SELECT src, 'left', chars_left, 1 FROM {texts}),
         hist AS (SELECT src, unit, len, sum(weight) AS n FROM len GROUP BY 1, 2, 3),
         near AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY src, unit ORDER BY len RANGE BETWEEN 22 PRECEDING AND 3 PRECEDING), 0) / 20.0D AS below FROM hist)
         SELECT src, unit, len FROM near WHERE n >= if(len < 100, 2 * {least}, {least}) AND len > 24 AND n >= {times} * greatest(below, 0.5D)""",
-        tok=tokens, least=least, times=times)
+        texts=texts, least=least, times=times)
 
 
 def cut_texts(documents: DataFrame, frequent: int = 20, share: float = 0.1, heading: int = 6) -> DataFrame:
     """(doc_id, src, cut, at_limit): all texts that are not blank, and whether they lost their end.
 
+    Copies count once: trigrams are those of the different texts, lengths those of the different texts of a
+    source. The verdict is joined back to all rows, of which each has its own recorded length.
+
     frequent: how often a trigram must occur to be judged as written; share: the largest share of its
     occurrences that may be ends; heading: the most words of a heading.
     """
     spark = documents.sparkSession
-    tokens = cut(read_tokens(documents))
+    rows, tokens = cut(read_texts(documents)), cut(read_tokens(documents))
     counts = cut(trigrams(tokens))
     by_class = spark.sql("SELECT tri_c, sum(inside) AS ci, sum(at_end) AS ce FROM {n} GROUP BY 1", n=counts)
     by_word = spark.sql("SELECT tri, sum(inside) AS wi, sum(at_end) AS we FROM {n} WHERE inside + at_end >= {least} GROUP BY 1", n=counts, least=frequent)
     whole = spark.sql("SELECT DISTINCT x AS last_word FROM (SELECT explode(slice(w, 1, size(w) - 1)) AS x FROM {tok} WHERE size(w) > 1) WHERE x rlike '^[\\\\pL\\\\pM]'", tok=tokens)
     starts = spark.sql("SELECT DISTINCT explode(transform(sequence(1, char_length(last_word) - 1), i -> substring(last_word, 1, i))) AS last_word FROM {whole} WHERE char_length(last_word) > 1", whole=whole)
+    homes = rows.select("src", "key").distinct()
     last = spark.sql(
         """
-        SELECT doc_id, src, n_chars, chars, bytes, chars_left, in_tag, marked, in_address, element_at(w, -1) AS last_word, element_at(c, -1) AS last_class,
+        SELECT src, key, chars, bytes, chars_left, in_tag, marked, in_address, element_at(w, -1) AS last_word, element_at(c, -1) AS last_class,
           concat_ws(' ', slice(concat(array('^', '^'), w), -3, 3)) AS tri, concat_ws(' ', slice(concat(array('^', '^'), c), -3, 3)) AS tri_c,
           NOT exists(slice(c, 1, size(c) - 1), x -> x IN ('s', 'e')) AS one, size(filter(c, x -> x = 'w')) + size(filter(c, x -> x IN ('h', 'n'))) / 2.0D AS words
-        FROM {tok} WHERE size(w) > 0""", tok=tokens)
-    seen = limits(tokens)
+        FROM {homes} JOIN {tok} USING (key) WHERE size(w) > 0""", homes=homes, tok=tokens)
+    seen = limits(spark.sql("SELECT src, chars, bytes, chars_left FROM {homes} JOIN {tok} USING (key)", homes=homes, tok=tokens))
     spike = lambda unit, col: seen.where(F.col("unit") == unit).select("src", F.col("len").alias(col), F.lit(True).alias(f"at_{unit}"))
     joined = (
         last.join(by_word, "tri", "left").join(by_class, "tri_c", "left")
@@ -121,7 +131,7 @@ def cut_texts(documents: DataFrame, frequent: int = 20, share: float = 0.1, head
           WHEN last_class IN ('s', 'q') THEN false
           WHEN one AND words <= {heading} THEN (no_word AND is_start) OR at_limit OR coalesce(n_chars > bytes + 2, false) OR marked
           ELSE goes_on OR no_word OR at_limit END AS cut
-        FROM {judged} LEFT JOIN {marks} USING (src)""", judged=judged, marks=marks, heading=heading)
+        FROM {rows} JOIN {judged} USING (src, key) LEFT JOIN {marks} USING (src)""", rows=rows, judged=judged, marks=marks, heading=heading)
 
 
 def p8_found(spark, sf_dir: str) -> DataFrame:

@@ -155,6 +155,18 @@ def test_truncated_texts_are_found(spark):
     assert len(got & cut) / len(cut) > 0.97 and len(got - cut) / max(1, len(got)) < 0.03
 
 
+def test_copies_are_judged_like_the_single_text(spark):
+    rows, _ = corpus()
+    once = {r["doc_id"]: r for r in tr.cut_texts(spark.createDataFrame(rows, DOCS)).collect()}
+    heading = next(r for r in rows if r[0] % 10 == 1 and len(r[1]) > 24 and not once[r[0]]["cut"])
+    lost = next(r for r in rows if (o := once[r[0]])["cut"] and o["goes_on"] and not (o["no_word"] or o["at_limit"] or o["one"]))
+    extra = [(10_000 + i, heading[1], "Free", None, "", 0) for i in range(40)] + [(20_000 + i, lost[1], f"s{i % 60}", None, "", 0) for i in range(900)]
+    for copies in ([x for x in extra if x[0] < 20_000], [x for x in extra if x[0] >= 20_000], extra):  # the last: more than a third of the rows
+        got = {r["doc_id"]: r["cut"] for r in tr.cut_texts(spark.createDataFrame(rows + copies, DOCS)).collect()}
+        assert {i: got[i] for i in once} == {i: r["cut"] for i, r in once.items()}
+        assert all(got[c[0]] == (c[0] >= 20_000) for c in copies) and len(got) == len(rows) + len(copies)
+
+
 def test_odd_texts_are_never_cut(spark):
     rows = [(1, None, "a", None, "", 0), (2, "", "a", 0, "", 0), (3, " \n ", None, 3, "", 0), (4, "One.", None, 4, "", 0), (5, "One.", None, 4, "", 0)]
     out = tr.cut_texts(spark.createDataFrame(rows, DOCS))
