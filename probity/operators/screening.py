@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import centred, display_pixels, div, dot, pair_category
+from ..functions.expr import display_pixels, pair_category
 from ..functions.session import cut, plain_id, plain_image_id, table
 from .metrics import rounded
 from .splits import IMAGES_SQL, images, pid_sql
@@ -266,17 +266,25 @@ def q_dihedral(spark, d):
 
 
 def q_verify_pairs(spark, d):
-    """Stage B on the thumbs of candidate pairs: correlation, mean absolute difference over the range, equal pixels."""
+    """Stage B on the thumbs of all candidate pairs, whatever their score before: correlation, mean absolute difference over the range, equal pixels; null for thumbs of different or no size."""
     thumbs = table(spark, d, "image_manifest").where("readable and thumb is not null and image_id is not null").groupBy("image_id").agg(F.max("thumb").alias("t"))
-    p = pairs(spark, d).where("ncc_full >= 0.95").select("image_a", "image_b")
+    p = pairs(spark, d).select("image_a", "image_b")
     x = p.join(thumbs.toDF("image_a", "ta"), "image_a").join(thumbs.toDF("image_b", "tb"), "image_b")
-    x = x.withColumns({"ca": centred("ta"), "cb": centred("tb")})
-    span = F.greatest(F.array_max("ta"), F.array_max("tb")) - F.least(F.array_min("ta"), F.array_min("tb"))
-    total = lambda f: F.aggregate(F.zip_with("ta", "tb", f), F.lit(0.0), lambda s, v: s + v)
-    return rounded(x.select(
-        "image_a", "image_b", div(dot(F.col("ca"), F.col("cb")), F.sqrt(dot(F.col("ca"), F.col("ca")) * dot(F.col("cb"), F.col("cb")))).alias("ncc"),
-        (total(lambda a, b: F.abs(a.cast("double") - b.cast("double"))) / F.size("ta") / F.greatest(span.cast("double"), F.lit(1.0))).alias("mad_norm"),
-        (total(lambda a, b: F.when(a == b, 1.0).otherwise(0.0)) / F.size("ta")).alias("equal")), "ncc", "mad_norm", "equal")
+    both = x.where("size(ta) = size(tb) and size(ta) > 0").select("image_a", "image_b", "ta", "tb")
+    odd = x.where("size(ta) != size(tb) or size(ta) = 0").select("image_a", "image_b", *(F.lit(None).cast("double").alias(c) for c in ("ncc", "mad_norm", "equal")))
+
+    def verify(batches):
+        for pdf in batches:
+            for _, part in pdf.groupby(pdf["ta"].map(len)):
+                a, b = np.stack(part["ta"]).astype(float), np.stack(part["tb"]).astype(float)  # sums of integers: exact
+                n, sa, sb = a.shape[1], a.sum(axis=1), b.sum(axis=1)
+                spread = (n * (a * a).sum(axis=1) - sa * sa) * (n * (b * b).sum(axis=1) - sb * sb)
+                ncc = np.divide(n * (a * b).sum(axis=1) - sa * sb, np.sqrt(spread), out=np.full(len(a), np.nan), where=spread > 0)
+                span = np.maximum(a.max(axis=1), b.max(axis=1)) - np.minimum(a.min(axis=1), b.min(axis=1))
+                yield part[["image_a", "image_b"]].assign(ncc=ncc, mad_norm=np.abs(a - b).mean(axis=1) / np.maximum(span, 1), equal=(a == b).mean(axis=1))
+
+    done = both.mapInPandas(verify, "image_a bigint, image_b bigint, ncc double, mad_norm double, equal double")
+    return rounded(done.unionByName(odd), "ncc", "mad_norm", "equal")
 
 
 def queries() -> dict:

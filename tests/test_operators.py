@@ -180,3 +180,19 @@ def test_hamming_join_equals_brute_force(spark):
 def test_exact_groups(spark):
     df = spark.createDataFrame([(1, "k", "p", 1), (2, "k", "q", 1), (3, "z", "p", 1), (4, None, "p", 1), (5, None, "p", 1)], "i int, k string, p string, l int")
     assert values(sc.exact_groups(df, "i", ["k"], {"cross": "p", "labels": "l"}), "k", "first", "n", "cross", "labels") == [("k", 1, 2, True, False)]
+
+
+def test_all_candidate_pairs_are_verified(spark):
+    from probity.functions.session import table
+    pairs = {(r["image_a"], r["image_b"]): r["ncc_full"] for r in sc.pairs(spark, str(DATA)).collect()}
+    thumbs = table(spark, str(DATA), "image_manifest").where("readable and thumb is not null and image_id is not null").groupBy("image_id").agg(F.max("thumb").alias("t"))
+    t = {r["image_id"]: np.array(r["t"], dtype=float) for r in thumbs.collect()}
+    want = {k for k in pairs if k[0] in t and k[1] in t}
+    assert any(pairs[k] is None or pairs[k] < 0.95 for k in want)
+    got = {(r["image_a"], r["image_b"]): r for r in sc.q_verify_pairs(spark, str(DATA)).collect()}
+    assert set(got) == want
+    for (a, b), r in got.items():
+        x, y = t[a], t[b]
+        span = max(x.max(), y.max()) - min(x.min(), y.min())
+        assert (r["ncc"] is None) == (x.std() == 0 or y.std() == 0) and (r["ncc"] is None or abs(r["ncc"] - np.corrcoef(x, y)[0, 1]) < 2e-6)
+        assert abs(r["mad_norm"] - np.abs(x - y).mean() / max(span, 1)) < 2e-6 and abs(r["equal"] - (x == y).mean()) < 2e-6
