@@ -15,6 +15,7 @@ from . import metrics as m
 from . import screening
 from .splits import images
 from ..plans import fixtures as fx
+from ..sources import drift
 
 NAMES = ("meningioma", "glioma", "pituitary")
 KEYS = {"model": "string", "arm": "string", "image_id": "bigint", "patient_id": "string", "true_class": "int", "true_class_name": "string", "pred_class": "int", "pred_class_name": "string",
@@ -139,10 +140,9 @@ def q_file_agreement(spark, d):
 
 
 def q_softmax(spark, d):
-    """Probabilities made from logits where all three are numbers: rows, and how often the largest is the same class."""
-    raw = table(spark, d, "retrain_files").select(F.try_parse_json("record").alias("v"), "run_series", "file_seq", "row_no").dropDuplicates(["run_series", "file_seq", "row_no"])
-    number = lambda k: F.when(F.expr(f"schema_of_variant(variant_get(v, '$.logit_{k}')) rlike '^(BIGINT|DECIMAL|DOUBLE|FLOAT)'"), F.try_variant_get("v", f"$.logit_{k}", "double"))
-    x = raw.where("v is not null").select(F.try_variant_get("v", "$.model", "string").alias("model"), F.try_variant_get("v", "$.pred_class", "int").alias("pred_class"), *(number(k).alias(f"l{k}") for k in range(3))).where("l0 is not null and l1 is not null and l2 is not null")
+    """Probabilities made from logits, under all their names and types: rows, and how often the largest is the same class."""
+    x = drift.unified(table(spark, d, "retrain_files")).select("model", "pred_class", *(F.col(f"logit_{k}").alias(f"l{k}") for k in range(3)))
+    x = x.where(" and ".join(f"l{k} > double('-Infinity') and l{k} < double('Infinity')" for k in range(3)))
     p = softmax(F.array("l0", "l1", "l2"))
     return m.rounded(x.withColumn("p", p).groupBy("model").agg(F.count("*").alias("n"), F.avg(F.array_max("p")).alias("mean_top"), F.avg((argmax(F.col("p")) == F.col("pred_class")).cast("double")).alias("agreement")), "mean_top", "agreement")
 

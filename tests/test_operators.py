@@ -196,3 +196,28 @@ def test_all_candidate_pairs_are_verified(spark):
         span = max(x.max(), y.max()) - min(x.min(), y.min())
         assert (r["ncc"] is None) == (x.std() == 0 or y.std() == 0) and (r["ncc"] is None or abs(r["ncc"] - np.corrcoef(x, y)[0, 1]) < 2e-6)
         assert abs(r["mad_norm"] - np.abs(x - y).mean() / max(span, 1)) < 2e-6 and abs(r["equal"] - (x == y).mean()) < 2e-6
+
+
+def test_softmax_counts_logits_of_all_names_and_types(spark):
+    import json
+
+    from probity.functions.session import table
+    from probity.operators import registry
+
+    def number(v):
+        v = v[0] if isinstance(v, list) and v else v.get("value") if isinstance(v, dict) else v
+        try:
+            return np.isfinite(float(str(v).replace(",", ".")))
+        except ValueError:
+            return False
+
+    n, plain = 0, 0
+    for r in table(spark, str(DATA), "retrain_files").dropDuplicates(["run_series", "file_seq", "row_no"]).collect():
+        try:
+            o = json.loads(r["record"])
+        except (TypeError, ValueError):
+            continue
+        if isinstance(o, dict):
+            n += all(any(number(o.get(x)) for x in (f"logit_{k}", f"z_{k}", f"Logit_{k}", f"logit{k}", f"logits_{k}")) for k in range(3))
+            plain += all(type(o.get(f"logit_{k}")) in (int, float) for k in range(3))
+    assert sum(r["n"] for r in registry.q_softmax(spark, str(DATA)).collect()) == n > plain
