@@ -29,22 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import cut, plain_id, plain_stem, table
+from .cells import stacked, unit_rows
 
 PREFIX = 24  # terms of the second, longer prefix
 
 
-def unit_rows(thumbs: np.ndarray) -> np.ndarray:
-    """Rows centred and scaled to length 1; constant rows become null vectors."""
-    x = thumbs.astype(np.float64)
-    x -= x.mean(axis=1, keepdims=True)
-    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-12)
-
-
-def stacked(payload) -> np.ndarray:
-    return np.frombuffer(b"".join(payload), dtype=np.int16).reshape(len(payload), -1)
-
-
 def packed(df: DataFrame, thumb: str, keep: list[str]) -> DataFrame:
     """keep, payload: the array of small integers as bytes."""
     fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
@@ -167,7 +156,7 @@ def cross_pairs(pictures: DataFrame, at_least: float = 0.97) -> DataFrame:
     hashes = pictures.select("image_id", "held", "trained", F.posexplode(F.array("raw_array_hash", "canonical_image_hash", "display_hash")).alias("kind", "hash")).where("hash is not null")
     by_hash = hashes.where("held").select("kind", "hash", F.col("image_id").alias("a")).join(
         hashes.where("trained").select("kind", "hash", F.col("image_id").alias("b")), ["kind", "hash"]).select(F.col("a").alias("held"), F.col("b").alias("trained"))
-    pictures = pictures.where("thumb is not null and array_size(thumb) > 0 and array_min(thumb) < array_max(thumb)")
+    pictures = pictures.where("thumb is not null and array_min(thumb) < array_max(thumb) and forall(thumb, v -> v is not null)")
     classes = pictures.groupBy("thumb").agg(F.min("image_id").alias("id"), F.max("held").alias("any_held"), F.max("trained").alias("any_trained"))
     payload = cut(packed(classes, "thumb", ["id", "any_held", "any_trained"]))
     near = cosine_join(payload.where("any_held").select("id", "payload"), payload.where("any_trained").select("id", "payload"), at_least)

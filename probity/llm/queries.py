@@ -64,6 +64,17 @@ s AS (SELECT a.image_id AS a, b.image_id AS b, round(list_inner_product(a.u, b.u
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM s WHERE sim >= 0.8)
 SELECT DISTINCT least(a, b) AS image_a, greatest(a, b) AS image_b FROM r WHERE n <= 5"""
 
+P5_NN_SQL = f"""
+WITH seen AS (SELECT image_id, max(thumb) AS thumb FROM image_manifest WHERE thumb IS NOT NULL AND image_id IS NOT NULL GROUP BY image_id),
+x AS (SELECT image_id, unnest(thumb)::DOUBLE AS v, generate_subscripts(thumb, 1) AS k FROM seen),
+m AS (SELECT image_id, avg(v) AS mean, sqrt(var_pop(v) * count(*)) AS norm FROM x GROUP BY image_id),
+u AS MATERIALIZED (SELECT x.image_id, list((v - mean) / norm ORDER BY k) AS u FROM x JOIN m USING (image_id) WHERE norm > 1e-9 GROUP BY x.image_id),
+w AS (SELECT image_id, min({_IDS}) AS patient_id FROM image_manifest GROUP BY 1),
+o AS MATERIALIZED (SELECT u.*, patient_id FROM u JOIN w USING (image_id)),
+s AS (SELECT a.image_id, a.patient_id = b.patient_id AS same, round(list_inner_product(a.u, b.u), 6) AS sim FROM o a JOIN o b ON a.image_id <> b.image_id WHERE a.image_id % 50 = 0),
+t AS (SELECT image_id, max(sim) FILTER (same) AS best_same_patient_thumb_ncc, max(sim) FILTER (NOT same) AS best_other_patient_thumb_ncc FROM s GROUP BY 1)
+SELECT image_id, patient_id, best_same_patient_thumb_ncc, best_other_patient_thumb_ncc FROM o LEFT JOIN t USING (image_id) WHERE image_id % 50 = 0"""
+
 
 def queries() -> dict:
     return {
@@ -92,5 +103,6 @@ def oracle_sql() -> dict[str, str]:
         "p2_found": P2_SQL,
         "p3_found": P3_SQL,
         "p5_found": P5_SQL,
+        "p5_nn_similarity": P5_NN_SQL,
         "p3_group_sizes": f"SELECT n_images, count(*) AS n_groups FROM (SELECT group_id, count(*) AS n_images FROM ({P3_SQL}) GROUP BY group_id) GROUP BY n_images",
     }
