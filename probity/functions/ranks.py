@@ -23,3 +23,16 @@ def group_rank(df: DataFrame, group: list[str], value: str, tie: list[str], widt
 def count_distinct_over(column: str, by: list[str]) -> Column:
     """The number of distinct values over a partition, for which windows have no DISTINCT."""
     return F.size(F.collect_set(column).over(Window.partitionBy(*by)))
+
+
+def sum_before(df: DataFrame, group: list[str], order: str, width: int, value: str, name: str) -> DataFrame:
+    """df with name: the sum of value over the rows of the group with a smaller `order`, a BIGINT that no two rows of a group share.
+
+    Sums run within ranges of `width` orders and over the ranges, so no task sees a whole group.
+    """
+    parted = df.withColumn("_range", F.expr(f"`{order}` div {width}L"))
+    upto = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parted.groupBy(*group, "_range").agg(F.sum(value).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).drop("_n")
+    within = Window.partitionBy(*group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = parted.withColumn("_in", F.coalesce(F.sum(value).over(within), F.lit(0))).join(offsets, [*group, "_range"])
+    return summed.withColumn(name, F.col("_before") + F.col("_in")).drop("_range", "_before", "_in")
