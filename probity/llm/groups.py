@@ -21,46 +21,73 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.session import cut, plain_id, plain_image_id, plain_stem, table
+from ..functions.skew import lookup
 
 
 # --- problem 3 -------------------------------------------------------------------------------------------
 
+_HALF = (1 << 32) - 1
+
+
+def _turn(half: F.Column, k: int) -> F.Column:
+    return F.xxhash64(half, F.lit(k)).bitwiseAND(F.lit(_HALF))
+
+
+def shuffled_id(col: str) -> F.Column:
+    """A BIGINT put one to one on another, by three turns of its halves; the order of the results is that of a hash."""
+    left, right = F.shiftrightunsigned(col, 32), F.col(col).bitwiseAND(F.lit(_HALF))
+    for k in range(3):
+        left, right = right, left.bitwiseXOR(_turn(right, k))
+    return F.shiftleft(left, 32).bitwiseOR(right)
+
+
+def plain_again(col: str) -> F.Column:
+    """The BIGINT that shuffled_id put on this one."""
+    left, right = F.shiftrightunsigned(col, 32), F.col(col).bitwiseAND(F.lit(_HALF))
+    for k in (2, 1, 0):
+        left, right = right.bitwiseXOR(_turn(left, k)), left
+    return F.shiftleft(left, 32).bitwiseOR(right)
+
+
+def both_ways(links: DataFrame) -> DataFrame:
+    return links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+
+
+def prune(graph: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """One round on the n links (u, v) of a graph: the vertices that drop out as (child, parent), and the graph that is left."""
+    nearest = graph.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    given = cut(lookup(graph, nearest, "u", "n", n).select(F.col("v").alias("x"), "m").unionByName(nearest.select(F.col("u").alias("x"), "m")).distinct())
+    least = given.groupBy("x").agg(F.min("m").alias("top"), F.max(F.col("m") == F.col("x")).alias("stays"), F.count("*").alias("n"))
+    pruned = least.where("not stays").select(F.col("x").alias("child"), F.col("top").alias("parent"))
+    left = lookup(given, least.select("x", "top", "n"), "x", "n", n).where("m != top").select(F.col("m").alias("u"), F.col("top").alias("v"))
+    return pruned, cut(both_ways(left))
+
+
 def connected_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(group_id, vertex): every vertex of a link with the smallest vertex it is linked to, directly or not.
 
-    Work per round is a few equi-joins and grouped minima on the links that are left, which partial
-    aggregation combines before the shuffle; the number of rounds grows as the logarithm of the graph.
+    Minima are taken in a hashed order of the vertices (`shuffled_id`), so that chains whose ids rise along them are pruned as
+    fast as any; the smallest id of each seed's group is looked up at the end. Work per round is a few equi-joins
+    and grouped minima on the links that are left, with partial aggregation before and hot vertices apart from
+    the shuffle; the number of rounds grows as the logarithm of the graph.
     """
-    links = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u != v")
-    graph = cut(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    vertices = None
-    forest: list[DataFrame] = []
-    while not graph.isEmpty():
-        nearest = graph.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        if vertices is None:
-            vertices = graph.select("u").distinct()
-        given = cut(
-            graph.join(nearest, "u").select(F.col("v").alias("x"), "m")
-            .unionByName(nearest.select(F.col("u").alias("x"), "m")).distinct()
-        )
-        least = given.groupBy("x").agg(F.min("m").alias("top"), F.max(F.col("m") == F.col("x")).alias("stays"))
-        forest.append(least.where("not stays").select(F.col("x").alias("child"), F.col("top").alias("parent")))
-        left = given.join(least.select("x", "top"), "x").where("m != top").select(F.col("m").alias("u"), F.col("top").alias("v"))
-        graph = cut(left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    if vertices is None:
-        return graph.select(F.col("u").alias("group_id"), F.col("u").alias("vertex"))
-    known: DataFrame | None = None
+    links = pairs.select(F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b")).where("a is not null and b is not null and a != b").select(
+        shuffled_id("a").alias("u"), shuffled_id("b").alias("v"))
+    graph = cut(both_ways(links))
+    vertices, n, forest = graph.select("u").distinct(), graph.count(), []
+    while n:
+        pruned, graph = prune(graph, n)
+        forest.append(pruned)
+        n = graph.count()
+    known = vertices.select(F.col("u").alias("x"), F.col("u").alias("seed")).where("false")
     for depth, pruned in enumerate(reversed(forest)):
-        if known is None:
-            known = pruned.select(F.col("child").alias("x"), F.col("parent").alias("seed"))
-        else:
-            below = pruned.join(known.withColumnRenamed("x", "parent"), "parent", "left").select(
-                F.col("child").alias("x"), F.coalesce("seed", "parent").alias("seed"))
-            known = known.unionByName(below)
+        below = pruned.join(known.withColumnRenamed("x", "parent"), "parent", "left").select(F.col("child").alias("x"), F.coalesce("seed", "parent").alias("seed"))
+        known = known.unionByName(below)
         if depth % 3 == 2:
             known = cut(known)
-    return vertices.join(known.withColumnRenamed("x", "u"), "u", "left").select(
-        F.coalesce("seed", "u").alias("group_id"), F.col("u").alias("vertex"))
+    member = cut(vertices.join(known.withColumnRenamed("x", "u"), "u", "left").select(F.coalesce("seed", "u").alias("seed"), plain_again("u").alias("vertex")))
+    groups = member.groupBy("seed").agg(F.min("vertex").alias("group_id"), F.count("*").alias("n"))
+    return lookup(member, groups, "seed", "n", member.count()).select("group_id", "vertex")
 
 
 def image_matches(candidates: DataFrame, at_least: float = 0.99) -> DataFrame:
@@ -89,16 +116,16 @@ def entity_labels(edges: DataFrame, record: str, entity: str) -> DataFrame:
     the label of the label, so that long chains close in a logarithmic number of rounds.
     """
     edges = cut(edges.select(F.col(record).alias("r"), F.col(entity).alias("e")).where("r is not null and e is not null").distinct())
-    labels = edges.select("r").distinct().withColumn("l", F.col("r"))
+    n = edges.count()
+    labels = edges.groupBy("r").agg(F.count("*").alias("n")).select("r", F.col("r").alias("l"), "n")
     while True:
-        of_entity = edges.join(labels, "r").groupBy("e").agg(F.min("l").alias("l"))
-        spread = edges.join(of_entity, "e").groupBy("r").agg(F.min("l").alias("n"))
-        jump = labels.select(F.col("r").alias("n"), F.col("l").alias("far"))
-        moved = cut(
-            labels.join(spread, "r").join(jump, "n")
-            .select("r", F.least("n", "far").alias("l"), (F.least("n", "far") != F.col("l")).alias("moved"))
-        )
-        labels = moved.select("r", "l")
+        of_entity = lookup(edges, labels, "r", "n", n).groupBy("e").agg(F.min("l").alias("l"), F.count("*").alias("n"))
+        spread = lookup(edges, of_entity, "e", "n", n).groupBy("r").agg(F.min("l").alias("best"), F.count("*").alias("n"))
+        now = cut(spread.join(labels.select("r", "l"), "r"))
+        # the label of the label, once for each label
+        far = now.groupBy("best").agg(F.count("*").alias("m")).join(labels.select(F.col("r").alias("best"), F.col("l").alias("far")), "best")
+        moved = cut(lookup(now, far, "best", "m", n).select("r", F.least("best", "far").alias("l"), "n", (F.least("best", "far") != F.col("l")).alias("moved")))
+        labels = moved.select("r", "l", "n")
         if moved.where("moved").isEmpty():
             return labels.select(F.col("r").alias("record"), F.col("l").alias("label"))
 
@@ -131,48 +158,47 @@ def assign_splits(records: DataFrame, entity: str, label: str, weight: str, shar
     1/hot of them) are placed first, largest first, each where the labels' deviation from the shares stays
     least. The others are placed in the same way within hashed blocks of about `block` entities, against
     the shares that the hot ones left; blocks are independent tasks of bounded size.
-    Null labels count as a label of their own; weights that are null or below 0 count 0.
+    Null labels count as a label of their own; weights that are null or below 0 count 0; where no weight is above 0, every record counts 1.
     """
     names = list(shares)
-    per = records.select(
-        F.col(entity).alias("entity"), F.coalesce(F.col(label).cast("string"), F.lit("-")).alias("label"),
+    per = cut(records.select(
+        F.col(entity).cast("string").alias("entity"), F.coalesce(F.col(label).cast("string"), F.lit("-")).alias("label"),
         F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("w"),
-    ).where("entity is not null").groupBy("entity", "label").agg(F.sum("w").alias("w"))
-    per = cut(per)
-    totals = {r["label"]: r["w"] for r in per.groupBy("label").agg(F.sum("w").alias("w")).collect()}  # one row a label
-    n, all_w = per.select("entity").distinct().count(), sum(totals.values())
-    sized = per.join(per.groupBy("entity").agg(F.sum("w").alias("size")), "entity")
-    blocks = max(1, -(-n // block))
-
-    def placed(rows: DataFrame, targets: dict[str, dict[str, float]]) -> DataFrame:
-        def place(pdf: pd.DataFrame) -> pd.DataFrame:
-            labels = sorted(pdf["label"].unique())
-            wide = pdf.pivot_table(index="entity", columns="label", values="w", aggfunc="sum", fill_value=0.0)[labels]
-            order = sorted(range(len(wide)), key=lambda i: (-wide.iloc[i].sum(), wide.index[i]))
-            m = wide.to_numpy()
-            scale = np.maximum(m.sum(axis=0), 1e-9)
-            goal = np.array([[targets[s].get(x, shares[s]) for x in labels] for s in names]) * scale
-            have, out = np.zeros_like(goal), []
-            for i in order:
-                after = (((have + m[i] - goal) / scale) ** 2 - ((have - goal) / scale) ** 2).sum(axis=1)
-                k = int(np.argmin(after))
-                have[k] += m[i]
-                out.append((wide.index[i], names[k]))
-            return pd.DataFrame(out, columns=["entity", "split"])
-
+    ).where("entity is not null").groupBy("entity", "label").agg(F.sum("w").alias("w"), F.count("*").cast("double").alias("records")))
+    whole = per.agg(F.sum("w").alias("w"), F.sum("records").alias("records"), F.count("*").alias("n"), F.countDistinct("entity").alias("entities")).first()
+    if not whole["w"]:
+        per = per.withColumn("w", F.col("records"))
+    all_w, blocks = whole["w"] or whole["records"] or 0.0, max(1, -(-whole["entities"] // block))
+    goals = [f"goal_{i}" for i in range(len(names))]
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index="entity", columns="label", values="w", aggfunc="sum", fill_value=0.0)
+        order = sorted(range(len(wide)), key=lambda i: (-wide.iloc[i].sum(), wide.index[i]))
+        m = wide.to_numpy()
+        scale = np.maximum(m.sum(axis=0), 1e-9)
+        goal = pdf.groupby("label")[goals].first().loc[wide.columns].to_numpy().T * scale
+        have, out = np.zeros_like(goal), []
+        for i in order:
+            after = (((have + m[i] - goal) / scale) ** 2 - ((have - goal) / scale) ** 2).sum(axis=1)
+            k = int(np.argmin(after))
+            have[k] += m[i]
+            out.append((wide.index[i], names[k]))
+        return pd.DataFrame(out, columns=["entity", "split"])
+
+    def placed(rows: DataFrame) -> DataFrame:
         return rows.groupBy("block").applyInPandas(place, "entity string, split string")
 
-    sized = sized.withColumn("entity", F.col("entity").cast("string"))
-    big = sized.where(F.col("size") >= hot * all_w).withColumn("block", F.lit(0))
-    first = cut(placed(big, {s: {} for s in names}))
-    taken = {(r["split"], r["label"]): r["w"] for r in big.join(first, "entity").groupBy("split", "label").agg(F.sum("w").alias("w")).collect()}
-    targets: dict[str, dict[str, float]] = {s: {} for s in names}
-    for x, w in totals.items():
-        rest = {s: max(0.0, shares[s] * w - taken.get((s, x), 0.0)) for s in names}
-        for s in names:
-            targets[s][x] = rest[s] / sum(rest.values()) if sum(rest.values()) > 0 else shares[s]
+    sized = cut(per.join(per.groupBy("entity").agg(F.sum("w").alias("size")), "entity"))
+    big = sized.where(F.col("size") >= hot * all_w).withColumns({"block": F.lit(0), **{g: F.lit(shares[s]) for g, s in zip(goals, names)}})
+    first = cut(placed(big))
+    # what each label's hot entities left of the shares, one row a label
+    taken = big.join(first, "entity").groupBy("label").agg(*(F.sum(F.when(F.col("split") == s, F.col("w")).otherwise(0.0)).alias(f"taken_{i}") for i, s in enumerate(names)))
+    left = per.groupBy("label").agg(F.sum("w").alias("w"), F.count("*").alias("n")).join(taken, "label", "left")
+    left = left.select("label", "n", *(F.greatest(F.lit(0.0), F.lit(shares[s]) * F.col("w") - F.coalesce(f"taken_{i}", F.lit(0.0))).alias(f"rest_{i}") for i, s in enumerate(names)))
+    rest = sum((F.col(f"rest_{i}") for i in range(len(names))), F.lit(0.0))
+    left = cut(left.select("label", "n", *(F.coalesce(F.try_divide(F.col(f"rest_{i}"), rest), F.lit(shares[s])).alias(g) for i, (g, s) in enumerate(zip(goals, names)))))
     small = sized.where(F.col("size") < hot * all_w).withColumn("block", F.pmod(F.xxhash64("entity"), F.lit(blocks)))
-    return first.unionByName(placed(small, targets))
+    return first.unionByName(placed(lookup(small, left, "label", "n", whole["n"])))
 
 
 def _split_records(spark, sf_dir: str) -> DataFrame:
@@ -193,7 +219,8 @@ def p2_splits(spark, sf_dir: str) -> DataFrame:
 
 
 def p2_balance(spark, sf_dir: str) -> DataFrame:
-    """(split, label, n_patients, n_images, share): what each split holds of each label's images."""
+    """(split, label, n_patients, n_images, share, deviation): what each split holds of each label's images, and how far that is from its proportion."""
     by = p2_splits(spark, sf_dir).groupBy("split", "label").agg(F.count("*").alias("n_patients"), F.sum("n_images").alias("n_images"))
     whole = F.sum("n_images").over(Window.partitionBy("label"))
-    return by.withColumn("share", F.round(F.try_divide(F.col("n_images").cast("double"), whole), 6))
+    goal = F.coalesce(*(F.when(F.col("split") == s, F.lit(x)) for s, x in SPLITS.items()))
+    return by.withColumn("share", F.round(F.try_divide(F.col("n_images").cast("double"), whole), 6)).withColumn("deviation", F.round(F.col("share") - goal, 6))

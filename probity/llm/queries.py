@@ -91,6 +91,8 @@ def queries() -> dict:
         "p6_fertility": encode.p6_fertility,
         "p7_mix": mixing.p7_mix,
         "p7_shares": mixing.p7_shares,
+        "p7_deviation": mixing.p7_deviation,
+        "p7_filled_shares": mixing.p7_filled_shares,
         "p8_found": truncated.p8_found,
         "p8_rates": truncated.p8_rates,
     }

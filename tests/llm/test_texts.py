@@ -107,6 +107,44 @@ def test_mix_reaches_shares_within_caps(spark):
     assert all(len(s) == 1 for s in by_slot.values())
 
 
+@pytest.mark.parametrize("shares", [(0.6, 0.25, 0.15), (0.7, 0.29999, 0.00001), (1 / 3, 1 / 7, 11 / 21)])
+def test_mix_is_never_a_block_of_tokens_off(spark, shares):
+    rng = random.Random(3)
+    docs = [(1000 * k + i, s, rng.choice([1, 7, 40, 90, 700])) for k, s in enumerate("abc") for i in range(120)]
+    pieces = mx.mix_pieces(spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint"), spark.createDataFrame([(s, x, 2) for s, x in zip("abc", shares)], TARGETS), block=32, per_bucket=50)
+    rows = sorted(pieces.collect(), key=lambda r: (r["slot"], r["start"]))
+    weights, done, every = dict(zip("abc", shares)), dict.fromkeys("abc", 0), 0
+    assert [r["slot"] for r in rows][-1] == len({r["slot"] for r in rows}) - 1
+    for r in rows:
+        n = r["last"] - r["first"] + 1
+        done[r["source"]] += n
+        every += n
+        assert all(abs(done[s] - weights[s] * every) < 32 * 1.01 for s in done)
+    worst = [r["worst"] for r in mx.deviation(pieces, 32).collect()]
+    assert max(worst) < 1.01
+    whole = {d: n for d, _, n in docs}
+    by = {}
+    for r in rows:
+        by.setdefault((r["doc_id"], r["copy"]), []).append((r["first"], r["last"]))
+    for (d, _), parts in by.items():
+        parts.sort()
+        assert parts[0][0] == 0 and all(p[1] + 1 == q[0] for p, q in zip(parts, parts[1:])) and parts[-1][1] < whole[d]
+    assert all(done[s] > 0 for s in done if weights[s] * every >= 32)
+
+
+def test_a_stated_total_is_filled_and_falls_short_openly(spark):
+    docs = [(i, "big", 10) for i in range(2000)] + [(9000, "tiny", 64)]
+    sizes, targets = spark.createDataFrame(docs, "doc_id bigint, source string, tokens bigint"), spark.createDataFrame([("big", 0.5, 1), ("tiny", 0.5, 3)], TARGETS)
+    got = {r["source"]: r for r in mx.shares(mx.mix_pieces(sizes, targets, total=20_000), targets).collect()}
+    assert got["tiny"]["n_tokens"] == 192 and got["tiny"]["most_copies"] == 3 and got["big"]["n_tokens"] == 156 * 64 and got["tiny"]["actual_share"] < 0.02
+
+
+def test_weights_keep_every_source():
+    assert mx.weights_of({"a": 0.12, "b": 0.13, "c": 0.75}) == {"a": 12, "b": 13, "c": 75}
+    assert mx.weights_of({"a": 0.5, "b": 1e-9, "c": 0.0}) == {"a": 1_000_000, "b": 1}
+    assert mx.weights_of({}) == {}
+
+
 def test_mix_of_nothing(spark):
     sizes = spark.createDataFrame([], "doc_id bigint, source string, tokens bigint")
     targets = spark.createDataFrame([("a", 1.0, 1)], TARGETS)
@@ -190,5 +228,5 @@ def test_tags(spark):
 
 def test_queries_run(spark):
     from probity.llm import queries as q
-    for name in ("p6_fertility", "p7_mix", "p7_shares", "p8_found", "p8_rates"):
+    for name in ("p6_fertility", "p7_mix", "p7_shares", "p7_deviation", "p7_filled_shares", "p8_found", "p8_rates"):
         assert q.queries()[name](spark, str(DATA)).columns
