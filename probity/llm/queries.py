@@ -95,6 +95,7 @@ def queries() -> dict:
         "p7_filled_shares": mixing.p7_filled_shares,
         "p8_found": truncated.p8_found,
         "p8_rates": truncated.p8_rates,
+        "p8_rules": truncated.p8_rules,
     }
 
 

@@ -6,10 +6,12 @@ tokens (the backoff for trigrams that are too rare to tell). A text is a candida
 frequent inside texts and almost never ends one: it stops where texts go on. What is put at a cut (an
 ellipsis in brackets, a hyphen, broken characters) is taken off before.
 
+Trigrams are counted by their hashes, two BIGINTs for the words and the classes.
+
 Then the candidates are checked: a short text without any sentence mark is a heading unless its last word is
 no whole word of the corpus but the start of one, or its length lies at a limit of its source, or its recorded length is more than
 it can have; a text that ends with an ellipsis counts only if its length lies at a limit of its
-source and the source often ends its texts so there. A limit is a length, in characters or bytes, at which a source has far more texts than just below it.
+source and the source often ends its texts so there, or if the word before it is none of the corpus but the start of one. A limit is a length, in characters or bytes, at which a source has far more texts than just below it.
 A text that ends inside a tag or
 address or just after an opening tag is always cut.
 
@@ -23,13 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import cut, table
+from ..functions.skew import lookup
 
 #: A source's name without case, outer blanks, hyphens or inner blanks.
 SOURCE = r"regexp_replace(lower(trim(source)), '[\\s\\-]+', '_')"
 
 _TOKEN = r"</?[\\pL][^<>]*>|<[^<>]*$|\\p{{IsHan}}|[\\pL\\pM&&[^\\p{{IsHan}}]]+(?:[\\x27’][\\pL\\pM&&[^\\p{{IsHan}}]]+)*|\\pN+|\\.\\.\\.|[^\\s]"
-_CLASS = r"""CASE WHEN x rlike '^</?\\pL.*>$' THEN 't' WHEN x rlike '^\\p{{IsHan}}' THEN 'h' WHEN x rlike '^[\\pL\\pM]' THEN 'w' WHEN x rlike '^\\pN' THEN 'n'
-    WHEN x rlike '^[.!?。！？؟।]$' THEN 's' WHEN x IN ('…', '...') THEN 'e' WHEN x rlike '^["”»’)\\]}}」』]$' THEN 'q' ELSE x END"""
+_CLASS = r"""CASE WHEN x rlike '^[\\pL\\pM&&[^\\p{{IsHan}}]]' THEN 'w' WHEN x IN ('.', '!', '?', '。', '！', '？', '؟', '।') THEN 's' WHEN x rlike '^\\p{{IsHan}}' THEN 'h' WHEN x rlike '^\\pN' THEN 'n'
+    WHEN x IN ('…', '...') THEN 'e' WHEN x rlike '^["”»’)\\]}}」』]$' THEN 'q' WHEN x rlike '^</?\\pL.*>$' THEN 't' ELSE x END"""
 
 #: What a system puts where it cut, and blanks; an ellipsis alone may be the author's and stays.
 _MARK = r"\\[(?:…|\\.\\.\\.)\\]|�|(?<=[\\pL\\pM\\pN\\s])-"
@@ -60,14 +63,18 @@ def read_tokens(documents: DataFrame) -> DataFrame:
         FROM tok""", docs=documents)
 
 
+def _trigram(a: str, i: str) -> str:
+    """The hash of the trigram that ends at position i of the array a; two marks stand before its first token."""
+    return f"xxhash64(coalesce(get({a}, {i} - 2), '^'), coalesce(get({a}, {i} - 1), '^'), get({a}, {i}))"
+
+
 def trigrams(tokens: DataFrame) -> DataFrame:
-    """(tri, tri_c, inside, at_end): all trigrams with their classes, counted inside and at the ends of different texts."""
+    """(tri, tri_c, inside, at_end): the hashes of all trigrams and of their classes, counted inside and at the ends of different texts."""
     return tokens.sparkSession.sql(
-        """
+        f"""
         SELECT t.w AS tri, t.c AS tri_c, count_if(NOT t.last) AS inside, count_if(t.last) AS at_end FROM (
-          SELECT explode(transform(sequence(1, size(w)), i -> struct(
-            concat_ws(' ', slice(concat(array('^', '^'), w), i, 3)) AS w, concat_ws(' ', slice(concat(array('^', '^'), c), i, 3)) AS c, i = size(w) AS last))) AS t
-          FROM {tok} WHERE size(w) > 0) GROUP BY 1, 2""", tok=tokens)
+          SELECT explode(transform(w, (x, i) -> struct({_trigram('w', 'i')} AS w, {_trigram('c', 'i')} AS c, i = size(w) - 1 AS last))) AS t
+          FROM {{tok}} WHERE size(w) > 0) GROUP BY 1, 2""", tok=tokens)
 
 
 def limits(texts: DataFrame, least: int = 4, times: float = 6.0) -> DataFrame:
@@ -86,8 +93,14 @@ def limits(texts: DataFrame, least: int = 4, times: float = 6.0) -> DataFrame:
         texts=texts, least=least, times=times)
 
 
+def _join_counted(rows: DataFrame, table_: DataFrame, key: str) -> DataFrame:
+    """rows (left) joined with table_ by key, each different key once, keys of many rows apart from the shuffle."""
+    per_key = rows.groupBy(key).agg(F.count("*").alias("_n")).join(table_, key, "left")
+    return lookup(rows, per_key, key, "_n", rows.count())
+
+
 def cut_texts(documents: DataFrame, frequent: int = 20, share: float = 0.1, heading: int = 6) -> DataFrame:
-    """(doc_id, src, cut, at_limit): all texts that are not blank, and whether they lost their end.
+    """(doc_id, src, cut, at_limit, ..., rule): all texts that are not blank, whether they lost their end, and by which evidence.
 
     Copies count once: trigrams are those of the different texts, lengths those of the different texts of a
     source. The verdict is joined back to all rows, of which each has its own recorded length.
@@ -99,39 +112,44 @@ def cut_texts(documents: DataFrame, frequent: int = 20, share: float = 0.1, head
     rows, tokens = cut(read_texts(documents)), cut(read_tokens(documents))
     counts = cut(trigrams(tokens))
     by_class = spark.sql("SELECT tri_c, sum(inside) AS ci, sum(at_end) AS ce FROM {n} GROUP BY 1", n=counts)
-    by_word = spark.sql("SELECT tri, sum(inside) AS wi, sum(at_end) AS we FROM {n} WHERE inside + at_end >= {least} GROUP BY 1", n=counts, least=frequent)
-    whole = spark.sql("SELECT DISTINCT x AS last_word FROM (SELECT explode(slice(w, 1, size(w) - 1)) AS x FROM {tok} WHERE size(w) > 1) WHERE x rlike '^[\\\\pL\\\\pM]'", tok=tokens)
-    starts = spark.sql("SELECT DISTINCT explode(transform(sequence(1, char_length(last_word) - 1), i -> substring(last_word, 1, i))) AS last_word FROM {whole} WHERE char_length(last_word) > 1", whole=whole)
+    by_word = spark.sql("SELECT tri, sum(inside) AS wi, sum(at_end) AS we FROM {n} GROUP BY 1 HAVING sum(inside + at_end) >= {least}", n=counts, least=frequent)
+    # the words that something other than an ellipsis follows
+    whole = spark.sql("SELECT DISTINCT x AS word FROM (SELECT explode(transform(w, (x, i) -> IF(get(c, i) = 'w' AND get(c, i + 1) <> 'e', x, NULL))) AS x FROM {tok}) WHERE x IS NOT NULL", tok=tokens)
+    whole = cut(whole)
+    starts = spark.sql("SELECT DISTINCT explode(transform(sequence(1, char_length(word) - 1), i -> substring(word, 1, i))) AS word FROM {whole} WHERE char_length(word) > 1", whole=whole)
     homes = rows.select("src", "key").distinct()
-    last = spark.sql(
-        """
-        SELECT src, key, chars, bytes, chars_left, in_tag, marked, in_address, element_at(w, -1) AS last_word, element_at(c, -1) AS last_class,
-          concat_ws(' ', slice(concat(array('^', '^'), w), -3, 3)) AS tri, concat_ws(' ', slice(concat(array('^', '^'), c), -3, 3)) AS tri_c,
+    last = cut(spark.sql(
+        f"""
+        SELECT key, chars, bytes, chars_left, in_tag, marked, in_address, get(w, size(w) - 1) AS last_word, get(c, size(c) - 1) AS last_class,
+          {_trigram('w', 'size(w) - 1')} AS tri, {_trigram('c', 'size(w) - 1')} AS tri_c,
+          CASE WHEN get(c, size(c) - 1) = 'w' THEN get(w, size(w) - 1) WHEN get(c, size(c) - 1) = 'e' AND get(c, size(c) - 2) = 'w' THEN get(w, size(w) - 2) END AS word,
           NOT exists(slice(c, 1, size(c) - 1), x -> x IN ('s', 'e')) AS one, size(filter(c, x -> x = 'w')) + size(filter(c, x -> x IN ('h', 'n'))) / 2.0D AS words
-        FROM {homes} JOIN {tok} USING (key) WHERE size(w) > 0""", homes=homes, tok=tokens)
-    seen = limits(spark.sql("SELECT src, chars, bytes, chars_left FROM {homes} JOIN {tok} USING (key)", homes=homes, tok=tokens))
+        FROM {{tok}} WHERE size(w) > 0""", tok=tokens))
+    with_word = _join_counted(last.where("word is not null"), whole.withColumn("is_word", F.lit(True)).join(starts.withColumn("begins", F.lit(True)), "word", "full"), "word")
+    last = cut(with_word.unionByName(last.where("word is null").withColumns({"is_word": F.lit(None).cast("boolean"), "begins": F.lit(None).cast("boolean")})))
+    known = cut(_join_counted(_join_counted(last, by_word, "tri"), by_class, "tri_c"))
+    known = homes.join(known, "key")
+    seen = cut(limits(spark.sql("SELECT src, chars, bytes, chars_left FROM {homes} JOIN {tok} USING (key)", homes=homes, tok=tokens)))
     spike = lambda unit, col: seen.where(F.col("unit") == unit).select("src", F.col("len").alias(col), F.lit(True).alias(f"at_{unit}"))
-    joined = (
-        last.join(by_word, "tri", "left").join(by_class, "tri_c", "left")
-        .join(whole.withColumn("is_word", F.lit(True)), "last_word", "left").join(starts.withColumn("begins", F.lit(True)), "last_word", "left")
-        .join(spike("chars", "chars"), ["src", "chars"], "left").join(spike("bytes", "bytes"), ["src", "bytes"], "left").join(spike("left", "chars_left"), ["src", "chars_left"], "left")
-    )
+    joined = known.join(spike("chars", "chars"), ["src", "chars"], "left").join(spike("bytes", "bytes"), ["src", "bytes"], "left").join(spike("left", "chars_left"), ["src", "chars_left"], "left")
     judged = cut(spark.sql(
         """
         SELECT *, coalesce(at_chars, false) OR coalesce(at_bytes, false) OR coalesce(at_left, false) AS at_limit,
           CASE WHEN coalesce(wi + we, 0) >= {frequent} THEN we <= {share} * (wi + we) ELSE coalesce(ci, 0) >= {frequent} AND ce <= {share} * (ci + ce) END AS goes_on,
-          last_class = 'w' AND is_word IS NULL AS no_word, coalesce(begins, false) AS is_start FROM {joined}""", joined=joined, frequent=frequent, share=share))
+          word IS NOT NULL AND is_word IS NULL AS no_word, coalesce(begins, false) AS is_start FROM {joined}""", joined=joined, frequent=frequent, share=share))
     marks = spark.sql("SELECT src, avg(double(last_class = 'e')) >= 0.3 AS marks FROM {judged} WHERE at_limit GROUP BY src", judged=judged)
     return spark.sql(
         """
-        SELECT doc_id, src, last_class, goes_on, at_limit, no_word, is_start, one, words, marked, in_tag, CASE
-          WHEN in_tag OR in_address THEN true
-          WHEN last_class = 'e' THEN at_limit AND marks
-          WHEN last_class = 't' THEN goes_on OR last_word rlike '^<[^/>]([^>]*[^/>])?>$'
-          WHEN last_class IN ('s', 'q') THEN false
-          WHEN one AND words <= {heading} THEN (no_word AND is_start) OR at_limit OR coalesce(n_chars > bytes + 2, false) OR marked
-          ELSE goes_on OR no_word OR at_limit END AS cut
-        FROM {rows} JOIN {judged} USING (src, key) LEFT JOIN {marks} USING (src)""", rows=rows, judged=judged, marks=marks, heading=heading)
+        SELECT *, CASE WHEN NOT coalesce(cut, false) THEN NULL WHEN in_tag OR in_address OR last_class = 't' THEN 'markup' WHEN last_class = 'e' AND at_limit THEN 'mark at a limit' WHEN goes_on THEN 'trigram'
+            WHEN no_word THEN 'word' ELSE 'limit' END AS rule FROM (
+          SELECT doc_id, src, last_class, goes_on, at_limit, no_word, is_start, one, words, marked, in_tag, in_address, CASE
+            WHEN in_tag OR in_address THEN true
+            WHEN last_class = 'e' THEN coalesce(at_limit AND marks, false) OR (no_word AND is_start)
+            WHEN last_class = 't' THEN goes_on OR last_word rlike '^<[^/>]([^>]*[^/>])?>$'
+            WHEN last_class IN ('s', 'q') THEN false
+            WHEN one AND words <= {heading} THEN (no_word AND is_start) OR at_limit OR coalesce(n_chars > bytes + 2, false) OR marked
+            ELSE goes_on OR no_word OR at_limit END AS cut
+          FROM {rows} JOIN {judged} USING (src, key) LEFT JOIN {marks} USING (src))""", rows=rows, judged=judged, marks=F.broadcast(marks), heading=heading)
 
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
@@ -142,3 +160,8 @@ def p8_rates(spark, sf_dir: str) -> DataFrame:
     """(source, n_texts, n_cut, share): how often each source cuts its texts."""
     return cut_texts(table(spark, sf_dir, "documents")).groupBy(F.nullif("src", F.lit("")).alias("source")).agg(
         F.count("*").alias("n_texts"), F.count_if("cut").alias("n_cut"), F.round(F.avg(F.col("cut").cast("double")), 6).alias("share"))
+
+
+def p8_rules(spark, sf_dir: str) -> DataFrame:
+    """(rule, n_cut): by which evidence the cut texts were found."""
+    return cut_texts(table(spark, sf_dir, "documents")).where("cut").groupBy("rule").agg(F.count("*").alias("n_cut"))

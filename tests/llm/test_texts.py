@@ -228,5 +228,5 @@ def test_tags(spark):
 
 def test_queries_run(spark):
     from probity.llm import queries as q
-    for name in ("p6_fertility", "p7_mix", "p7_shares", "p7_deviation", "p7_filled_shares", "p8_found", "p8_rates"):
+    for name in ("p6_fertility", "p7_mix", "p7_shares", "p7_deviation", "p7_filled_shares", "p8_found", "p8_rates", "p8_rules"):
         assert q.queries()[name](spark, str(DATA)).columns
