@@ -50,13 +50,17 @@ def _plain(value: str) -> F.Column:
 
 
 def _exploded(files: DataFrame, key: str) -> DataFrame:
-    """One row a field of a readable record: field, value (a variant) and bit, its kind (0 for null)."""
+    """One row a field of a readable record: field, value (a variant) and bit, its kind (0 for null).
+
+    Where files has a column names, an array, only those fields are taken.
+    """
+    wanted = "names" in files.columns
     # what is no object has no fields, so it needs no filter, which would parse every record once more
-    records = files.select(_SERIES, _SEQ, "row_no", F.try_parse_json("record").alias("v"))
+    records = files.select(_SERIES, _SEQ, "row_no", *(["names"] if wanted else []), F.try_parse_json("record").alias("v"))
     flat = files.sparkSession.sql(
         f"""SELECT r.{_SERIES}, r.{_SEQ}, r.row_no, coalesce(try_variant_get(r.v, '$.{key}', 'string'), concat('#', r.row_no)) AS row_key,
                f.key AS field, schema_of_variant(f.value) AS shape, f.value AS value
-            FROM {{r}} r, LATERAL variant_explode(r.v) f WHERE f.key IS NOT NULL""", r=records)
+            FROM {{r}} r, LATERAL variant_explode(r.v) f WHERE f.key IS NOT NULL {"AND array_contains(r.names, f.key)" if wanted else ""}""", r=records)
     shape = F.col("shape")
     bit = (F.when(shape == "VOID", 0).when(shape == "STRING", BITS["string"]).when(shape == "BOOLEAN", BITS["boolean"]).when(shape == "BIGINT", _INTEGER)
            .when(shape.startswith("ARRAY"), BITS["array"]).when(shape.startswith("OBJECT"), BITS["object"]).when(shape.endswith(",0)"), _INTEGER).otherwise(_DOUBLE))
@@ -78,11 +82,8 @@ def read_fields(files: DataFrame, key: str = "image_id") -> DataFrame:
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """(run_series, file_seq, prev_seq, field, kind, bits): each file's names and kinds, with the file before it."""
-    names = _exploded(files, "image_id").groupBy(_SERIES, _SEQ, "field").agg(F.bit_or("bit").alias("bits")).withColumn("kind", _kinds(F.col("bits")))
-    seqs = names.select(_SERIES, _SEQ).distinct()
-    before = seqs.withColumn("prev_seq", F.lag(_SEQ).over(Window.partitionBy(_SERIES).orderBy(_SEQ)))
-    return names.join(before, [_SERIES, _SEQ])
+    """(run_series, file_seq, field, kind, bits): each file's names and kinds."""
+    return _exploded(files, "image_id").groupBy(_SERIES, _SEQ, "field").agg(F.bit_or("bit").alias("bits")).withColumn("kind", _kinds(F.col("bits")))
 
 
 def renames(fields: DataFrame, gone: DataFrame, come: DataFrame, least: float = 0.8, noise: float = 0.1) -> DataFrame:
@@ -124,16 +125,16 @@ def compare(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFram
     name went and another came, and of the files before them.
     """
     here = cut(headers(files))
-    after = here.select(_SERIES, _SEQ, "prev_seq").where("prev_seq is not null").distinct()
+    after = here.select(_SERIES, _SEQ).distinct().withColumn("prev_seq", F.lag(_SEQ).over(Window.partitionBy(_SERIES).orderBy(_SEQ))).where("prev_seq is not null")
     then = here.select(_SERIES, F.col(_SEQ).alias("prev_seq"), "field", F.col("kind").alias("old_kind"), F.lit(True).alias("in_old")).join(after, [_SERIES, "prev_seq"])
-    now = here.where("prev_seq is not null").select(_SERIES, _SEQ, "field", "kind", F.lit(True).alias("in_new"))
+    now = here.join(after.select(_SERIES, _SEQ), [_SERIES, _SEQ]).select(_SERIES, _SEQ, "field", "kind", F.lit(True).alias("in_new"))
     differ = cut(now.join(then, [_SERIES, _SEQ, "field"], "full").where("in_old is null or in_new is null or kind != old_kind"))
     come = differ.where("in_old is null").select(_SERIES, _SEQ, F.col("field").alias("new_field"))
     gone = differ.where("in_new is null").select(_SERIES, _SEQ, "prev_seq", F.col("field").alias("old_field"))
     touched = gone.join(come, [_SERIES, _SEQ], "left_semi")
     near = touched.select(_SERIES, F.col("prev_seq").alias(_SEQ), F.col("old_field").alias("field")).unionByName(
-        come.join(touched, [_SERIES, _SEQ], "left_semi").select(_SERIES, _SEQ, F.col("new_field").alias("field"))).distinct()
-    contents = read_fields(files.join(near.select(_SERIES, _SEQ).distinct(), [_SERIES, _SEQ], "left_semi")).join(near, [_SERIES, _SEQ, "field"], "left_semi")
+        come.join(touched, [_SERIES, _SEQ], "left_semi").select(_SERIES, _SEQ, F.col("new_field").alias("field"))).groupBy(_SERIES, _SEQ).agg(F.collect_set("field").alias("names"))  # the names of one file
+    contents = read_fields(files.drop("names").join(near, [_SERIES, _SEQ]))
     return here, differ, come, cut(renames(cut(contents), touched, come))
 
 
@@ -294,7 +295,8 @@ _COLUMN = {"boolean": "CASE WHEN c IN ('1', '1.0') THEN true WHEN c IN ('0', '0.
 _WHOLE = "CASE WHEN try_cast(c AS DECIMAL(38, 6)) = floor(try_cast(c AS DECIMAL(38, 6))) THEN try_cast(try_cast(c AS DECIMAL(38, 6)) AS {0}) END"
 
 
-def _table_sql() -> str:
+def table_sql() -> str:
+    """CTEs ending in wide, the table of p4_table without the records that have no field."""
     column = lambda t: _COLUMN.get(t) or _WHOLE.format({"int": "INTEGER", "bigint": "BIGINT"}[t])
     values = ", ".join(f"max({column(t)}) FILTER (field = '{f}') AS {f}" for f, t in FIELDS.items())
     unfit = " ".join(f"WHEN '{f}' THEN ({column(t)}) IS NULL" for f, t in FIELDS.items())
@@ -318,6 +320,6 @@ wide AS (SELECT run_series, file_seq, row_no, {values}, string_agg(field || '='
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p4_found": FOUND_SQL, "p4_schema": SCHEMA_SQL, "p4_table": f"{_table_sql()} SELECT rd.run_series, rd.file_seq, rd.row_no, wide.* EXCLUDE (run_series, file_seq, row_no) FROM rd LEFT JOIN wide USING (run_series, file_seq, row_no)",
-        "p4_others": f"{_table_sql()}, z AS (SELECT unnest(string_split(others, '; ')) AS z FROM wide WHERE others IS NOT NULL) SELECT split_part(z, '=', 1) AS name, count(*) AS n_records, count(DISTINCT z) AS n_values FROM z GROUP BY 1",
+        "p4_found": FOUND_SQL, "p4_schema": SCHEMA_SQL, "p4_table": f"{table_sql()} SELECT rd.run_series, rd.file_seq, rd.row_no, wide.* EXCLUDE (run_series, file_seq, row_no) FROM rd LEFT JOIN wide USING (run_series, file_seq, row_no)",
+        "p4_others": f"{table_sql()}, z AS (SELECT unnest(string_split(others, '; ')) AS z FROM wide WHERE others IS NOT NULL) SELECT split_part(z, '=', 1) AS name, count(*) AS n_records, count(DISTINCT z) AS n_values FROM z GROUP BY 1",
     }
