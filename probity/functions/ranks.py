@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,7 +10,7 @@ def group_rank(df: DataFrame, group: list[str], value: str, tie: list[str], widt
     """df with name: the row's number from 1 within its group by (value, tie), for a BIGINT value.
 
     Rows are ranked within value ranges of `width`; the ranges' sizes are summed up to offsets. Width should
-    leave a bounded number of rows in a range and a bounded number of ranges in a group.
+    leave a bounded number of rows in a range; a group's ranges, of which there are at most as many as its rows, meet in one task.
     """
     cut_ = df.withColumn("_range", F.expr(f"`{value}` div {width}L"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -20,9 +20,9 @@ def group_rank(df: DataFrame, group: list[str], value: str, tie: list[str], widt
     return ranked.withColumn(name, F.col("_before") + F.col("_in")).drop("_range", "_before", "_in")
 
 
-def count_distinct_over(column: str, by: list[str]) -> Column:
-    """The number of distinct values over a partition, for which windows have no DISTINCT."""
-    return F.size(F.collect_set(column).over(Window.partitionBy(*by)))
+def first_of(df: DataFrame, group: list[str], order: list, most: int, name: str) -> DataFrame:
+    """The first `most` rows of each group with name, their number from 1; only they are shuffled."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(name) <= most)
 
 
 def sum_before(df: DataFrame, group: list[str], order: str, width: int, value: str, name: str) -> DataFrame:

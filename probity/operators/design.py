@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import P, h
-from ..functions.ranks import group_rank
+from ..functions.expr import h
+from ..functions.ranks import first_of, group_rank
 from ..functions.session import cut
 from ..plans.fixtures import h_sql
 from .splits import IMAGES_SQL, images
@@ -34,8 +34,8 @@ def eligible(test: DataFrame) -> DataFrame:
 
 def donors(test: DataFrame, el: DataFrame, salt: int = 7004) -> DataFrame:
     """image_id, patient_id, label: the first n_donor images of each eligible patient in hashed order."""
-    x = test.drop("label").join(el, "patient_id").withColumn("_h", h("image_id", salt))
-    return group_rank(x, ["patient_id"], "_h", ["image_id"], P, "k").where("k <= n_donor").select("image_id", "patient_id", "label")
+    few = first_of(test.drop("label").withColumn("_h", h("image_id", salt)), ["patient_id"], ["_h", "image_id"], MOST, "k")
+    return few.join(el, "patient_id").where("k <= n_donor").select("image_id", "patient_id", "label")
 
 
 def levels(el: DataFrame) -> DataFrame:
@@ -47,19 +47,51 @@ def levels(el: DataFrame) -> DataFrame:
     return x.select("patient_id", "label", "n_donor", *((F.col("k") <= F.bround(F.lit(float(L)) / F.lit(100.0) * F.col("n_label"))).alias(f"selected_L{L}") for L in LEVELS))
 
 
+def control_plan(need: dict[tuple, int], have: dict[tuple, int]) -> list[tuple]:
+    """(label, mr, n_donor, n_same, first_same, n_cross, first_cross): how many patients of each kind get a control of their own
+    and of the other id format, and from which place in those controls' order (largest first).
+
+    need and have count patients by (label, mr, n_donor) and controls by (label, mr, size). Larger needs go first,
+    the own format before the other; a control must have at least as many images as it is to give.
+    """
+    used: dict[tuple, int] = {}
+    out = []
+    for d in range(MOST, 0, -1):
+        enough = lambda x, mr: sum(n for (y, m, size), n in have.items() if (y, m) == (x, mr) and size >= d)
+        for x in sorted({k[0] for k in need}):
+            own, first = {}, {}
+            for mr in (False, True):
+                first[mr] = used.get((x, mr), 0)
+                own[mr] = max(0, min(need.get((x, mr, d), 0), enough(x, mr) - first[mr]))
+                used[x, mr] = first[mr] + own[mr]
+            for mr in (False, True):
+                at = used[x, not mr]
+                cross = max(0, min(need.get((x, mr, d), 0) - own[mr], enough(x, not mr) - at))
+                used[x, not mr] = at + cross
+                out.append((x, mr, d, own[mr], first[mr], cross, at))
+    return out
+
+
 def controls(el: DataFrame, rest: DataFrame) -> DataFrame:
-    """patient_id, control_patient, same_format: one control each, none twice, of the same label and size class.
+    """patient_id, control_patient, same_format: one control each, none twice, of the same label, with at least as many images as there are donors.
 
-    Both sides are put in hashed order within (label, number of donors capped at what both can give, id
-    format) and matched by rank, so no patient waits for another; who finds no partner stays without.
+    Patients with more donors choose first, and a control with the same id format is taken before another; who finds none
+    is left with nulls. The choice is laid out on the counts by label, format and size (a few rows); patients and
+    controls, in hashed order, are then matched by their ranks.
     """
     mr = F.col("patient_id").startswith("MR")
+    code = F.conv(F.substring(F.sha2("patient_id", 256), 9, 8), 16, 10).cast("bigint")
+    left = cut(el.select("patient_id", "label", mr.alias("mr"), F.col("n_donor").alias("size"), code.alias("_h")))
     have = rest.groupBy("patient_id").agg(F.min("label").alias("label"), F.count("*").alias("n")).withColumn("size", F.least("n", F.lit(MOST).cast("bigint")))
-    order = F.conv(F.substring(F.sha2("patient_id", 256), 9, 8), 16, 10).cast("bigint")
-    key = ["label", "size", "mr"]
-    left = group_rank(el.withColumns({"size": F.col("n_donor"), "mr": mr, "_h": order}), key, "_h", ["patient_id"], 1 << 24, "k").select(*key, "k", "patient_id")
-    right = group_rank(have.withColumns({"mr": mr, "_h": order}), key, "_h", ["patient_id"], 1 << 24, "k").select(*key, "k", F.col("patient_id").alias("control_patient"))
-    return left.join(right, [*key, "k"], "left").select("patient_id", "control_patient", F.col("control_patient").isNotNull().alias("same_format"))
+    right = cut(have.select("patient_id", "label", mr.alias("mr"), "size", ((MOST - F.col("size")) * (1 << 32) + code).alias("_h")))
+    counts = lambda df: {(r["label"], r["mr"], r["size"]): r["count"] for r in df.groupBy("label", "mr", "size").count().collect()}
+    plan = el.sparkSession.createDataFrame(control_plan(counts(left), counts(right)), "label int, mr boolean, size bigint, n_same bigint, first_same bigint, n_cross bigint, first_cross bigint")
+    left = group_rank(left, ["label", "mr", "size"], "_h", ["patient_id"], 1 << 24, "k").join(F.broadcast(plan), ["label", "mr", "size"], "left")
+    same, cross = F.col("k") <= F.col("n_same"), F.col("k") <= F.col("n_same") + F.col("n_cross")
+    left = left.select("patient_id", "label", F.when(same, F.col("mr")).otherwise(~F.col("mr")).alias("mr"), F.when(same, F.lit(True)).when(cross, F.lit(False)).alias("same_format"),
+                       F.when(same, F.col("first_same") + F.col("k")).when(cross, F.col("first_cross") + F.col("k") - F.col("n_same")).alias("place"))
+    right = group_rank(right, ["label", "mr"], "_h", ["patient_id"], 1 << 24, "place").select("label", "mr", "place", F.col("patient_id").alias("control_patient"))
+    return left.join(right, ["label", "mr", "place"], "left").select("patient_id", "control_patient", "same_format")
 
 
 def arms(im: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -76,7 +108,7 @@ def arms(im: DataFrame) -> tuple[DataFrame, DataFrame]:
     picked = matched.select("patient_id", "control_patient", "n_donor", F.explode(F.array(*(F.when(F.col(f"selected_L{L}"), F.lit(L)) for L in LEVELS))).alias("level")).where("level is not null")
     sib = don.join(picked, "patient_id").select(F.lit("SIB").alias("kind"), "level", "image_id", "patient_id", "label")
     of_ctrl = rest.withColumnRenamed("patient_id", "control_patient").join(ctrl.select("control_patient", "patient_id"), "control_patient").withColumn("_h", h("image_id", 7104))
-    ranked = group_rank(of_ctrl, ["control_patient"], "_h", ["image_id"], P, "k")
+    ranked = first_of(of_ctrl, ["control_patient"], ["_h", "image_id"], MOST, "k")
     con = ranked.drop("patient_id").join(picked.select("control_patient", "level", "n_donor"), "control_patient").where("k <= n_donor").select(
         F.lit("CTRL").alias("kind"), "level", "image_id", F.col("control_patient").alias("patient_id"), "label")
     grid = F.explode(F.array(F.struct(F.lit("CLEAN").alias("kind"), F.lit(0).alias("level")), *(F.struct(F.lit(k).alias("kind"), F.lit(L).alias("level")) for k in ("CTRL", "SIB") for L in LEVELS)))
@@ -126,6 +158,13 @@ def q_controls(spark, d):
     return controls(eligible(test), rest)
 
 
+def q_design_table(spark, d):
+    """One row an eligible patient: label, donors, levels, control."""
+    test, rest = base_frames(images(spark, d))
+    el = cut(eligible(test))
+    return levels(el).join(controls(el, rest), "patient_id").join(el.select("patient_id", "n"), "patient_id")
+
+
 def q_conditions(spark, d):
     return conditions(*arms(images(spark, d)))
 
@@ -155,20 +194,30 @@ def q_train_lists(spark, d):
 
 
 def queries() -> dict:
-    return {"design_eligible": q_eligible, "design_donors": q_donors, "design_fixed_test": q_fixed_test, "design_levels": q_levels, "design_controls": q_controls, "design_conditions": q_conditions,
+    return {"design_eligible": q_eligible, "design_donors": q_donors, "design_fixed_test": q_fixed_test, "design_levels": q_levels, "design_controls": q_controls, "design_table": q_design_table, "design_conditions": q_conditions,
             "design_checks": q_design_checks, "train_lists": q_train_lists}
 
 
 def oracle_sql() -> dict[str, str]:
     code = lambda at: f"('0x' || substr(sha256(patient_id), {at}, 8))::BIGINT"
-    base = f"""WITH {IMAGES_SQL}, kn AS (SELECT image_id, patient_id, label, fold FROM im WHERE patient_id IS NOT NULL AND label IS NOT NULL AND fold IS NOT NULL), te AS (SELECT * FROM kn WHERE fold = {FOLD}), re AS (SELECT * FROM kn WHERE fold <> {FOLD}),
+    base = f"""WITH RECURSIVE {IMAGES_SQL}, kn AS (SELECT image_id, patient_id, label, fold FROM im WHERE patient_id IS NOT NULL AND label IS NOT NULL AND fold IS NOT NULL), te AS (SELECT * FROM kn WHERE fold = {FOLD}), re AS (SELECT * FROM kn WHERE fold <> {FOLD}),
 el AS (SELECT patient_id, min(label) AS label, count(*) AS n, least(count(*) // 2, {MOST}) AS n_donor FROM te GROUP BY 1 HAVING count(*) >= {MIN_ROWS}),
 dn AS (SELECT image_id, patient_id, label FROM (SELECT te.image_id, el.*, row_number() OVER (PARTITION BY te.patient_id ORDER BY {h_sql('te.image_id', 7004)}, te.image_id) AS k FROM te JOIN el ON el.patient_id = te.patient_id) WHERE k <= n_donor),
 lv AS (SELECT patient_id, label, n_donor, {', '.join(f'k <= round_even({float(L)}::DOUBLE / 100.0::DOUBLE * nl, 0) AS selected_L{L}' for L in LEVELS)} FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {code(1)}, patient_id) AS k, count(*) OVER (PARTITION BY label) AS nl FROM el)),
 le AS (SELECT patient_id, label, n_donor AS size, patient_id LIKE 'MR%' AS mr, row_number() OVER (PARTITION BY label, n_donor, patient_id LIKE 'MR%' ORDER BY {code(9)}, patient_id) AS k FROM el),
 rh AS (SELECT patient_id, min(label) AS label, least(count(*), {MOST}) AS size, patient_id LIKE 'MR%' AS mr FROM re GROUP BY patient_id),
-ri AS (SELECT patient_id AS control_patient, label, size, mr, row_number() OVER (PARTITION BY label, size, mr ORDER BY {code(9)}, patient_id) AS k FROM rh),
-co AS (SELECT patient_id, control_patient, control_patient IS NOT NULL AS same_format FROM le LEFT JOIN ri USING (label, size, mr, k)),
+ri AS (SELECT patient_id AS control_patient, label, size, mr, row_number() OVER (PARTITION BY label, mr ORDER BY size DESC, {code(9)}, patient_id) AS place FROM rh),
+lb AS (SELECT DISTINCT label FROM el),
+cn0 AS (SELECT label, d.d AS d, (SELECT count(*) FROM le WHERE le.label = lb.label AND mr AND size = d.d) AS need_m, (SELECT count(*) FROM le WHERE le.label = lb.label AND NOT mr AND size = d.d) AS need_o,
+  (SELECT count(*) FROM ri WHERE ri.label = lb.label AND mr AND size >= d.d) AS have_m, (SELECT count(*) FROM ri WHERE ri.label = lb.label AND NOT mr AND size >= d.d) AS have_o FROM lb, range(1, {MOST + 1}) d(d)),
+st AS (SELECT label, {MOST + 1}::BIGINT AS d, 0::BIGINT AS own_m, 0::BIGINT AS own_o, 0::BIGINT AS cross_m, 0::BIGINT AS cross_o, 0::BIGINT AS was_m, 0::BIGINT AS was_o, 0::BIGINT AS used_m, 0::BIGINT AS used_o FROM lb
+  UNION ALL SELECT label, d, own_m, own_o, least(need_m - own_m, have_o - was_o - own_o), least(need_o - own_o, have_m - was_m - own_m), was_m, was_o,
+    was_m + own_m + least(need_o - own_o, have_m - was_m - own_m), was_o + own_o + least(need_m - own_m, have_o - was_o - own_o)
+  FROM (SELECT c.*, s.used_m AS was_m, s.used_o AS was_o, least(need_m, have_m - s.used_m) AS own_m, least(need_o, have_o - s.used_o) AS own_o FROM st s JOIN cn0 c ON c.label = s.label AND c.d = s.d - 1)),
+pl AS (SELECT label, true AS mr, d AS size, own_m AS n_same, was_m AS first_same, cross_m AS n_cross, was_o + own_o AS first_cross FROM st UNION ALL SELECT label, false, d, own_o, was_o, cross_o, was_m + own_m FROM st),
+lp AS (SELECT patient_id, label, CASE WHEN k <= n_same THEN mr ELSE NOT mr END AS mr, CASE WHEN k <= n_same THEN true WHEN k <= n_same + n_cross THEN false END AS same_format,
+  CASE WHEN k <= n_same THEN first_same + k WHEN k <= n_same + n_cross THEN first_cross + k - n_same END AS place FROM le JOIN pl USING (label, mr, size)),
+co AS (SELECT patient_id, control_patient, same_format FROM lp LEFT JOIN ri USING (label, mr, place)),
 cm AS (SELECT * FROM co WHERE control_patient IS NOT NULL), ft AS (SELECT * FROM te WHERE image_id NOT IN (SELECT image_id FROM dn)), ba AS (SELECT * FROM re WHERE patient_id NOT IN (SELECT control_patient FROM cm)),
 lx AS (SELECT patient_id, n_donor, unnest([{', '.join(f'CASE WHEN selected_L{L} THEN {L} END' for L in LEVELS)}]) AS level FROM lv), pk AS (SELECT lx.*, control_patient FROM lx JOIN cm USING (patient_id) WHERE level IS NOT NULL),
 cr AS (SELECT re.image_id, cm.control_patient, label, row_number() OVER (PARTITION BY cm.control_patient ORDER BY {h_sql('re.image_id', 7104)}, re.image_id) AS k FROM re JOIN cm ON cm.control_patient = re.patient_id),
@@ -184,6 +233,7 @@ cd AS (SELECT 'fold{FOLD}_' || kind || '_L' || level AS condition, kind, level,
         "design_fixed_test": f"{base} SELECT image_id, patient_id, label, patient_id IN (SELECT patient_id FROM el) AS exposure_eligible, image_id IN (SELECT image_id FROM fixed_test_fold4 WHERE image_id IS NOT NULL) AS listed FROM ft",
         "design_levels": f"{base} SELECT * FROM lv",
         "design_controls": f"{base} SELECT * FROM co",
+        "design_table": f"{base} SELECT lv.*, control_patient, same_format, el.n FROM lv JOIN co USING (patient_id) JOIN el USING (patient_id)",
         "design_conditions": f"{base} SELECT * FROM cd",
         "design_checks": f"{base} {st('arms_matched', 'SELECT bool_and(a.n_train = b.n_train AND a.class_counts = b.class_counts) FROM cd a JOIN cd b USING (level) WHERE a.kind = ' + chr(39) + 'SIB' + chr(39) + ' AND b.kind = ' + chr(39) + 'CTRL' + chr(39))} UNION ALL {st('clean_has_no_test_patient', 'SELECT bool_and(train_test_patient_overlap = 0) FROM cd WHERE level = 0')} UNION ALL {st('no_test_image_in_training', 'SELECT count(*) = 0 FROM tr WHERE image_id IN (SELECT image_id FROM ft)')} UNION ALL {st('images_once', 'SELECT bool_and(n = 1) FROM (SELECT count(*) AS n FROM tr GROUP BY kind, level, image_id)')}",
         "train_lists": f"""WITH {IMAGES_SQL}, l AS (SELECT DISTINCT image_id, train_list FROM train_fold4 WHERE image_id IS NOT NULL), he AS (SELECT DISTINCT image_id, true AS held FROM fixed_test_fold4 WHERE image_id IS NOT NULL)

@@ -41,7 +41,7 @@ def predictions(spark, sf_dir: str) -> DataFrame:
 
 def row_folds(split: DataFrame, salt: int = 11) -> DataFrame:
     """split (unit_id, true_class, fold_a, ...) with fold_b: rows in hashed order fill A's quota of each fold and class."""
-    ranked = group_rank(split.withColumn("_h", h("unit_id", salt)), ["true_class"], "_h", ["unit_id"], P // 1000, "_rank")
+    ranked = group_rank(split.withColumn("_h", h("unit_id", salt)), ["true_class"], "_h", ["unit_id"], P // 100_000, "_rank")
     quota = split.groupBy("true_class", "fold_a").agg(F.count("*").alias("n"))
     upto = quota.alias("q").join(quota.alias("p"), (F.col("q.true_class") == F.col("p.true_class")) & (F.col("p.fold_a") <= F.col("q.fold_a"))).groupBy(
         F.col("q.true_class").alias("true_class"), F.col("q.fold_a").alias("fold_b"), F.col("q.n").alias("n")).agg(F.sum("p.n").alias("upto"))
