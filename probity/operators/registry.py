@@ -141,7 +141,7 @@ def q_file_agreement(spark, d):
 
 def q_softmax(spark, d):
     """Probabilities made from logits, under all their names and types: rows, and how often the largest is the same class."""
-    x = drift.unified(table(spark, d, "retrain_files")).select("model", "pred_class", *(F.col(f"logit_{k}").alias(f"l{k}") for k in range(3)))
+    x = cut(drift.unified(table(spark, d, "retrain_files")).select("model", "pred_class", *(F.col(f"logit_{k}").alias(f"l{k}") for k in range(3))))
     x = x.where(" and ".join(f"l{k} > double('-Infinity') and l{k} < double('Infinity')" for k in range(3)))
     p = softmax(F.array("l0", "l1", "l2"))
     return m.rounded(x.withColumn("p", p).groupBy("model").agg(F.count("*").alias("n"), F.avg(F.array_max("p")).alias("mean_top"), F.avg((argmax(F.col("p")) == F.col("pred_class")).cast("double")).alias("agreement")), "mean_top", "agreement")
@@ -252,7 +252,6 @@ count(*) FILTER (arm = 'A') = 1 AND count(*) FILTER (arm = 'B') = 1 AS e, count(
     state = lambda a, b: f"CASE WHEN {a} IS NULL AND {b} IS NULL THEN 'none' WHEN {b} IS NULL THEN 'only before' WHEN {a} IS NULL THEN 'only now' WHEN abs({a} - {b}) <= 0.0005::DOUBLE THEN 'equal' WHEN {a} > {b} THEN 'higher before' ELSE 'higher now' END"
     best = screening.oracle_sql()["best_partner"]
     ids = " UNION ALL ".join(f"SELECT '{t}' AS table_name, min({c}) AS least, max({c}) AS most, count({c}) AS n, count(DISTINCT {c}) AS n_distinct, count({c}) = count(DISTINCT {c}) AS \"unique\", max({c}) - min({c}) + 1 = count(DISTINCT {c}) AS contiguous FROM {t}" for t, c in (("image_manifest", "image_id"), ("embeddings", "vec_id"), ("documents", "doc_id")))
-    num = lambda k: f"CASE WHEN json_type(j, '$.logit_{k}') IN ('BIGINT', 'UBIGINT', 'DOUBLE') THEN json_extract_string(j, '$.logit_{k}')::DOUBLE END AS l{k}"
     row = lambda name, src: f"SELECT '{name}' AS \"check\", CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END AS status, bad || ' broken' AS detail FROM ({src})"
     return {
         "run_registry": f"{_R} SELECT run_series, count(*) AS n_files, sum(n_records)::BIGINT AS n_records, sum(n_readable)::BIGINT AS n_readable, max(file_seq) AS last_seq, count(DISTINCT fold) AS n_folds, {_part(1)} AS model, {_part(2)} AS arm, {_part(3)}::INT AS series_no FROM fi GROUP BY run_series",
@@ -268,7 +267,7 @@ me AS (SELECT model, arm, run_series, image_id, true_class, round(avg(prob_0), 9
 SELECT model, arm, {r('single', 'single')}, {r('ensemble', 'ensemble')} FROM s JOIN e USING (model, arm)""",
         "file_agreement": f"""{_R}, x AS (SELECT run_series, file_seq, image_id, max(prob_0) AS p0, max(prob_1) AS p1, max(prob_2) AS p2 FROM rec WHERE readable AND image_id IS NOT NULL GROUP BY 1, 2, 3)
 SELECT b.run_series, b.file_seq, count(*) AS n_common, {r('max(greatest(abs(a.p0 - b.p0), abs(a.p1 - b.p1), abs(a.p2 - b.p2)))', 'max_change')} FROM x a JOIN x b ON a.run_series = b.run_series AND a.image_id = b.image_id AND a.file_seq + 1 = b.file_seq GROUP BY 1, 2""",
-        "softmax": f"""{_R}, x AS (SELECT json_extract_string(j, '$.model') AS model, json_extract_string(j, '$.pred_class')::INT AS pred_class, {num(0)}, {num(1)}, {num(2)} FROM rj WHERE readable), y AS (SELECT *, exp(l0 - greatest(l0, l1, l2)) AS e0, exp(l1 - greatest(l0, l1, l2)) AS e1, exp(l2 - greatest(l0, l1, l2)) AS e2 FROM x WHERE l0 IS NOT NULL AND l1 IS NOT NULL AND l2 IS NOT NULL)
+        "softmax": f"""{drift.table_sql()}, x AS (SELECT model, pred_class, logit_0 AS l0, logit_1 AS l1, logit_2 AS l2 FROM wide), y AS (SELECT *, exp(l0 - greatest(l0, l1, l2)) AS e0, exp(l1 - greatest(l0, l1, l2)) AS e1, exp(l2 - greatest(l0, l1, l2)) AS e2 FROM x WHERE isfinite(l0) AND isfinite(l1) AND isfinite(l2))
 SELECT model, count(*) AS n, {r('avg(greatest(e0, e1, e2) / (e0 + e1 + e2))', 'mean_top')}, {r(f"avg(({_am('e0', 'e1', 'e2')} = pred_class)::INT)", 'agreement')} FROM y GROUP BY model""",
         "oof_contract": f"{m.W} {oof}", "row_invariants": f"{m.W} {inv}", "id_contiguity": ids,
         "nn_recheck": f"""WITH bp AS ({best}), wa AS (SELECT image_id, max(best_same_patient_thumb_ncc) FILTER (best_same_patient_thumb_ncc BETWEEN -1 AND 1) AS ws, max(best_other_patient_thumb_ncc) FILTER (best_other_patient_thumb_ncc BETWEEN -1 AND 1) AS wo FROM nn_similarity WHERE image_id IS NOT NULL GROUP BY 1),

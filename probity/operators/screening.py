@@ -273,6 +273,10 @@ def q_verify_pairs(spark, d):
     both = x.where("size(ta) = size(tb) and size(ta) > 0").select("image_a", "image_b", "ta", "tb")
     odd = x.where("size(ta) != size(tb) or size(ta) = 0").select("image_a", "image_b", *(F.lit(None).cast("double").alias(c) for c in ("ncc", "mad_norm", "equal")))
 
+    def sixth(v: np.ndarray) -> np.ndarray:
+        """To 6 decimals, halves away from 0."""
+        return np.sign(v) * np.floor(np.abs(v) * 1e6 + 0.5) / 1e6
+
     def verify(batches):
         for pdf in batches:
             for _, part in pdf.groupby(pdf["ta"].map(len)):
@@ -281,7 +285,7 @@ def q_verify_pairs(spark, d):
                 spread = (n * (a * a).sum(axis=1) - sa * sa) * (n * (b * b).sum(axis=1) - sb * sb)
                 ncc = np.divide(n * (a * b).sum(axis=1) - sa * sb, np.sqrt(spread), out=np.full(len(a), np.nan), where=spread > 0)
                 span = np.maximum(a.max(axis=1), b.max(axis=1)) - np.minimum(a.min(axis=1), b.min(axis=1))
-                yield part[["image_a", "image_b"]].assign(ncc=ncc, mad_norm=np.abs(a - b).mean(axis=1) / np.maximum(span, 1), equal=(a == b).mean(axis=1))
+                yield part[["image_a", "image_b"]].assign(ncc=sixth(ncc), mad_norm=sixth(np.abs(a - b).mean(axis=1) / np.maximum(span, 1)), equal=sixth((a == b).mean(axis=1)))
 
     done = both.mapInPandas(verify, "image_a bigint, image_b bigint, ncc double, mad_norm double, equal double")
     return rounded(done.unionByName(odd), "ncc", "mad_norm", "equal")
@@ -352,6 +356,6 @@ SELECT *, row_number() OVER (PARTITION BY query ORDER BY ncc DESC, other)::INT A
 s AS (SELECT q.vec_id AS query, v.vec_id AS other, t, turn, round(list_inner_product(q.u, v.w), 6) AS ncc FROM u q JOIN tv v ON q.vec_id <> v.vec_id AND q.vec_id % 50 = 0)
 SELECT query, other, turn, ncc FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY ncc DESC, t, other) = 1""",
         "verify_pairs": f"""{_P}, th AS (SELECT image_id, max(thumb) AS t FROM image_manifest WHERE readable AND thumb IS NOT NULL AND image_id IS NOT NULL GROUP BY 1),
-x AS (SELECT image_a, image_b, unnest(a.t)::DOUBLE AS va, unnest(b.t)::DOUBLE AS vb FROM pr JOIN th a ON a.image_id = image_a JOIN th b ON b.image_id = image_b WHERE ncc_full >= 0.95)
+x AS (SELECT image_a, image_b, unnest(a.t)::DOUBLE AS va, unnest(b.t)::DOUBLE AS vb FROM pr JOIN th a ON a.image_id = image_a JOIN th b ON b.image_id = image_b)
 SELECT image_a, image_b, round(CASE WHEN var_pop(va) > 0 AND var_pop(vb) > 0 THEN covar_pop(va, vb) / sqrt(var_pop(va) * var_pop(vb)) END, 6) + 0.0::DOUBLE AS ncc, round(avg(abs(va - vb)) / greatest(greatest(max(va), max(vb)) - least(min(va), min(vb)), 1.0::DOUBLE), 6) + 0.0::DOUBLE AS mad_norm, round(avg((va = vb)::INT), 6) + 0.0::DOUBLE AS equal FROM x GROUP BY ALL""",
     }
