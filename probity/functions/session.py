@@ -27,14 +27,19 @@ def ship(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints: the one the cluster names in spark.checkpoint.dir.
 
-    Only where neither that setting nor a directory of the context is there (tests on one machine),
-    a temporary folder is taken.
+    Only on one machine, where neither that setting nor a directory of the context is there, a temporary
+    folder is taken. Spark removes checkpoints that nothing refers to any more where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set.
     """
     sc = spark.sparkContext
     have = sc._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return have.get()
-    named = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="probity-")
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if named is None:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="probity-")
     sc.setCheckpointDir(named)
     return sc._jsc.sc().getCheckpointDir().get()
 
