@@ -2,8 +2,8 @@
 
 Replicates never touch rows: the rows are reduced once to additive sums of each (model, arm, cluster), and a
 replicate is those sums weighted by how often the cluster was drawn. One table of draws serves all models and
-arms, which pairs them. The join of draws and sums has reps x clusters x models x arms rows before partial
-aggregation and none of it grows with the rows.
+arms, which pairs them. Draws and sums meet in blocks of clusters and of replicates, in which they are multiplied as
+arrays; a block gives one partial sum a replicate and group, and none of it grows with the rows.
 
 Percentile intervals interpolate linearly and skip nulls (replicates in which a ratio is undefined).
 """
@@ -11,6 +11,7 @@ Percentile intervals interpolate linearly and skip nulls (replicates in which a
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from . import metrics as m
 
 METRICS = ["balanced_accuracy", "macro_f1", "accuracy", "ece", "brier"]
 BY = ["model", "arm"]
+FRESH, TOLERANCE = 20_000, 0.003  # the second set of draws
+PERMUTATIONS, SEEDS = 1000, 2000  # of the fold permutation and of the same-fold null
 
 
 def cluster_sums(pred: DataFrame, unit: str, by: list[str] = BY) -> DataFrame:
@@ -43,10 +46,51 @@ def point(sums: DataFrame, by: list[str] = BY) -> DataFrame:
     return from_sums(sums.groupBy(*by, "bin").agg(*(F.sum(c).alias(c) for c in SUMS)), by)
 
 
+def weighted_sums(weights: DataFrame, sums: DataFrame, unit: str, by: list[str], columns: list[str], rows: int = 50_000, reps: int = 125) -> DataFrame:
+    """(rep, by, columns): the sums of the columns over the units, each as often as the replicate drew it.
+
+    weights is (rep, unit, w); sums has any number of rows a unit. About `rows` of them and `reps` replicates meet in one task.
+    Groups of which a replicate drew no unit are left out.
+    """
+    sums = cut(sums.select(unit, *by, *(F.col(c).cast("double").alias(c) for c in columns)))
+    parts = max(1, -(-sums.count() // rows))
+    part = F.pmod(F.xxhash64(unit), F.lit(parts)).cast("int")
+    chunks = weights.agg((F.max("rep") / reps).cast("int")).first()[0] or 0
+    left = weights.select(unit, "rep", "w", part.alias("part"), F.expr(f"rep div {reps}").cast("int").alias("chunk")).repartition(parts * (chunks + 1), "part", "chunk")
+    right = sums.withColumn("part", part).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks)))).repartition(parts * (chunks + 1), "part", "chunk")
+
+    def multiply(w: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        if not len(w) or not len(s):
+            return pd.DataFrame({c: [] for c in ["rep", *by, *columns]})
+        group = s.groupby(by, sort=False, dropna=False).ngroup().to_numpy() if by else np.zeros(len(s), dtype=int)
+        order = np.argsort(group, kind="stable")
+        s, group = s.iloc[order], group[order]
+        starts = np.nonzero(np.diff(group, prepend=-1))[0]
+        names, units = pd.factorize(w["rep"]), pd.Index(s[unit].unique())
+        drawn = np.zeros((len(names[1]), len(units)))
+        at = units.get_indexer(w[unit])
+        drawn[names[0][at >= 0], at[at >= 0]] = w["w"].to_numpy()[at >= 0]
+        of_row, heads, out = units.get_indexer(s[unit]), s[by].iloc[starts], []
+        for k in range(0, len(drawn), 25):
+            x = drawn[k:k + 25][:, of_row]
+            hit = np.add.reduceat(x, starts, axis=1) > 0
+            i, j = np.nonzero(hit)
+            part_ = heads.iloc[j].reset_index(drop=True)
+            part_["rep"] = names[1][k + i]
+            for c in columns:
+                part_[c] = np.add.reduceat(x * s[c].to_numpy(), starts, axis=1)[i, j]
+            out.append(part_)
+        return pd.concat(out)[["rep", *by, *columns]]
+
+    types = dict(sums.dtypes)
+    keys = ["part", "chunk"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(multiply, ", ".join(["rep int", *(f"`{c}` {types[c]}" for c in [*by, *columns])]))
+    return found.groupBy("rep", *by).agg(*(F.sum(c).alias(c) for c in columns))
+
+
 def replicates(sums: DataFrame, weights: DataFrame, unit: str, by: list[str] = BY) -> DataFrame:
-    """(rep, by, METRICS): every replicate's metrics, from one join of draws and sums."""
-    drawn = weights.join(sums, unit).groupBy("rep", *by, "bin").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in SUMS))
-    return from_sums(drawn, ["rep", *by])
+    """(rep, by, METRICS): every replicate's metrics."""
+    return from_sums(weighted_sums(weights, sums, unit, [*by, "bin"], SUMS), ["rep", *by])
 
 
 def interval(x: str) -> list[Column]:
@@ -102,9 +146,13 @@ def _sums(spark, d):
     return cut(cluster_sums(_pred(spark, d), "cluster_id"))
 
 
-def _reps(spark, d, salt=2026, sums=None):
+def _reps(spark, d, salt=2026, sums=None, reps=fx.REPS):
     sums = _sums(spark, d) if sums is None else sums
-    return cut(replicates(sums, fx.draws(_clusters(spark, d), "cluster_id", "true_class", salt=salt), "cluster_id"))
+    return cut(replicates(sums, _draws(spark, d, salt, reps), "cluster_id"))
+
+
+def _draws(spark, d, salt=2026, reps=fx.REPS):
+    return fx.draws(_clusters(spark, d), "cluster_id", "true_class", reps, salt)
 
 
 def _round(df, *columns):
@@ -121,7 +169,7 @@ def q_cluster_sums(spark, d):
 def q_draw_totals(spark, d):
     """Each replicate draws as many clusters of each class as there are."""
     clusters = _clusters(spark, d)
-    w = fx.draws(clusters, "cluster_id", "true_class").join(clusters, "cluster_id")
+    w = _draws(spark, d).join(clusters, "cluster_id")
     sizes = clusters.groupBy("true_class").agg(F.count("*").alias("n"))
     return w.groupBy("rep", "true_class").agg(F.sum("w").alias("drawn"), F.count("*").alias("different")).join(F.broadcast(sizes), "true_class").select(
         "rep", "true_class", "drawn", "different", (F.col("drawn") == F.col("n")).alias("ok"))
@@ -180,10 +228,10 @@ def q_naive_width(spark, d):
     """m0 minus m3 in balanced accuracy: the interval's width with single rows as units and with clusters."""
     pred, units = _pred(spark, d).where("model in ('m0', 'm3')"), fx.units(spark, d)
     frames = []
-    for name, unit, w in (("rows", "unit_id", fx.draws(units.select("unit_id", "true_class"), "unit_id", "true_class", salt=31415)),
-                          ("clusters", "cluster_id", fx.draws(_clusters(spark, d), "cluster_id", "true_class"))):
+    for name, unit, w in (("rows", "unit_id", fx.draws(units.select("unit_id", "true_class"), "unit_id", "true_class", fx.REPS, 31415)),
+                          ("clusters", "cluster_id", _draws(spark, d))):
         sums = m.with_cells(pred).groupBy(*BY, unit).agg(*(F.sum(c).alias(c) for c in m.CELLS))
-        reps = m.from_cells(w.join(sums, unit).groupBy("rep", *BY).agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in m.CELLS)))
+        reps = m.from_cells(weighted_sums(w, sums, unit, BY, m.CELLS))
         wide = reps.groupBy("rep", "arm").agg((F.max(F.when(F.col("model") == "m0", F.col("balanced_accuracy"))) - F.max(F.when(F.col("model") == "m3", F.col("balanced_accuracy")))).alias("difference"))
         frames.append(wide.groupBy("arm").agg(*interval("difference")).withColumn("units", F.lit(name)))
     both = frames[0].unionByName(frames[1])
@@ -196,7 +244,7 @@ def q_stem_bootstrap(spark, d):
     code = F.when(F.col("stem").startswith("MR"), F.regexp_extract("stem", "([0-9]{6})", 1).cast("bigint") + 10_000_000).otherwise(F.col("stem").try_cast("bigint"))
     pred = pred.withColumn("code", code)
     stems = fx.units(spark, d).withColumn("stem", strict_stem("pid")).withColumn("code", code).groupBy("code").agg(F.min("true_class").alias("true_class"))
-    reps = replicates(cluster_sums(pred, "code"), fx.draws(stems, "code", "true_class"), "code")
+    reps = replicates(cluster_sums(pred, "code"), fx.draws(stems, "code", "true_class", fx.REPS), "code")
     diff = paired(long_metrics(reps, ["rep", *BY], ["balanced_accuracy", "accuracy"]), ["rep", "model", "metric"])
     return _round(diff.groupBy("model", "metric").agg(F.avg("difference").alias("mean"), *interval("difference")), "mean", "ci_lo", "ci_hi")
 
@@ -205,19 +253,18 @@ def q_unchanged_fold_difference(spark, d):
     """B minus A on all rows and on those whose fold is the same in both arms."""
     folds = fx.row_folds(fx.units(spark, d)).select("unit_id", (F.col("fold_b") == F.col("fold_a")).alias("same"))
     pred = _pred(spark, d).join(folds, "unit_id").withColumn("subset", F.explode(F.when(F.col("same"), F.array(F.lit("all"), F.lit("same fold"))).otherwise(F.array(F.lit("all")))))
-    w = fx.draws(_clusters(spark, d), "cluster_id", "true_class")
-    reps = replicates(cluster_sums(pred, "cluster_id", [*BY, "subset"]), w, "cluster_id", [*BY, "subset"])
+    reps = replicates(cluster_sums(pred, "cluster_id", [*BY, "subset"]), _draws(spark, d), "cluster_id", [*BY, "subset"])
     diff = paired(long_metrics(reps, ["rep", *BY, "subset"], ["balanced_accuracy", "macro_f1"]), ["rep", "model", "subset", "metric"])
     return _round(diff.groupBy("model", "subset", "metric").agg(F.avg("difference").alias("mean"), *interval("difference")), "mean", "ci_lo", "ci_hi")
 
 
 def q_fresh_draws(spark, d):
-    """The intervals of a second, independent set of draws against the first, within a tolerance of 0.03."""
+    """The intervals of a second, independent and larger set of draws against the first, within a tolerance of 0.003."""
     sums = _sums(spark, d)
-    ci = lambda salt, tag: long_metrics(_reps(spark, d, salt, sums), ["rep", *BY]).groupBy(*BY, "metric").agg(*(c.alias(f"{n}_{tag}") for c, n in zip(interval("value"), ("lo", "hi"))))
-    both = ci(2026, "a").join(ci(777, "b"), [*BY, "metric"])
+    ci = lambda salt, tag, reps: long_metrics(_reps(spark, d, salt, sums, reps), ["rep", *BY]).groupBy(*BY, "metric").agg(*(c.alias(f"{n}_{tag}") for c, n in zip(interval("value"), ("lo", "hi"))))
+    both = ci(2026, "a", fx.REPS).join(ci(777, "b", FRESH), [*BY, "metric"])
     far = F.greatest(F.abs(F.col("lo_a") - F.col("lo_b")), F.abs(F.col("hi_a") - F.col("hi_b")))
-    return _round(both.groupBy("metric").agg(F.count("*").alias("n"), F.max(far).alias("max_difference")), "max_difference").withColumn("stable", F.col("max_difference") <= F.lit(0.03))
+    return _round(both.groupBy("metric").agg(F.count("*").alias("n"), F.max(far).alias("max_difference")), "max_difference").withColumn("stable", F.col("max_difference") <= F.lit(TOLERANCE))
 
 
 def exposure(spark, d) -> DataFrame:
@@ -239,8 +286,7 @@ def q_exposure_bins(spark, d):
     sums = pred.groupBy("population", "level", "cluster_id").agg(F.count("*").cast("double").alias("n"), F.sum("correct").alias("s_correct"), F.sum("confidence").alias("s_conf"))
     sums = cut(sums)
     point = sums.groupBy("population", "level").agg(F.sum("n").cast("bigint").alias("n_rows"), F.count("*").alias("n_clusters"), div(F.sum("s_correct"), F.sum("n")).alias("accuracy"), div(F.sum("s_conf"), F.sum("n")).alias("confidence"))
-    w = fx.draws(_clusters(spark, d), "cluster_id", "true_class")
-    reps = w.join(sums, "cluster_id").groupBy("rep", "population", "level").agg(div(F.sum(F.col("w") * F.col("s_correct")), F.sum(F.col("w") * F.col("n"))).alias("value"))
+    reps = weighted_sums(_draws(spark, d), sums, "cluster_id", ["population", "level"], ["s_correct", "n"]).withColumn("value", div("s_correct", "n"))
     return _round(reps.groupBy("population", "level").agg(*interval("value")).join(point, ["population", "level"]), "accuracy", "confidence", "ci_lo", "ci_hi")
 
 
@@ -266,8 +312,7 @@ def q_spearman_bootstrap(spark, d):
     pred = m.scored(_pred(spark, d).where("arm = 'B'")).join(ex, "unit_id")
     sums = cut(pred.groupBy("model", "cluster_id", "n_other_train", "correct").agg(F.count("*").cast("double").alias("n")))
     point = weighted_spearman(sums.groupBy("model", "n_other_train", "correct").agg(F.sum("n").alias("n")), ["model"], "n_other_train", "correct", "n").withColumnRenamed("rho", "estimate")
-    w = fx.draws(_clusters(spark, d), "cluster_id", "true_class").where("rep <= 50")
-    drawn = cut(w.join(sums, "cluster_id").groupBy("rep", "model", "n_other_train", "correct").agg(F.sum(F.col("w") * F.col("n")).alias("n")))
+    drawn = cut(weighted_sums(_draws(spark, d), sums, "cluster_id", ["model", "n_other_train", "correct"], ["n"]))
     reps = weighted_spearman(drawn, ["rep", "model"], "n_other_train", "correct", "n")
     return _round(reps.groupBy("model").agg(*interval("rho")).join(point, "model"), "estimate", "ci_lo", "ci_hi")
 
@@ -277,8 +322,7 @@ def q_dose_slope(spark, d):
     ex = exposure(spark, d).where("frac_other_train is not null").select("unit_id", F.least(F.lit(9), F.floor(F.col("frac_other_train") * F.lit(10.0))).cast("int").alias("tenth"))
     pred = m.scored(_pred(spark, d).where("arm = 'B'")).join(ex, "unit_id")
     sums = pred.groupBy("model", "cluster_id", "tenth").agg(F.count("*").cast("double").alias("n"), F.sum("correct").alias("s"))
-    w = fx.draws(_clusters(spark, d), "cluster_id", "true_class")
-    reps = w.join(sums, "cluster_id").groupBy("rep", "model", "tenth").agg(div(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("value"))
+    reps = weighted_sums(_draws(spark, d), sums, "cluster_id", ["model", "tenth"], ["s", "n"]).withColumn("value", div("s", "n"))
     slopes = reps.groupBy("rep", "model").agg(slope("tenth", "value").alias("slope"))
     pooled = slopes.groupBy("rep").agg(F.avg("slope").alias("slope")).select("rep", F.lit("pooled").alias("model"), "slope")
     s = slopes.select("rep", "model", "slope").unionByName(pooled).groupBy("model").agg(F.avg("slope").alias("mean_slope"), *interval("slope"), p_two_sided("slope").alias("p"))
@@ -289,34 +333,33 @@ def q_masked_did(spark, d):
     """B minus A on exposed clusters minus the same on the others: masks on one set of draws, not new draws."""
     ex = exposure(spark, d).groupBy("cluster_id").agg((F.round(F.avg("frac_other_train"), 6) >= F.lit(0.8)).alias("exposed"))
     flat = _sums(spark, d)
-    w = fx.draws(_clusters(spark, d), "cluster_id", "true_class").join(ex.na.fill(False), "cluster_id")
-    reps = m.from_cells(w.join(flat, "cluster_id").groupBy("rep", *BY, "exposed").agg(*(F.sum(F.col("w") * F.col(c)).alias(c) for c in m.CELLS)))
+    masked = flat.join(ex.na.fill(False), "cluster_id").groupBy("cluster_id", *BY, "exposed").agg(*(F.sum(c).alias(c) for c in m.CELLS))
+    reps = m.from_cells(weighted_sums(_draws(spark, d), masked, "cluster_id", [*BY, "exposed"], m.CELLS))
     diff = paired(reps.select("rep", *BY, "exposed", F.col("balanced_accuracy").alias("value")), ["rep", "model", "exposed"])
     did = diff.groupBy("rep", "model").agg((F.max(F.when(F.col("exposed"), F.col("difference"))) - F.max(F.when(~F.col("exposed"), F.col("difference")))).alias("did"))
     return _round(did.groupBy("model").agg(F.avg("did").alias("mean_did"), *interval("did"), p_two_sided("did").alias("p")), "mean_did", "ci_lo", "ci_hi", "p")
 
 
 def q_fold_permutation(spark, d):
-    """Clusters in more than one fold, as mapped and under 20 permutations of the folds over the units."""
+    """Clusters in more than one fold, as mapped and under PERMUTATIONS permutations of the folds over the units."""
     units = fx.units(spark, d).select("unit_id", "cluster_id", "fold_a")
     observed = units.groupBy("cluster_id").agg(F.countDistinct("fold_a").alias("k")).agg(F.count_if(F.col("k") > 1).alias("observed"))
-    by_hash = units.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("_h", h(F.col("unit_id") * 64 + F.col("rep"), 5))
-    ranked = fx.group_rank(by_hash, ["rep"], "_h", ["unit_id"], fx.P // 1000, "r")
+    by_hash = units.select("unit_id", "cluster_id", F.explode(F.sequence(F.lit(1), F.lit(PERMUTATIONS))).alias("rep")).withColumn("_h", h(F.col("unit_id") * 4096 + F.col("rep"), 5))
+    ranked = fx.group_rank(by_hash, ["rep"], "_h", ["unit_id"], fx.hash_width(units.count()), "r").select("rep", "cluster_id", "r")
     plain = fx.group_rank(units, [], "unit_id", [], 1000, "r").select("r", F.col("fold_a").alias("fold"))
-    null = ranked.join(plain, "r").groupBy("rep", "cluster_id").agg(F.countDistinct("fold").alias("k")).groupBy("rep").agg(F.count_if(F.col("k") > 1).alias("n"))
+    null = ranked.join(plain, "r").groupBy("rep", "cluster_id").agg((F.min("fold") < F.max("fold")).alias("torn")).groupBy("rep").agg(F.count_if("torn").alias("n"))
     return null.agg(F.min("n").alias("null_min"), F.max("n").alias("null_max"), F.round(F.avg("n"), 6).alias("null_mean")).join(F.broadcast(observed)).withColumn(
         "verdict", F.when((F.col("observed") == 0) & (F.col("null_min") > 0), "SUPPORTED").otherwise("UNRESOLVED"))
 
 
 def q_same_fold_null(spark, d):
-    """Units whose row-level fold is their cluster fold: expected, and over 10 seeds with a z-score."""
-    units = fx.units(spark, d)
+    """Units whose row-level fold is their cluster fold: expected, and over SEEDS seeds with a z-score."""
+    units = fx.units(spark, d).select("unit_id", "true_class", "fold_a")
     counts = units.groupBy("true_class", "fold_a").agg(F.count("*").alias("t"))
     expected = counts.withColumn("n_c", F.sum("t").over(Window.partitionBy("true_class"))).agg(F.sum(F.col("t") * F.col("t") / F.col("n_c")).alias("expected"))
-    seeds = None
-    for seed in range(101, 111):
-        one = fx.row_folds(units, seed).agg(F.count_if(F.col("fold_a") == F.col("fold_b")).alias("same")).withColumn("seed", F.lit(seed))
-        seeds = one if seeds is None else seeds.unionByName(one)
+    by_hash = units.withColumn("seed", F.explode(F.sequence(F.lit(101), F.lit(100 + SEEDS)))).withColumn("_h", h("unit_id", F.col("seed")))
+    ranked = fx.group_rank(by_hash, ["seed", "true_class"], "_h", ["unit_id"], fx.hash_width(units.count()), "_rank")
+    seeds = fx.ranked_folds(ranked, units).groupBy("seed").agg(F.count_if(F.col("fold_a") == F.col("fold_b")).alias("same"))
     observed = fx.row_folds(units).agg(F.count_if(F.col("fold_a") == F.col("fold_b")).alias("observed"))
     s = seeds.agg(F.avg("same").alias("null_mean"), F.stddev_samp("same").alias("null_sd")).join(F.broadcast(observed)).join(F.broadcast(expected))
     return _round(s.withColumn("z", div(F.col("observed") - F.col("null_mean"), "null_sd")), "expected", "null_mean", "null_sd", "z")
@@ -436,9 +479,9 @@ SELECT model, metric, {_rd('avg(difference)', 'mean')}, {_CI('difference')} FROM
 sc AS (SELECT c.*, 'all' AS subset FROM scored c UNION ALL SELECT c.*, 'same fold' FROM scored c JOIN split s USING (unit_id) WHERE s.fold_a = s.fold_b), {reps_sql(pred='sc', by='model, arm, subset')},
 vals AS ({long_sql('reps', 'rep, model, arm, subset', ['balanced_accuracy', 'macro_f1'])}), dd AS ({_paired('vals', 'rep, model, subset, metric')})
 SELECT model, subset, metric, {_rd('avg(difference)', 'mean')}, {_CI('difference')} FROM dd GROUP BY ALL""",
-        "fresh_draws": f"""{_BASE}, {fx.draws_sql('clusters', 'cluster_id', 'true_class', 'draws2', salt=777)}, {reps_sql(draws='draws2', tag='2')}, vals2 AS ({long_sql('reps2', 'rep, model, arm')}),
+        "fresh_draws": f"""{_BASE}, {fx.draws_sql('clusters', 'cluster_id', 'true_class', 'draws2', reps=FRESH, salt=777)}, {reps_sql(draws='draws2', tag='2')}, vals2 AS ({long_sql('reps2', 'rep, model, arm')}),
 a AS (SELECT model, arm, metric, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM vals GROUP BY ALL), b AS (SELECT model, arm, metric, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM vals2 GROUP BY ALL),
-x AS (SELECT metric, count(*) AS n, {_rd('max(greatest(abs(a.lo - b.lo), abs(a.hi - b.hi)))', 'max_difference')} FROM a JOIN b USING (model, arm, metric) GROUP BY ALL) SELECT *, max_difference <= 0.03::DOUBLE AS stable FROM x""",
+x AS (SELECT metric, count(*) AS n, {_rd('max(greatest(abs(a.lo - b.lo), abs(a.hi - b.hi)))', 'max_difference')} FROM a JOIN b USING (model, arm, metric) GROUP BY ALL) SELECT *, max_difference <= {TOLERANCE}::DOUBLE AS stable FROM x""",
         "exposure_bins": f"""{m.W}, {m.SCORED_SQL}, {_EXPO}, {_CL}, {fx.draws_sql('clusters', 'cluster_id', 'true_class')},
 x AS (SELECT s.*, CASE WHEN n_other_train < 45 THEN '<45' WHEN n_other_train < 52 THEN '45-51' WHEN n_other_train < 58 THEN '52-57' ELSE '58+' END AS level, unnest(['all', s.true_class::VARCHAR]) AS population FROM scored s JOIN expo e USING (unit_id) WHERE arm = 'B' AND model = 'm0'),
 t AS (SELECT population, level, cluster_id, count(*)::DOUBLE AS n, sum(correct) AS s_correct, sum(confidence) AS s_conf FROM x GROUP BY ALL),
@@ -448,7 +491,7 @@ SELECT p.*, ci_lo, ci_hi FROM p JOIN (SELECT population, level, {_CI('value')} F
         "spearman_bootstrap": f"""{m.W}, {m.SCORED_SQL}, {_EXPO}, {_CL}, {fx.draws_sql('clusters', 'cluster_id', 'true_class')},
 t AS (SELECT model, s.cluster_id, n_other_train, correct, count(*)::DOUBLE AS n FROM scored s JOIN expo e USING (unit_id) WHERE arm = 'B' GROUP BY ALL),
 p0 AS (SELECT model, n_other_train, correct, sum(n) AS n FROM t GROUP BY ALL), {_spearman('p0', 'model', 'pt')},
-r0 AS (SELECT rep, model, n_other_train, correct, sum(w * n) AS n FROM draws JOIN t USING (cluster_id) WHERE rep <= 50 GROUP BY ALL), {_spearman('r0', 'rep, model', 'rp')}
+r0 AS (SELECT rep, model, n_other_train, correct, sum(w * n) AS n FROM draws JOIN t USING (cluster_id) GROUP BY ALL), {_spearman('r0', 'rep, model', 'rp')}
 SELECT model, {_rd('any_value(pt.rho)', 'estimate')}, {_CI('rp.rho')} FROM rp JOIN pt USING (model) GROUP BY ALL""",
         "dose_slope": f"""{m.W}, {m.SCORED_SQL}, {_EXPO}, {_CL}, {fx.draws_sql('clusters', 'cluster_id', 'true_class')},
 t AS (SELECT model, s.cluster_id, least(9, floor(n_other_train::DOUBLE / n_other_total * 10::DOUBLE))::INT AS tenth, count(*)::DOUBLE AS n, sum(correct) AS s FROM scored s JOIN expo e USING (unit_id) WHERE arm = 'B' AND n_other_total > 0 GROUP BY ALL),
@@ -461,10 +504,10 @@ v AS (SELECT rep, model, arm, exposed, {m.BA_SQL} AS value FROM r), dd AS ({_pai
 SELECT model, {_rd('avg(did)', 'mean_did')}, {_CI('did')}, {_rd(_PV('did'), 'p')} FROM x GROUP BY ALL""",
         "fold_permutation": f"""WITH {fx.UNIT_SQL}, o AS (SELECT count(*) FILTER (k > 1) AS observed FROM (SELECT count(DISTINCT fold_a) AS k FROM unit GROUP BY cluster_id)),
 n AS (SELECT row_number() OVER (ORDER BY unit_id) AS r, fold_a FROM unit),
-p AS (SELECT rep, cluster_id, row_number() OVER (PARTITION BY rep ORDER BY {fx.h_sql('unit_id * 64 + rep', 5)}, unit_id) AS r FROM unit, range(1, 21) g(rep)),
+p AS (SELECT rep, cluster_id, row_number() OVER (PARTITION BY rep ORDER BY {fx.h_sql('unit_id * 4096 + rep', 5)}, unit_id) AS r FROM unit, range(1, {PERMUTATIONS + 1}) g(rep)),
 z AS (SELECT rep, count(*) FILTER (k > 1) AS n FROM (SELECT rep, cluster_id, count(DISTINCT fold_a) AS k FROM p JOIN n USING (r) GROUP BY ALL) GROUP BY ALL)
 SELECT min(n) AS null_min, max(n) AS null_max, round(avg(n), 6) AS null_mean, any_value(observed) AS observed, CASE WHEN any_value(observed) = 0 AND min(n) > 0 THEN 'SUPPORTED' ELSE 'UNRESOLVED' END AS verdict FROM z, o""",
-        "same_fold_null": f"""WITH {fx.UNIT_SQL}, {fx.FOLD_B_SQL}, quota2 AS (SELECT * FROM quota), rs AS (SELECT u.*, seed, row_number() OVER (PARTITION BY seed, true_class ORDER BY {fx.h_sql('unit_id', 'seed')}, unit_id) AS rnk FROM unit u, range(101, 111) g(seed)),
+        "same_fold_null": f"""WITH {fx.UNIT_SQL}, {fx.FOLD_B_SQL}, quota2 AS (SELECT * FROM quota), rs AS (SELECT u.*, seed, row_number() OVER (PARTITION BY seed, true_class ORDER BY {fx.h_sql('unit_id', 'seed')}, unit_id) AS rnk FROM unit u, range(101, {101 + SEEDS}) g(seed)),
 q2 AS (SELECT true_class, fold_a AS f, upto, coalesce(lag(upto) OVER (PARTITION BY true_class ORDER BY fold_a), 0) AS below FROM quota2), sd AS (SELECT seed, count(*) FILTER (fold_a = f) AS same FROM rs JOIN q2 USING (true_class) WHERE rnk > below AND rnk <= upto GROUP BY ALL),
 ob AS (SELECT count(*) FILTER (fold_a = fold_b) AS observed FROM split), e AS (SELECT sum(t * t / n_c) AS expected FROM (SELECT t::DOUBLE AS t, sum(t) OVER (PARTITION BY true_class) AS n_c FROM (SELECT true_class, fold_a, count(*) AS t FROM unit GROUP BY ALL)))
 SELECT {_rd('avg(same)', 'null_mean')}, {_rd('stddev_samp(same)', 'null_sd')}, any_value(observed) AS observed, {_rd('any_value(expected)', 'expected')}, {_rd('(any_value(observed) - avg(same)) / nullif(stddev_samp(same), 0)', 'z')} FROM sd, ob, e""",

@@ -14,7 +14,8 @@ from ..functions.expr import P, argmax, h
 from ..functions.ranks import group_rank
 from ..functions.session import table
 
-MODELS, ARMS, REPS = ("m0", "m1", "m2", "m3"), ("A", "B"), 100
+MODELS, ARMS = ("m0", "m1", "m2", "m3"), ("A", "B")
+REPS = 1000  # replicates of the registered queries; 5,000 of `draws` and of a final report
 
 
 def units(spark, sf_dir: str) -> DataFrame:
@@ -41,16 +42,25 @@ def predictions(spark, sf_dir: str) -> DataFrame:
 
 def row_folds(split: DataFrame, salt: int = 11) -> DataFrame:
     """split (unit_id, true_class, fold_a, ...) with fold_b: rows in hashed order fill A's quota of each fold and class."""
-    ranked = group_rank(split.withColumn("_h", h("unit_id", salt)), ["true_class"], "_h", ["unit_id"], P // 100_000, "_rank")
+    return ranked_folds(group_rank(split.withColumn("_h", h("unit_id", salt)), ["true_class"], "_h", ["unit_id"], hash_width(split.count()), "_rank"), split).drop("_h")
+
+
+def hash_width(n: int) -> int:
+    """The width of ranges of hashes that hold about 1,000 of n rows."""
+    return P // max(1, n // 1000)
+
+
+def ranked_folds(ranked: DataFrame, split: DataFrame) -> DataFrame:
+    """ranked (true_class, _rank, ...) with fold_b for _rank: by rank within the class, split's quota of each fold and class is filled."""
     quota = split.groupBy("true_class", "fold_a").agg(F.count("*").alias("n"))
     upto = quota.alias("q").join(quota.alias("p"), (F.col("q.true_class") == F.col("p.true_class")) & (F.col("p.fold_a") <= F.col("q.fold_a"))).groupBy(
         F.col("q.true_class").alias("true_class"), F.col("q.fold_a").alias("fold_b"), F.col("q.n").alias("n")).agg(F.sum("p.n").alias("upto"))
     wide = upto.groupBy("true_class").agg(F.array_sort(F.collect_list(F.struct("fold_b", "upto"))).alias("quotas"))  # one entry a fold
     return ranked.join(F.broadcast(wide), "true_class").withColumn(
-        "fold_b", F.filter("quotas", lambda q: q["upto"] >= F.col("_rank"))[0]["fold_b"]).drop("_h", "_rank", "quotas")
+        "fold_b", F.filter("quotas", lambda q: q["upto"] >= F.col("_rank"))[0]["fold_b"]).drop("_rank", "quotas")
 
 
-def draws(clusters: DataFrame, unit: str, stratum: str, reps: int = REPS, salt: int = 2026, width: int = 1000) -> DataFrame:
+def draws(clusters: DataFrame, unit: str, stratum: str, reps: int = 5000, salt: int = 2026, width: int = 1000) -> DataFrame:
     """(rep, unit, w): how often each unit is drawn, with replacement among the units of its stratum.
 
     clusters has one row a unit, with a BIGINT unit and a small INT stratum.
