@@ -30,14 +30,20 @@ from ..functions.skew import lookup
 #: A source's name without case, outer blanks, hyphens or inner blanks.
 SOURCE = r"regexp_replace(lower(trim(source)), '[\\s\\-]+', '_')"
 
-_TOKEN = r"</?[\\pL][^<>]*>|<[^<>]*$|\\p{{IsHan}}|[\\pL\\pM&&[^\\p{{IsHan}}]]+(?:[\\x27’][\\pL\\pM&&[^\\p{{IsHan}}]]+)*|\\pN+|\\.\\.\\.|[^\\s]"
-_CLASS = r"""CASE WHEN x rlike '^[\\pL\\pM&&[^\\p{{IsHan}}]]' THEN 'w' WHEN x IN ('.', '!', '?', '。', '！', '？', '؟', '।') THEN 's' WHEN x rlike '^\\p{{IsHan}}' THEN 'h' WHEN x rlike '^\\pN' THEN 'n'
-    WHEN x IN ('…', '...') THEN 'e' WHEN x rlike '^["”»’)\\]}}」』]$' THEN 'q' WHEN x rlike '^</?\\pL.*>$' THEN 't' ELSE x END"""
+#: The ranges of Han characters. Ranges are told from letters faster than the script's name.
+_HAN = r"\\u2E80-\\u2FDF\\u3005\\u3007\\u3021-\\u3029\\u3038-\\u303B\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF\\x{{20000}}-\\x{{3FFFF}}"
+_LETTER = rf"[\\pL\\pM&&[^{_HAN}]]"
+_TOKEN = rf"{_LETTER}+(?:[\\x27’]{_LETTER}+)*|</?[\\pL][^<>]*>|<[^<>]*$|\\pN+|\\.\\.\\.|[^\\s]"
+#: Signs that are a class each; with the other classes there are fewer than 40, so fewer than 64,000 trigrams of classes.
+_SIGNS = ", ".join(f"'{x}'" for x in ",;:-–—([«“„/=°%&*+@#<|~_")
+_CLASS = rf"""CASE WHEN x rlike '^{_LETTER}' THEN 'w' WHEN x IN ('.', '!', '?', '。', '！', '？', '؟', '।') THEN 's' WHEN x rlike '^[{_HAN}]' THEN 'h' WHEN x rlike '^\\pN' THEN 'n'
+    WHEN x IN ('…', '...') THEN 'e' WHEN x rlike '^["”»’)\\]}}}}」』]$' THEN 'q' WHEN x rlike '^</?\\pL.*>$' THEN 't' WHEN x IN ({_SIGNS}) THEN x ELSE 'x' END"""
 
 #: What a system puts where it cut, and blanks; an ellipsis alone may be the author's and stays.
 _MARK = r"\\[(?:…|\\.\\.\\.)\\]|�|(?<=[\\pL\\pM\\pN\\s])-"
 _BLANK = r"[\\s\\p{{Cf}}]"
 _MARKS = rf"(?:{_BLANK}|{_MARK})+$"
+_LAST = r"[\\s\\p{{Cf}}\\]�-]"  # what a mark or a blank ends in
 
 #: The beginning of an address that ends like a sentence.
 _ADDRESS = r"(?:^|\\s)(?:https?://[^/\\s]*[.]|https?://[^?\\s]*[?]|\\S+@[^.\\s]*[.])$"
@@ -54,12 +60,12 @@ def read_tokens(documents: DataFrame) -> DataFrame:
     return documents.sparkSession.sql(
         rf"""
         WITH body AS (
-          SELECT unhex(sha2(text, 256)) AS key, text, regexp_replace(text, '{_MARKS}', '') AS body
+          SELECT unhex(sha2(text, 256)) AS key, text, IF(right(text, 1) rlike '{_LAST}', regexp_replace(text, '{_MARKS}', ''), text) AS body
           FROM (SELECT DISTINCT text FROM {{docs}} WHERE text rlike '[^\s]')),
         tok AS (SELECT *, regexp_extract_all(lower(body), '{_TOKEN}', 0) AS w FROM body)
         SELECT key, w, transform(w, x -> {_CLASS}) AS c,
-          char_length(text) AS chars, octet_length(text) AS bytes, body rlike '<[^<>\s][^<>]*$' AS in_tag, text rlike '(?:{_MARK}){_BLANK}*$' AS marked, body rlike '{_ADDRESS}' AS in_address,
-          char_length(regexp_replace(body, '(?:…|\.\.\.)$', '')) AS chars_left
+          char_length(text) AS chars, octet_length(text) AS bytes, contains(body, '<') AND body rlike '<[^<>\s][^<>]*$' AS in_tag, right(text, 1) rlike '{_LAST}' AND text rlike '(?:{_MARK}){_BLANK}*$' AS marked,
+          right(body, 1) IN ('.', '?') AND body rlike '{_ADDRESS}' AS in_address, char_length(body) - CASE WHEN endswith(body, '…') THEN 1 WHEN endswith(body, '...') THEN 3 ELSE 0 END AS chars_left
         FROM tok""", docs=documents)
 
 
@@ -93,10 +99,9 @@ def limits(texts: DataFrame, least: int = 4, times: float = 6.0) -> DataFrame:
         texts=texts, least=least, times=times)
 
 
-def _join_counted(rows: DataFrame, table_: DataFrame, key: str) -> DataFrame:
+def _join_counted(rows: DataFrame, table_: DataFrame, key: str, total: int) -> DataFrame:
     """rows (left) joined with table_ by key, each different key once, keys of many rows apart from the shuffle."""
-    per_key = rows.groupBy(key).agg(F.count("*").alias("_n")).join(table_, key, "left")
-    return lookup(rows, per_key, key, "_n", rows.count())
+    return lookup(rows, rows.groupBy(key).agg(F.count("*").alias("_n")).join(table_, key, "left"), key, "_n", total)
 
 
 def cut_texts(documents: DataFrame, frequent: int = 20, share: float = 0.1, heading: int = 6) -> DataFrame:
@@ -117,26 +122,26 @@ def cut_texts(documents: DataFrame, frequent: int = 20, share: float = 0.1, head
     whole = spark.sql("SELECT DISTINCT x AS word FROM (SELECT explode(transform(w, (x, i) -> IF(get(c, i) = 'w' AND get(c, i + 1) <> 'e', x, NULL))) AS x FROM {tok}) WHERE x IS NOT NULL", tok=tokens)
     whole = cut(whole)
     starts = spark.sql("SELECT DISTINCT explode(transform(sequence(1, char_length(word) - 1), i -> substring(word, 1, i))) AS word FROM {whole} WHERE char_length(word) > 1", whole=whole)
+    known_words = whole.withColumn("is_word", F.lit(True)).join(starts.withColumn("begins", F.lit(True)), "word", "full")
     homes = rows.select("src", "key").distinct()
     last = cut(spark.sql(
         f"""
         SELECT key, chars, bytes, chars_left, in_tag, marked, in_address, get(w, size(w) - 1) AS last_word, get(c, size(c) - 1) AS last_class,
           {_trigram('w', 'size(w) - 1')} AS tri, {_trigram('c', 'size(w) - 1')} AS tri_c,
-          CASE WHEN get(c, size(c) - 1) = 'w' THEN get(w, size(w) - 1) WHEN get(c, size(c) - 1) = 'e' AND get(c, size(c) - 2) = 'w' THEN get(w, size(w) - 2) END AS word,
+          CASE WHEN get(c, size(c) - 1) = 'w' THEN get(w, size(w) - 1) WHEN get(c, size(c) - 1) = 'e' AND get(c, size(c) - 2) = 'w' THEN get(w, size(w) - 2) ELSE '' END AS word,
           NOT exists(slice(c, 1, size(c) - 1), x -> x IN ('s', 'e')) AS one, size(filter(c, x -> x = 'w')) + size(filter(c, x -> x IN ('h', 'n'))) / 2.0D AS words
         FROM {{tok}} WHERE size(w) > 0""", tok=tokens))
-    with_word = _join_counted(last.where("word is not null"), whole.withColumn("is_word", F.lit(True)).join(starts.withColumn("begins", F.lit(True)), "word", "full"), "word")
-    last = cut(with_word.unionByName(last.where("word is null").withColumns({"is_word": F.lit(None).cast("boolean"), "begins": F.lit(None).cast("boolean")})))
-    known = cut(_join_counted(_join_counted(last, by_word, "tri"), by_class, "tri_c"))
-    known = homes.join(known, "key")
-    seen = cut(limits(spark.sql("SELECT src, chars, bytes, chars_left FROM {homes} JOIN {tok} USING (key)", homes=homes, tok=tokens)))
+    total = last.count()
+    known = _join_counted(_join_counted(last, by_word, "tri", total), known_words, "word", total).join(F.broadcast(by_class), "tri_c", "left")
+    known = cut(homes.join(known.drop("tri", "tri_c"), "key"))
+    seen = cut(limits(known))
     spike = lambda unit, col: seen.where(F.col("unit") == unit).select("src", F.col("len").alias(col), F.lit(True).alias(f"at_{unit}"))
     joined = known.join(spike("chars", "chars"), ["src", "chars"], "left").join(spike("bytes", "bytes"), ["src", "bytes"], "left").join(spike("left", "chars_left"), ["src", "chars_left"], "left")
     judged = cut(spark.sql(
         """
         SELECT *, coalesce(at_chars, false) OR coalesce(at_bytes, false) OR coalesce(at_left, false) AS at_limit,
           CASE WHEN coalesce(wi + we, 0) >= {frequent} THEN we <= {share} * (wi + we) ELSE coalesce(ci, 0) >= {frequent} AND ce <= {share} * (ci + ce) END AS goes_on,
-          word IS NOT NULL AND is_word IS NULL AS no_word, coalesce(begins, false) AS is_start FROM {joined}""", joined=joined, frequent=frequent, share=share))
+          word <> '' AND is_word IS NULL AS no_word, coalesce(begins, false) AS is_start FROM {joined}""", joined=joined, frequent=frequent, share=share))
     marks = spark.sql("SELECT src, avg(double(last_class = 'e')) >= 0.3 AS marks FROM {judged} WHERE at_limit GROUP BY src", judged=judged)
     return spark.sql(
         """
