@@ -7,6 +7,7 @@ all rows, block by block: the queries are cut into blocks of bounded size, which
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -15,12 +16,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import display_pixels, pair_category
+from ..functions.ranks import GRID, quantile_name, quantiles
 from ..functions.session import cut, plain_id, plain_image_id, table
+from ..functions.skew import lookup
 from .metrics import rounded
 from .splits import IMAGES_SQL, images, pid_sql
 
 THRESHOLDS = (0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 0.98, 0.99, 0.995)
 SIDE = 8
+TURNED = 0.35  # unrelated vectors of 64 values are rarely more alike than that
 
 
 # --- hashes and groups ---------------------------------------------------------------------------------------------
@@ -88,20 +92,31 @@ def phash(df: DataFrame, row: str, vector: str) -> DataFrame:
     return c.select(row).distinct().join(bits.groupBy(row).agg(F.bit_or("bit").alias("hash")), row, "left").select(row, F.coalesce("hash", F.lit(0).cast("bigint")).alias("hash"))
 
 
-def hamming_join(hashes: DataFrame, row: str, most: int, bits: int = 64) -> DataFrame:
-    """id_a < id_b, distance: all pairs at most `most` bits apart.
+def flips(width: int, most: int) -> list[int]:
+    """All words of `width` bits with at most `most` bits set."""
+    return [sum(1 << i for i in c) for n in range(most + 1) for c in itertools.combinations(range(width), n)]
 
-    Two hashes that differ in at most `most` bits agree in one of most + 1 bands, so pairs come from equal
-    bands; a pair is kept at its first equal band only. Equal hashes are one class and are not paired.
+
+def hamming_candidates(hashes: DataFrame, row: str, most: int, bands: int = 4, bits: int = 64) -> DataFrame:
+    """(id_a, hash_a, id_b, hash_b), id_a < id_b: different hashes with a band in which at most most div bands bits differ; pairs may repeat.
+
+    Of two hashes at most `most` bits apart, one of the bands is at most most div bands bits apart. Each hash is listed under
+    the words of its bands with up to half of so many bits flipped, and asks for those with up to the other half flipped.
     """
+    width, radius = bits // bands, most // bands
     classes = hashes.groupBy("hash").agg(F.min(row).alias("id"))
-    width = -(-bits // (most + 1))
-    band = lambda h, i: F.shiftrightunsigned(h, int(i * width)).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
-    banded = classes.select("id", "hash", F.posexplode(F.array(*(band(F.col("hash"), i) for i in range(most + 1)))).alias("band", "value"))
-    left, right = banded.toDF("id_a", "hash_a", "band", "value"), banded.toDF("id_b", "hash_b", "band", "value")
-    joined = left.join(right, ["band", "value"]).where("id_a < id_b").withColumn("x", F.col("hash_a").bitwiseXOR(F.col("hash_b"))).where(F.bit_count("x") <= most)
-    first = F.array_min(F.filter(F.array(*(F.when(band(F.col("x"), i) == 0, F.lit(i)) for i in range(most + 1))), lambda v: v.isNotNull()))
-    return joined.where(F.col("band") == first).select("id_a", "id_b", F.bit_count("x").alias("distance"))
+    banded = classes.select("id", "hash", F.posexplode(F.array(*(F.shiftrightunsigned("hash", i * width).bitwiseAND(F.lit((1 << width) - 1).cast("bigint")) for i in range(bands)))).alias("band", "value"))
+    flipped = lambda df, n: df.withColumn("flip", F.explode(F.lit(flips(width, n)).cast("array<bigint>"))).select("id", "hash", "band", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+    left, right = flipped(banded, radius // 2).toDF("id_a", "hash_a", "band", "value"), flipped(banded, radius - radius // 2).toDF("id_b", "hash_b", "band", "value")
+    both = left.join(right, ["band", "value"]).where("id_a != id_b")
+    swap = F.col("id_a") > F.col("id_b")
+    return both.select(F.least("id_a", "id_b").alias("id_a"), F.when(swap, F.col("hash_b")).otherwise(F.col("hash_a")).alias("hash_a"), F.greatest("id_a", "id_b").alias("id_b"), F.when(swap, F.col("hash_a")).otherwise(F.col("hash_b")).alias("hash_b"))
+
+
+def hamming_join(hashes: DataFrame, row: str, most: int) -> DataFrame:
+    """id_a < id_b, distance: all pairs at most `most` bits apart. Equal hashes are one class and are not paired."""
+    near = hamming_candidates(hashes, row, most).withColumn("distance", F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b"))))
+    return near.where(F.col("distance") <= most).select("id_a", "id_b", "distance").distinct()
 
 
 def block_search(rows: DataFrame, row: str, vector: str, score, k: int, every: int = 50, block: int = 4096) -> DataFrame:
@@ -123,12 +138,15 @@ def block_search(rows: DataFrame, row: str, vector: str, score, k: int, every: i
         parts = []
         if len(q) and len(x):
             ids, scores = x["id"].to_numpy(), score(units(q["v"]), units(x["v"]))
-            for i, query in enumerate(q["id"]):
-                for turn, s in enumerate(scores):
-                    ncc = np.round(s[i], 6)
-                    ok = np.nonzero((ids != query) & ~np.isnan(ncc))[0]
-                    top = ok[np.lexsort((ids[ok], -ncc[ok]))[:k]]
-                    parts.append(pd.DataFrame({"query": query, "other": ids[top], "turn": turn, "ncc": ncc[top]}))
+            for turn, ncc in enumerate(scores):
+                ncc = np.where(np.isnan(ncc) | (q["id"].to_numpy()[:, None] == ids), -np.inf, np.round(ncc, 6))
+                # all that reach the k-th best, so that ties at it are decided by id
+                least = np.partition(ncc, -min(k, ncc.shape[1]), axis=1)[:, -min(k, ncc.shape[1])]
+                i, j = np.nonzero((ncc >= least[:, None]) & (ncc > -np.inf))
+                by = np.lexsort((ids[j], -ncc[i, j], i))
+                i, j = i[by], j[by]
+                top = np.arange(len(i)) - np.searchsorted(i, i) < k
+                parts.append(pd.DataFrame({"query": q["id"].to_numpy()[i[top]], "other": ids[j[top]], "turn": turn, "ncc": ncc[i[top], j[top]]}))
         return pd.concat(parts) if parts else pd.DataFrame({"query": [], "other": [], "turn": [], "ncc": []})
 
     found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, "query bigint, other bigint, turn int, ncc double")
@@ -166,6 +184,17 @@ def q_exact_groups(spark, d):
     return exact_groups(long, "image_id", ["kind", "hash"], {"cross_patient": "patient_id", "cross_class": "label", "cross_fold": "fold"})
 
 
+def group_members(df: DataFrame, row: str, key: list[str]) -> DataFrame:
+    """key, first, n, row: every member of a group of two and more, one row each; the first member names the group."""
+    groups = df.dropna(subset=key).groupBy(*key).agg(F.min(row).alias("first"), F.count("*").alias("n"))
+    return lookup(df.dropna(subset=key).select(F.concat_ws("|", *key).alias("_k"), *key, row), groups.select(F.concat_ws("|", *key).alias("_k"), "first", "n", F.col("n").alias("_n")), "_k", "_n", df.count()).where("n > 1").select(*key, "first", "n", row)
+
+
+def q_group_members(spark, d):
+    """The members of the groups of equal display pictures."""
+    return group_members(images(spark, d).select("image_id", "display_hash"), "image_id", ["display_hash"])
+
+
 def q_hash_comparison(spark, d):
     """Whether the three hashes group alike: groups, surplus images, display groups that are no raw group.
 
@@ -201,10 +230,8 @@ def q_similarity_quantiles(spark, d):
     pops = F.filter(F.array(F.lit("all"), F.when(F.col("patient_a") == F.col("patient_b"), "same_patient"), F.when(F.col("patient_a") != F.col("patient_b"), "cross_patient"),
                             F.when(F.col("category") == "cross-patient/cross-fold", "cross_patient_cross_fold")), lambda x: x.isNotNull())
     long = p.select(F.explode(pops).alias("population"), F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in ("thumb_ncc", "ncc_full", "ssim_full", "mad_norm"))).alias("ms")).select("population", F.explode("ms").alias("x")).select("population", "x.*")
-    grid = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-    q = F.percentile("v", F.array(*(F.lit(x) for x in grid)))
-    cols = [f"q{int(x * 100):02d}" for x in grid]
-    return rounded(long.groupBy("population", "metric").agg(F.count("v").alias("n"), F.min("v").alias("least"), *(q[i].alias(c) for i, c in enumerate(cols)), F.max("v").alias("most")), "least", *cols, "most")
+    s = quantiles(long, ["population", "metric"], "v", GRID)
+    return rounded(s, "least", *(quantile_name(q) for q in GRID), "most")
 
 
 def q_top_pairs(spark, d):
@@ -265,6 +292,53 @@ def q_dihedral(spark, d):
     return best.select("query", "other", F.get(F.array(*map(F.lit, names)), F.col("turn")).alias("turn"), "ncc")
 
 
+def q_turned_only(spark, d):
+    """Queries and vectors that look alike only after a turn: the best turn at TURNED or more, as they are below that."""
+    orders = [np.arange(SIDE * SIDE), *(np.array(o) for o in dihedral(SIDE).values())]
+    names = ["identity", *dihedral(SIDE)]
+    v = _vectors(spark, d)
+    best = block_search(v, "vec_id", "embedding", lambda q, x: [np.max([q @ x[:, o].T for o in orders[1:]], axis=0)], 3)
+    both = best.select("query", "other", F.col("ncc").alias("turned")).where(F.col("turned") >= F.lit(TURNED))
+    pair = both.join(v.select(F.col("vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("a")), "query").join(v.select(F.col("vec_id").alias("other"), F.col("embedding").cast("array<double>").alias("b")), "other")
+
+    def turn(batches):
+        for pdf in batches:
+            a, b = units(pdf["a"]), units(pdf["b"])
+            s = np.round(np.stack([np.einsum("nd,nd->n", a, b[:, o]) for o in orders], axis=1), 6)
+            yield pdf[["query", "other", "turned"]].assign(identity=s[:, 0], turn=[names[1 + k] for k in s[:, 1:].argmax(axis=1)])
+
+    return pair.mapInPandas(turn, "query bigint, other bigint, turned double, identity double, turn string").where(F.col("identity") < F.lit(TURNED))
+
+
+SSIM_SIDE, SSIM_WINDOW = 10, 7
+
+
+def ssim(a: np.ndarray, b: np.ndarray, side: int = SSIM_SIDE, window: int = SSIM_WINDOW) -> np.ndarray:
+    """The structural similarity of pictures by rows: uniform window, sample covariances, constants 0.01 and 0.03 of the joint range, mean over the whole windows."""
+    span = np.maximum(a.max(axis=1), b.max(axis=1)) - np.minimum(a.min(axis=1), b.min(axis=1))
+    span = np.where(span > 0, span, 1.0)[:, None, None]
+    view = lambda v: np.lib.stride_tricks.sliding_window_view(v.reshape(-1, side, side), (window, window), axis=(1, 2))
+    x, y, n = view(a), view(b), window * window
+    mean = lambda v: v.mean(axis=(3, 4))
+    mx, my = mean(x), mean(y)
+    vx, vy, vxy = ((mean(p * q) - m * k) * n / (n - 1) for p, q, m, k in ((x, x, mx, mx), (y, y, my, my), (x, y, mx, my)))
+    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
+    return ((2 * mx * my + c1) * (2 * vxy + c2) / ((mx * mx + my * my + c1) * (vx + vy + c2))).mean(axis=(1, 2))
+
+
+def q_ssim_pairs(spark, d):
+    """Structural similarity of the thumbs of all candidate pairs that have 10 x 10 values on both sides."""
+    thumbs = table(spark, d, "image_manifest").where(F.col("readable") & (F.size("thumb") == SSIM_SIDE * SSIM_SIDE) & F.col("image_id").isNotNull() & F.expr("forall(thumb, v -> v is not null)")).groupBy("image_id").agg(F.max("thumb").alias("t"))
+    x = pairs(spark, d).select("image_a", "image_b").join(thumbs.toDF("image_a", "ta"), "image_a").join(thumbs.toDF("image_b", "tb"), "image_b")
+
+    def compare(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf[["image_a", "image_b"]].assign(ssim=ssim(np.stack(pdf["ta"]).astype(float), np.stack(pdf["tb"]).astype(float)))
+
+    return rounded(x.mapInPandas(compare, "image_a bigint, image_b bigint, ssim double"), "ssim")
+
+
 def q_verify_pairs(spark, d):
     """Stage B on the thumbs of all candidate pairs, whatever their score before: correlation, mean absolute difference over the range, equal pixels; null for thumbs of different or no size."""
     thumbs = table(spark, d, "image_manifest").where("readable and thumb is not null and image_id is not null").groupBy("image_id").agg(F.max("thumb").alias("t"))
@@ -293,9 +367,9 @@ def q_verify_pairs(spark, d):
 
 def queries() -> dict:
     return {
-        "thumb_hashes": q_thumb_hashes, "exact_groups": q_exact_groups, "hash_comparison": q_hash_comparison, "document_groups": q_document_groups, "pair_categories": q_pair_categories,
+        "thumb_hashes": q_thumb_hashes, "exact_groups": q_exact_groups, "group_members": q_group_members, "hash_comparison": q_hash_comparison, "document_groups": q_document_groups, "pair_categories": q_pair_categories,
         "threshold_counts": q_threshold_counts, "similarity_quantiles": q_similarity_quantiles, "top_pairs": q_top_pairs, "cross_patient_high": q_cross_patient_high, "stage_a": q_stage_a,
-        "best_partner": q_best_partner, "identity_evidence": q_identity_evidence, "phash": q_phash, "phash_pairs": q_phash_pairs, "vector_search": q_vector_search, "dihedral": q_dihedral, "verify_pairs": q_verify_pairs,
+        "best_partner": q_best_partner, "identity_evidence": q_identity_evidence, "phash": q_phash, "phash_pairs": q_phash_pairs, "vector_search": q_vector_search, "dihedral": q_dihedral, "turned_only": q_turned_only, "ssim_pairs": q_ssim_pairs, "verify_pairs": q_verify_pairs,
     }
 
 
@@ -336,6 +410,7 @@ ph AS (SELECT vec_id, coalesce(sum(CASE WHEN c > med THEN CASE WHEN k = 63 THEN
 SELECT image_id, sha256('raw|i2|10x10|' || array_to_string(t, ',')) AS raw, sha256('canon|10x10|' || array_to_string(t, ',')) AS canonical,
 sha256('disp|10x10|' || array_to_string(list_transform(t, lambda x: CASE WHEN lo = hi THEN 0 ELSE floor(255.0::DOUBLE / (hi - lo) * (x::DOUBLE - lo))::INT END), ',')) AS display FROM z""",
         "exact_groups": f"WITH {IMAGES_SQL} {groups}",
+        "group_members": f"WITH {IMAGES_SQL}, g AS (SELECT display_hash, image_id, min(image_id) OVER (PARTITION BY display_hash) AS first, count(*) OVER (PARTITION BY display_hash) AS n FROM im WHERE display_hash IS NOT NULL) SELECT * FROM g WHERE n > 1",
         "hash_comparison": f"WITH {IMAGES_SQL}, {sets('raw_array_hash', 'r')}, {sets('canonical_image_hash', 'c')}, {sets('display_hash', 'd')} {cnt('r', 'raw')} UNION ALL {cnt('c', 'canonical')} UNION ALL {cnt('d', 'display')} UNION ALL {cnt('(SELECT * FROM c WHERE g NOT IN (SELECT g FROM r))', 'canonical not raw')} UNION ALL {cnt('(SELECT * FROM d WHERE g NOT IN (SELECT g FROM r))', 'display not raw')}",
         "document_groups": r"""WITH f AS (SELECT 'raw' AS form, sha256(text) AS k FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'canonical', sha256(trim(text)) FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'display', sha256(trim(regexp_replace(lower(text), '[ \t\n\r]+', ' ', 'g'))) FROM documents WHERE text IS NOT NULL)
 SELECT form, n, count(*) AS n_groups FROM (SELECT form, k, count(*) AS n FROM f GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL""",
@@ -355,6 +430,17 @@ SELECT *, row_number() OVER (PARTITION BY query ORDER BY ncc DESC, other)::INT A
         "dihedral": f"""WITH {UNITV_SQL}, tn(t, turn, o) AS (VALUES {turns}), tv AS MATERIALIZED (SELECT vec_id, t, turn, list_transform(o, lambda i: u[i]) AS w FROM u, tn),
 s AS (SELECT q.vec_id AS query, v.vec_id AS other, t, turn, round(list_inner_product(q.u, v.w), 6) AS ncc FROM u q JOIN tv v ON q.vec_id <> v.vec_id AND q.vec_id % 50 = 0)
 SELECT query, other, turn, ncc FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY ncc DESC, t, other) = 1""",
+        "turned_only": f"""WITH {UNITV_SQL}, tn(t, turn, o) AS (VALUES {turns}), tv AS MATERIALIZED (SELECT vec_id, t, turn, list_transform(o, lambda i: u[i]) AS w FROM u, tn),
+s AS (SELECT q.vec_id AS query, v.vec_id AS other, t, turn, round(list_inner_product(q.u, v.w), 6) AS ncc, q.u AS qu FROM u q JOIN tv v ON q.vec_id <> v.vec_id AND q.vec_id % 50 = 0),
+m AS (SELECT query, other, max(ncc) AS turned, arg_max(turn, (ncc, -t)) AS turn, any_value(qu) AS qu FROM s GROUP BY 1, 2),
+k AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY query ORDER BY turned DESC, other) <= 3)
+SELECT query, other, turned, round(list_inner_product(qu, u), 6) AS identity, turn FROM k JOIN u ON u.vec_id = other WHERE turned >= {TURNED} AND round(list_inner_product(qu, u), 6) < {TURNED}""",
+        "ssim_pairs": f"""{_P}, th AS (SELECT image_id, max(thumb) AS t FROM image_manifest WHERE readable AND len(thumb) = 100 AND image_id IS NOT NULL GROUP BY 1),
+pp AS (SELECT image_a, image_b, a.t AS a, b.t AS b, greatest(list_max(a.t), list_max(b.t))::DOUBLE - least(list_min(a.t), list_min(b.t)) AS sp FROM pr JOIN th a ON a.image_id = image_a JOIN th b ON b.image_id = image_b),
+w AS (SELECT image_a, image_b, any_value(CASE WHEN sp > 0 THEN sp ELSE 1.0::DOUBLE END) AS sp, r.r, c.c, avg(a[10 * (r.r + i.i) + c.c + j.j + 1]::DOUBLE) AS mx, avg(b[10 * (r.r + i.i) + c.c + j.j + 1]::DOUBLE) AS my,
+  var_samp(a[10 * (r.r + i.i) + c.c + j.j + 1]::DOUBLE) AS vx, var_samp(b[10 * (r.r + i.i) + c.c + j.j + 1]::DOUBLE) AS vy, covar_samp(a[10 * (r.r + i.i) + c.c + j.j + 1]::DOUBLE, b[10 * (r.r + i.i) + c.c + j.j + 1]::DOUBLE) AS vxy
+  FROM pp, range(4) r(r), range(4) c(c), range(7) i(i), range(7) j(j) GROUP BY image_a, image_b, r.r, c.c)
+SELECT image_a, image_b, round(avg((2 * mx * my + pow(0.01::DOUBLE * sp, 2)) * (2 * vxy + pow(0.03::DOUBLE * sp, 2)) / ((mx * mx + my * my + pow(0.01::DOUBLE * sp, 2)) * (vx + vy + pow(0.03::DOUBLE * sp, 2)))), 6) + 0.0::DOUBLE AS ssim FROM w GROUP BY 1, 2""",
         "verify_pairs": f"""{_P}, th AS (SELECT image_id, max(thumb) AS t FROM image_manifest WHERE readable AND thumb IS NOT NULL AND image_id IS NOT NULL GROUP BY 1),
 x AS (SELECT image_a, image_b, unnest(a.t)::DOUBLE AS va, unnest(b.t)::DOUBLE AS vb FROM pr JOIN th a ON a.image_id = image_a JOIN th b ON b.image_id = image_b)
 SELECT image_a, image_b, round(CASE WHEN var_pop(va) > 0 AND var_pop(vb) > 0 THEN covar_pop(va, vb) / sqrt(var_pop(va) * var_pop(vb)) END, 6) + 0.0::DOUBLE AS ncc, round(avg(abs(va - vb)) / greatest(greatest(max(va), max(vb)) - least(min(va), min(vb)), 1.0::DOUBLE), 6) + 0.0::DOUBLE AS mad_norm, round(avg((va = vb)::INT), 6) + 0.0::DOUBLE AS equal FROM x GROUP BY ALL""",

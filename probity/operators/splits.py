@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import div, id_format, loose_stem, strict_stem
+from ..functions.ranks import GRID, quantile_name, quantiles
 from ..functions.session import plain_id, plain_stem, table
 from ..plans import fixtures as fx
 from .metrics import rounded
@@ -53,19 +54,12 @@ def overlap_stats(df: DataFrame, cluster: str, fold: str) -> DataFrame:
     return per.join(spans, cluster).groupBy("fold").agg(F.sum("n").alias("test_rows"), F.count("*").alias("test_clusters"), F.count_if(F.col("k") > 1).alias("also_in_train"))
 
 
-def group_profile(df: DataFrame, key: str, label: str, fold: str, extra: list[Column] | None = None) -> DataFrame:
-    """key, n, classes, folds (sorted, joined by |), n_folds, spans_folds."""
-    return df.groupBy(key).agg(
-        F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col(label).cast("string"))), "|").alias("classes"),
-        F.array_join(F.array_sort(F.collect_set(F.col(fold).cast("string"))), "|").alias("folds"), F.countDistinct(fold).alias("n_folds"),
-        (F.countDistinct(fold) > 1).alias("spans_folds"), *(extra or []))
-
-
 def stem_exposed(df: DataFrame, row: str, pid: str, stem: str, fold: str) -> DataFrame:
     """row, exposed: another id of the same stem lies in another fold."""
-    pairs = df.select(stem, pid, fold).where(F.col(stem).isNotNull() & F.col(pid).isNotNull() & F.col(fold).isNotNull()).distinct()
-    other = pairs.select(F.col(stem), F.col(pid).alias("_p"), F.col(fold).alias("_f"))
-    hit = pairs.join(other, stem).where((F.col(pid) != F.col("_p")) & (F.col(fold) != F.col("_f"))).select(stem, pid, fold).distinct().withColumn("exposed", F.lit(True))
+    known = df.select(stem, pid, fold).where(F.col(stem).isNotNull() & F.col(pid).isNotNull() & F.col(fold).isNotNull()).distinct()
+    # of a stem's different (id, fold), those with neither this id nor this fold
+    every, of_id, of_fold = (known.groupBy(*k).agg(F.count("*").alias(n)) for k, n in (([stem], "_every"), ([stem, pid], "_id"), ([stem, fold], "_fold")))
+    hit = known.join(every, stem).join(of_id, [stem, pid]).join(of_fold, [stem, fold]).where("_every - _id - _fold + 1 > 0").select(stem, pid, fold, F.lit(True).alias("exposed"))
     return df.join(hit, [stem, pid, fold], "left").select(row, pid, stem, fold, F.coalesce("exposed", F.lit(False)).alias("exposed"))
 
 
@@ -123,11 +117,7 @@ def q_exposure_distribution(spark, d):
     """Quantiles of the exposure columns by class."""
     ex = exposure_table(fx.row_folds(fx.units(spark, d)).select("unit_id", "cluster_id", "fold_b"), "unit_id", "cluster_id", "fold_b").join(fx.units(spark, d).select("unit_id", "true_class"), "unit_id")
     long = ex.select("true_class", F.explode(F.array(F.struct(F.lit("n_other_train").alias("measure"), F.col("n_other_train").cast("double").alias("v")), F.struct(F.lit("frac_other_train").alias("measure"), F.col("frac_other_train").alias("v")))).alias("x")).select("true_class", "x.*")
-    grid = (0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
-    p = F.percentile("v", F.array(*(F.lit(q) for q in grid)))
-    cols = [f"q{int(q * 100):02d}" for q in grid]
-    s = long.groupBy("true_class", "measure").agg(F.count("v").alias("n"), F.min("v").alias("least"), *(p[i].alias(c) for i, c in enumerate(cols)), F.max("v").alias("most"))
-    return rounded(s, "least", *cols, "most")
+    return rounded(quantiles(long, ["true_class", "measure"], "v", GRID), "least", *(quantile_name(q) for q in GRID), "most")
 
 
 def q_row_folds(spark, d):
