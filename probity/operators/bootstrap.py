@@ -196,6 +196,59 @@ def q_protocol_difference(spark, d):
         "go": (outside & (F.abs("estimate") >= F.lit(0.01))) | (F.col("metric").isin("balanced_accuracy", "macro_f1") & (F.abs("estimate") >= F.lit(0.02)))})
 
 
+CLASS_METRICS = {"precision": m.precision, "recall": m.recall, "f1": m.f1}
+
+
+def class_values(cells: DataFrame, key: list[str]) -> DataFrame:
+    """key, class, metric, value: precision, recall and F1 of each class from confusion cells."""
+    each = [F.struct(F.lit(k).alias("class"), F.lit(n).alias("metric"), f(k).alias("value")) for k in range(m.K) for n, f in CLASS_METRICS.items()]
+    return cells.select(*key, F.explode(F.array(*each)).alias("z")).select(*key, "z.*")
+
+
+def _class_frames(spark, d) -> tuple[DataFrame, DataFrame]:
+    sums = cut(_sums(spark, d).groupBy("cluster_id", *BY).agg(*(F.sum(c).alias(c) for c in m.CELLS)))
+    reps = class_values(weighted_sums(_draws(spark, d), sums, "cluster_id", BY, m.CELLS), ["rep", *BY])
+    return class_values(sums.groupBy(*BY).agg(*(F.sum(c).alias(c) for c in m.CELLS)), BY), reps
+
+
+def q_class_intervals(spark, d):
+    """(model, arm, class, metric, estimate, ci_lo, ci_hi): precision, recall and F1 of each class."""
+    whole, reps = _class_frames(spark, d)
+    key = [*BY, "class", "metric"]
+    return _round(reps.groupBy(*key).agg(*interval("value")).join(whole.withColumnRenamed("value", "estimate"), key), "estimate", "ci_lo", "ci_hi")
+
+
+def q_class_difference(spark, d):
+    """B minus A by model, class and metric, with interval and the decision: excludes 0 and recall or F1 at least 0.02 apart."""
+    whole, reps = _class_frames(spark, d)
+    key = ["model", "class", "metric"]
+    s = paired(reps, ["rep", *key]).groupBy(*key).agg(*interval("difference")).join(paired(whole, key).select(*key, F.col("difference").alias("estimate")), key)
+    s = _round(s, "estimate", "ci_lo", "ci_hi")
+    outside = (F.col("ci_lo") > 0) | (F.col("ci_hi") < 0)
+    return s.withColumns({"excludes_0": outside, "go": outside & F.col("metric").isin("recall", "f1") & (F.abs("estimate") >= F.lit(0.02))})
+
+
+def contrasts(whole: DataFrame, reps: DataFrame, frame: str, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """(contrast, metric, estimate, ci_lo, ci_hi, p): left minus right of named frames on shared draws; values are (frame, metric, value) and with rep."""
+    table_ = whole.sparkSession.createDataFrame([(n, a, b) for n, (a, b) in pairs.items()], "contrast string, a string, b string")  # a handful
+    def apart(values: DataFrame, key: list[str]) -> DataFrame:
+        left, right = values.withColumnsRenamed({frame: "a", "value": "x"}), values.withColumnsRenamed({frame: "b", "value": "y"})
+        return left.join(F.broadcast(table_), "a").join(right, [*key, "b"]).select("contrast", *key, (F.col("x") - F.col("y")).alias("difference"))
+
+    s = apart(reps, ["rep", "metric"]).groupBy("contrast", "metric").agg(*interval("difference"), p_two_sided("difference").alias("p"))
+    return s.join(apart(whole, ["metric"]).withColumnRenamed("difference", "estimate"), ["contrast", "metric"])
+
+
+CONTRASTS = {"m3 B - m3 A": ("m3 B", "m3 A"), "m0 B - m3 A": ("m0 B", "m3 A"), "m3 B - m0 B": ("m3 B", "m0 B")}
+
+
+def q_contrasts(spark, d):
+    """Named contrasts of frames of one model and arm each."""
+    sums = _sums(spark, d)
+    named = lambda df: df.withColumn("frame", F.concat_ws(" ", *BY)).drop(*BY)
+    return _round(contrasts(named(long_metrics(point(sums), BY)), named(long_metrics(_reps(spark, d, sums=sums), ["rep", *BY])), "frame", CONTRASTS), "estimate", "ci_lo", "ci_hi", "p")
+
+
 def q_pairwise_difference(spark, d):
     """Left minus right model by arm and metric, with interval, share above 0, p and Holm's p within an arm and metric."""
     sums = _sums(spark, d)
@@ -340,6 +393,41 @@ def q_masked_did(spark, d):
     return _round(did.groupBy("model").agg(F.avg("did").alias("mean_did"), *interval("did"), p_two_sided("did").alias("p")), "mean_did", "ci_lo", "ci_hi", "p")
 
 
+def q_level_did(spark, d):
+    """For nested shares L of the clusters (by a hash): B minus A inside minus outside, as masks on one set of draws."""
+    levels = F.explode(F.array(*(F.lit(x) for x in (25, 50, 75)))).alias("level")
+    mask = _clusters(spark, d).select("cluster_id", levels).withColumn("inside", h("cluster_id", 77) % 100 < F.col("level"))
+    masked = _sums(spark, d).groupBy("cluster_id", *BY).agg(*(F.sum(c).alias(c) for c in m.CELLS)).join(mask, "cluster_id")
+    reps = m.from_cells(weighted_sums(_draws(spark, d), masked, "cluster_id", [*BY, "level", "inside"], m.CELLS))
+    diff = paired(reps.select("rep", *BY, "level", "inside", F.col("balanced_accuracy").alias("value")), ["rep", "model", "level", "inside"])
+    did = diff.groupBy("rep", "model", "level").agg((F.max(F.when(F.col("inside"), F.col("difference"))) - F.max(F.when(~F.col("inside"), F.col("difference")))).alias("did"))
+    return _round(did.groupBy("model", "level").agg(F.avg("did").alias("mean_did"), *interval("did"), p_two_sided("did").alias("p")), "mean_did", "ci_lo", "ci_hi", "p")
+
+
+def free_difference(sums: DataFrame, unit: str, by: list[str], side: str, reps: int = 2000, salt: int = 7) -> DataFrame:
+    """by, the shares s / n of the rows with and without `side`, their difference and its interval; units are drawn without strata,
+    and replicates in which a side is empty are skipped. sums is (unit, by, side, n, s)."""
+    stems = sums.select(unit).distinct().withColumn("one", F.lit(0))
+    shares = lambda df, key: df.groupBy(*key).agg(*(div(F.sum(F.when(e, F.col("s"))), F.sum(F.when(e, F.col("n")))).alias(x) for x, e in (("x", F.col(side)), ("y", ~F.col(side))))).withColumn("difference", F.col("x") - F.col("y"))
+    drawn = shares(weighted_sums(fx.draws(stems, unit, "one", reps, salt), sums, unit, [*by, side], ["s", "n"]), ["rep", *by]).where("difference is not null")
+    whole = shares(sums, by).select(*by, F.col("x").alias("with_side"), F.col("y").alias("without_side"), "difference")
+    return _round(drawn.groupBy(*by).agg(F.count("*").alias("n_reps"), *interval("difference")).join(whole, by), "with_side", "without_side", "difference", "ci_lo", "ci_hi")
+
+
+def q_exposure_context(spark, d):
+    """What exposure hangs together with: its rank correlation with cluster size, mean and deviation of its share, and by class the clusters' sizes and origin."""
+    ex = cut(exposure(spark, d))
+    counts = ex.groupBy("n_other_train", "n_other_total").agg(F.count("*").cast("double").alias("n")).withColumn("all", F.lit(1))
+    rho = weighted_spearman(counts, ["all"], "n_other_train", "n_other_total", "n")
+    multi = ex.where("frac_other_train is not null").agg(F.avg("frac_other_train").alias("mean"), F.stddev_samp("frac_other_train").alias("sd"))
+    per = fx.units(spark, d).groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("true_class").alias("true_class"), F.min("pid").alias("pid"))
+    by = per.groupBy("true_class").agg(F.count("*").cast("double").alias("n_clusters"), F.avg("n").alias("mean_size"), F.percentile("n", F.lit(0.5)).alias("median_size"), F.avg(F.col("pid").startswith("MR").cast("double")).alias("share_mr"))
+    row = lambda df, level, names: df.select(F.explode(F.array(*(F.struct(level.alias("level"), F.lit(n).alias("measure"), F.col(n).alias("value")) for n in names))).alias("z")).select("z.*")
+    out = row(rho.withColumnRenamed("rho", "size_correlation"), F.lit("all"), ["size_correlation"]).unionByName(row(multi, F.lit("all"), ["mean", "sd"])).unionByName(
+        row(by, F.col("true_class").cast("string"), ["n_clusters", "mean_size", "median_size", "share_mr"]))
+    return _round(out, "value")
+
+
 def q_fold_permutation(spark, d):
     """Clusters in more than one fold, as mapped and under PERMUTATIONS permutations of the folds over the units."""
     units = fx.units(spark, d).select("unit_id", "cluster_id", "fold_a")
@@ -394,6 +482,73 @@ def q_ols(spark, d):
 
 def queries() -> dict:
     return {
+        "class_intervals": q_class_intervals, "class_difference": q_class_difference, "contrasts": q_contrasts, "level_did": q_level_did, "exposure_context": q_exposure_context,
+        "cluster_sums": q_cluster_sums, "draw_totals": q_draw_totals, "bootstrap_ci": q_bootstrap_ci, "protocol_difference": q_protocol_difference,
+        "pairwise_difference": q_pairwise_difference, "interaction": q_interaction, "ci_widths": q_ci_widths, "naive_width": q_naive_width, "stem_bootstrap": q_stem_bootstrap,
+        "unchanged_fold_difference": q_unchanged_fold_difference, "fresh_draws": q_fresh_draws, "exposure_bins": q_exposure_bins, "spearman_bootstrap": q_spearman_bootstrap,
+        "dose_slope": q_dose_slope, "masked_did": q_masked_did, "fold_permutation": q_fold_permutation, "same_fold_null": q_same_fold_null, "ols_cluster_robust": q_ols,
+    }
+
+
+# --- the same in SQL --------------------------------------------------------------------------------------------
+
+_rd = m._rd
+_CL = "clusters AS (SELECT cluster_id, min(true_class) AS true_class FROM unit GROUP BY 1)"
+_SUMC = ", ".join(f"sum(w * c{i}{j}) AS c{i}{j}" for i in range(3) for j in range(3))
+
+
+def reps_sql(unit: str = "cluster_id", draws: str = "draws", pred: str = "scored", by: str = "model, arm", tag: str = "") -> str:
+    """CTEs ending in reps{tag} (rep, by, the five metrics)."""
+    return f"""fl{tag} AS (SELECT x.*, n, s_brier FROM ({m.cells_sql(pred, f'{by}, {unit}')}) x JOIN (SELECT {by}, {unit}, count(*)::DOUBLE AS n, sum(brier) AS s_brier FROM {pred} GROUP BY ALL) y USING ({by}, {unit})),
+sm{tag} AS (SELECT rep, {by}, {_SUMC}, sum(w * n) AS n, sum(w * s_brier) AS s_brier FROM {draws} JOIN fl{tag} USING ({unit}) GROUP BY ALL),
+bi{tag} AS (SELECT {by}, {unit}, bin, count(*) AS n, sum(correct) - sum(confidence) AS s FROM {pred} GROUP BY ALL),
+ec{tag} AS (SELECT rep, {by}, sum(abs(s)) / sum(n) AS ece FROM (SELECT rep, {by}, bin, sum(w * n) AS n, sum(w * s) AS s FROM {draws} JOIN bi{tag} USING ({unit}) GROUP BY ALL) GROUP BY ALL),
+reps{tag} AS MATERIALIZED (SELECT rep, {by}, {m.BA_SQL} AS balanced_accuracy, {m.F1_SQL} AS macro_f1, {m.ACC_SQL} AS accuracy, ece, s_brier / n AS brier FROM sm{tag} JOIN ec{tag} USING (rep, {by}))"""
+
+
+def long_sql(source: str, key: str, names=METRICS) -> str:
+    return " UNION ALL ".join(f"SELECT {key}, '{x}' AS metric, {x} AS value FROM {source}" for x in names)
+
+
+_BASE = f"{m.W}, {m.SCORED_SQL}, {_CL}, {fx.draws_sql('clusters', 'cluster_id', 'true_class')}, {reps_sql()}, vals AS ({long_sql('reps', 'rep, model, arm')})"
+_POINT = f"pt AS (SELECT * FROM ({m.POINT_SQL.replace('round(', '(').replace(', 6) + 0.0::DOUBLE', ')')})), pv AS ({long_sql('pt', 'model, arm')})"
+_CI = lambda x: f"{_rd(f'quantile_cont({x}, 0.025)', 'ci_lo')}, {_rd(f'quantile_cont({x}, 0.975)', 'ci_hi')}"
+_PV = lambda x: f"least(1.0::DOUBLE, 2 * least(avg(({x} <= 0)::INT), avg(({x} >= 0)::INT)))"
+_EXPO = f"""{fx.FOLD_B_SQL}, expo AS (SELECT unit_id, cluster_id, true_class, count(*) OVER (PARTITION BY cluster_id) - 1 AS n_other_total,
+  count(*) OVER (PARTITION BY cluster_id) - count(*) OVER (PARTITION BY cluster_id, fold_b) AS n_other_train FROM split)"""
+
+
+def _pairs(source, key):
+    return f"SELECT {', '.join('a.' + k.strip() for k in key.split(','))}, a.model AS \"left\", b.model AS \"right\", a.value - b.value AS difference FROM {source} a JOIN {source} b USING ({key}) WHERE a.model < b.model".replace("a.rep", "rep").replace("a.arm", "arm").replace("a.metric", "metric")
+
+
+def _paired(source, key):
+    return f"SELECT {key}, max(value) FILTER (arm = 'B') AS b, max(value) FILTER (arm = 'A') AS a, max(value) FILTER (arm = 'B') - max(value) FILTER (arm = 'A') AS difference FROM {source} GROUP BY ALL"
+
+
+def _spearman(source, key, name):
+    k = f"{key}, " if key else ""
+    return f"""{name}_x AS (SELECT {key}, n_other_train, sum(sum(n)) OVER (PARTITION BY {key} ORDER BY n_other_train) - (sum(n) - 1) / 2.0::DOUBLE AS rx FROM {source} GROUP BY {k}n_other_train),
+{name}_y AS (SELECT {key}, correct, sum(sum(n)) OVER (PARTITION BY {key} ORDER BY correct) - (sum(n) - 1) / 2.0::DOUBLE AS ry FROM {source} GROUP BY {k}correct),
+{name} AS (SELECT {key}, (sum(n) * sum(n * rx * ry) - sum(n * rx) * sum(n * ry)) / nullif(sqrt((sum(n) * sum(n * rx * rx) - pow(sum(n * rx), 2)) * (sum(n) * sum(n * ry * ry) - pow(sum(n * ry), 2))), 0) AS rho
+  FROM {source} JOIN {name}_x USING ({k}n_other_train) JOIN {name}_y USING ({k}correct) GROUP BY {key})"""
+
+
+def oracle_sql() -> dict[str, str]:
+    stem = "regexp_replace(pid, '^(MR[0-9]{6})[A-Z]$', '\\1')"
+    code = f"CASE WHEN pid LIKE 'MR%' THEN regexp_extract({stem}, '([0-9]{{6}})', 1)::BIGINT + 10000000 ELSE pid::BIGINT END"
+    widths = lambda unit, tag, source, salt: (
+        f"{fx.draws_sql(source, unit, 'true_class', f'dr{tag}', salt=salt)}, cl{tag} AS ({m.cells_sql('pred2', f'model, arm, {unit}')}), "
+        f"rp{tag} AS (SELECT rep, model, arm, {m.BA_SQL} AS ba FROM (SELECT rep, model, arm, {_SUMC} FROM dr{tag} JOIN cl{tag} USING ({unit}) GROUP BY ALL)), "
+        f"df{tag} AS (SELECT rep, arm, max(ba) FILTER (model = 'm0') - max(ba) FILTER (model = 'm3') AS difference FROM rp{tag} GROUP BY ALL)")
+    flat_cells = ", ".join(f"c{i}{j}::BIGINT AS c{i}{j}" for i in range(3) for j in range(3))
+    div0 = lambda a, b: f"coalesce({a} / nullif({b}, 0), 0)"
+    rs, cs = (lambda i: f"(c{i}0 + c{i}1 + c{i}2)"), (lambda i: f"(c0{i} + c1{i} + c2{i})")
+    per_class = lambda src, key: " UNION ALL ".join(f"SELECT {key}, {k} AS class, '{n}' AS metric, {e} AS value FROM {src}" for k in range(3) for n, e in (("precision", div0(f"c{k}{k}", cs(k))), ("recall", div0(f"c{k}{k}", rs(k))), ("f1", div0(f"2 * c{k}{k}", f"({rs(k)} + {cs(k)})"))))
+    classes = f"""{m.W}, {m.SCORED_SQL}, {_CL}, {fx.draws_sql('clusters', 'cluster_id', 'true_class')}, cl AS ({m.cells_sql('scored', 'model, arm, cluster_id')}),
+wr AS (SELECT rep, model, arm, {_SUMC} FROM draws JOIN cl USING (cluster_id) GROUP BY ALL), wp AS ({m.cells_sql('scored', 'model, arm')}), vr AS ({per_class('wr', 'rep, model, arm')}), vp AS ({per_class('wp', 'model, arm')})"""
+    return {
+        "class_intervals": q_class_intervals, "class_difference": q_class_difference, "contrasts": q_contrasts, "level_did": q_level_did, "exposure_context": q_exposure_context,
         "cluster_sums": q_cluster_sums, "draw_totals": q_draw_totals, "bootstrap_ci": q_bootstrap_ci, "protocol_difference": q_protocol_difference,
         "pairwise_difference": q_pairwise_difference, "interaction": q_interaction, "ci_widths": q_ci_widths, "naive_width": q_naive_width, "stem_bootstrap": q_stem_bootstrap,
         "unchanged_fold_difference": q_unchanged_fold_difference, "fresh_draws": q_fresh_draws, "exposure_bins": q_exposure_bins, "spearman_bootstrap": q_spearman_bootstrap,
@@ -453,7 +608,33 @@ def oracle_sql() -> dict[str, str]:
         f"rp{tag} AS (SELECT rep, model, arm, {m.BA_SQL} AS ba FROM (SELECT rep, model, arm, {_SUMC} FROM dr{tag} JOIN cl{tag} USING ({unit}) GROUP BY ALL)), "
         f"df{tag} AS (SELECT rep, arm, max(ba) FILTER (model = 'm0') - max(ba) FILTER (model = 'm3') AS difference FROM rp{tag} GROUP BY ALL)")
     flat_cells = ", ".join(f"c{i}{j}::BIGINT AS c{i}{j}" for i in range(3) for j in range(3))
+    div0 = lambda a, b: f"coalesce({a} / nullif({b}, 0), 0)"
+    rs, cs = (lambda i: f"(c{i}0 + c{i}1 + c{i}2)"), (lambda i: f"(c0{i} + c1{i} + c2{i})")
+    per_class = lambda src, key: " UNION ALL ".join(f"SELECT {key}, {k} AS class, '{n}' AS metric, {e} AS value FROM {src}" for k in range(3) for n, e in (("precision", div0(f"c{k}{k}", cs(k))), ("recall", div0(f"c{k}{k}", rs(k))), ("f1", div0(f"2 * c{k}{k}", f"({rs(k)} + {cs(k)})"))))
+    classes = f"""{m.W}, {m.SCORED_SQL}, {_CL}, {fx.draws_sql('clusters', 'cluster_id', 'true_class')}, cl AS ({m.cells_sql('scored', 'model, arm, cluster_id')}),
+wr AS (SELECT rep, model, arm, {_SUMC} FROM draws JOIN cl USING (cluster_id) GROUP BY ALL), wp AS ({m.cells_sql('scored', 'model, arm')}), vr AS ({per_class('wr', 'rep, model, arm')}), vp AS ({per_class('wp', 'model, arm')})"""
+    stem6 = "regexp_extract(pid, '([0-9]{6})', 1)::BIGINT"
+    sides = "sum(w * s) FILTER (exposed) / nullif(sum(w * n) FILTER (exposed), 0) AS x, sum(w * s) FILTER (NOT exposed) / nullif(sum(w * n) FILTER (NOT exposed), 0) AS y"
     return {
+        "class_intervals": f"{classes} SELECT model, arm, class, metric, {_rd('any_value(vp.value)', 'estimate')}, {_CI('vr.value')} FROM vr JOIN vp USING (model, arm, class, metric) GROUP BY ALL",
+        "class_difference": f"""{classes}, dr AS ({_paired('vr', 'rep, model, class, metric')}), dp AS ({_paired('vp', 'model, class, metric')}),
+s AS (SELECT model, class, metric, {_CI('dr.difference')}, {_rd('any_value(dp.difference)', 'estimate')} FROM dr JOIN dp USING (model, class, metric) GROUP BY ALL)
+SELECT *, ci_lo > 0 OR ci_hi < 0 AS excludes_0, (ci_lo > 0 OR ci_hi < 0) AND metric IN ('recall', 'f1') AND abs(estimate) >= 0.02::DOUBLE AS go FROM s""",
+        "contrasts": f"""{_BASE}, {_POINT}, ct(contrast, a, b) AS (VALUES {', '.join(f"('{n}', '{a}', '{b}')" for n, (a, b) in CONTRASTS.items())}),
+fr AS (SELECT rep, model || ' ' || arm AS frame, metric, value FROM vals), fp AS (SELECT model || ' ' || arm AS frame, metric, value FROM pv),
+dr AS (SELECT contrast, x.metric, x.value - y.value AS difference FROM ct JOIN fr x ON x.frame = a JOIN fr y ON y.frame = b AND y.rep = x.rep AND y.metric = x.metric),
+dp AS (SELECT contrast, x.metric, x.value - y.value AS estimate FROM ct JOIN fp x ON x.frame = a JOIN fp y ON y.frame = b AND y.metric = x.metric)
+SELECT contrast, metric, {_rd('any_value(estimate)', 'estimate')}, {_CI('difference')}, {_rd(_PV('difference'), 'p')} FROM dr JOIN dp USING (contrast, metric) GROUP BY ALL""",
+        "level_did": f"""{m.W}, {_CL}, {fx.draws_sql('clusters', 'cluster_id', 'true_class')}, mk AS (SELECT cluster_id, level, {fx.h_sql('cluster_id', 77)} % 100 < level AS inside FROM clusters, (VALUES (25), (50), (75)) l(level)),
+cl AS ({m.cells_sql('pred', 'model, arm, cluster_id')}), r AS (SELECT rep, model, arm, level, inside, {_SUMC} FROM draws JOIN mk USING (cluster_id) JOIN cl USING (cluster_id) GROUP BY ALL),
+v AS (SELECT rep, model, arm, level, inside, {m.BA_SQL} AS value FROM r), dd AS ({_paired('v', 'rep, model, level, inside')}), x AS (SELECT rep, model, level, max(difference) FILTER (inside) - max(difference) FILTER (NOT inside) AS did FROM dd GROUP BY ALL)
+SELECT model, level, {_rd('avg(did)', 'mean_did')}, {_CI('did')}, {_rd(_PV('did'), 'p')} FROM x GROUP BY ALL""",
+        "exposure_context": f"""WITH {fx.UNIT_SQL}, {_EXPO}, p0 AS (SELECT 1 AS one, n_other_train, n_other_total AS correct, count(*)::DOUBLE AS n FROM expo GROUP BY ALL), {_spearman('p0', 'one', 'sp')},
+f AS (SELECT n_other_train::DOUBLE / n_other_total AS f FROM expo WHERE n_other_total > 0), c AS (SELECT cluster_id, count(*) AS n, min(true_class) AS true_class, min(pid) AS pid FROM unit GROUP BY 1),
+b AS (SELECT true_class::VARCHAR AS level, count(*)::DOUBLE AS n_clusters, avg(n) AS mean_size, quantile_cont(n, 0.5)::DOUBLE AS median_size, avg((pid LIKE 'MR%')::INT) AS share_mr FROM c GROUP BY 1),
+z AS (SELECT 'all' AS level, 'size_correlation' AS measure, rho AS value FROM sp UNION ALL SELECT 'all', 'mean', avg(f) FROM f UNION ALL SELECT 'all', 'sd', stddev_samp(f) FROM f
+  UNION ALL SELECT level, 'n_clusters', n_clusters FROM b UNION ALL SELECT level, 'mean_size', mean_size FROM b UNION ALL SELECT level, 'median_size', median_size FROM b UNION ALL SELECT level, 'share_mr', share_mr FROM b)
+SELECT level, measure, {_rd('value', 'value')} FROM z""",
         "cluster_sums": f"{m.W}, {m.SCORED_SQL} SELECT model, arm, cluster_id, {flat_cells}, n, {_rd('s_brier', 's_brier')} FROM ({m.cells_sql('scored', 'model, arm, cluster_id')}) JOIN (SELECT model, arm, cluster_id, count(*) AS n, sum(brier) AS s_brier FROM scored GROUP BY ALL) USING (model, arm, cluster_id)",
         "draw_totals": f"WITH {fx.UNIT_SQL}, {_CL}, {fx.draws_sql('clusters', 'cluster_id', 'true_class')} SELECT rep::INT AS rep, true_class, sum(w)::BIGINT AS drawn, count(*) AS different, sum(w) = any_value(n) AS ok FROM draws JOIN clusters USING (cluster_id) JOIN (SELECT true_class, count(*) AS n FROM clusters GROUP BY 1) USING (true_class) GROUP BY ALL",
         "bootstrap_ci": f"{_BASE}, {_POINT} SELECT model, arm, metric, {_rd('any_value(pv.value)', 'estimate')}, {_CI('vals.value')} FROM vals JOIN pv USING (model, arm, metric) GROUP BY ALL",

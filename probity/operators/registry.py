@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import argmax, close, div, finite, softmax
+from ..functions.expr import argmax, close, div, finite, softmax, strict_stem
 from ..functions.session import cut, plain_image_id, table
+from . import bootstrap as bs
 from . import metrics as m
 from . import screening
-from .splits import images
+from .splits import images, stem_exposed
 from ..plans import fixtures as fx
 from ..sources import drift
 
@@ -131,6 +132,33 @@ def q_run_ensemble(spark, d):
     return m.rounded(single.join(ens, ["model", "arm"]), "single", "ensemble")
 
 
+def q_run_bootstrap(spark, d):
+    """Metrics of the latest predictions by model and arm with intervals over stems drawn within classes."""
+    pred = _latest_stems(spark, d)
+    sums, stems = cut(bs.cluster_sums(pred, "code")), pred.groupBy("code").agg(F.min("true_class").alias("true_class"))
+    reps = bs.replicates(sums, fx.draws(stems, "code", "true_class", fx.REPS), "code")
+    names = ["balanced_accuracy", "macro_f1", "accuracy"]
+    long = bs.long_metrics(reps, ["rep", *bs.BY], names).groupBy(*bs.BY, "metric").agg(*bs.interval("value"))
+    return m.rounded(long.join(bs.long_metrics(bs.point(sums), bs.BY, names).withColumnRenamed("value", "estimate"), [*bs.BY, "metric"]), "estimate", "ci_lo", "ci_hi")
+
+
+def _latest_stems(spark, d) -> DataFrame:
+    """The latest predictions of images whose patient is known, with probs, confidence, the stem's number as code and whether the stem has another id in another fold."""
+    im = images(spark, d).select("image_id", "patient_id", "fold").withColumn("stem", strict_stem("patient_id"))
+    exposed = stem_exposed(im, "image_id", "patient_id", "stem", "fold").select("image_id", "stem", "exposed").where("stem is not null")
+    code = F.when(F.col("stem").startswith("MR"), F.regexp_extract("stem", "([0-9]{6})", 1).try_cast("bigint") + 10_000_000).otherwise(F.col("stem").try_cast("bigint"))
+    pred = latest(records(spark, d)).where("true_class is not null and pred_class is not null and prob_0 is not null and prob_1 is not null and prob_2 is not null")
+    x = pred.drop("patient_id").join(exposed, "image_id").withColumn("code", code).where("code is not null").withColumn("probs", F.array("prob_0", "prob_1", "prob_2"))
+    return cut(x.withColumn("confidence", F.array_max("probs")))
+
+
+def q_run_stem_difference(spark, d):
+    """Accuracy of the latest predictions on images whose stem has another id in another fold minus that on the others, by model: stems drawn without strata."""
+    x = _latest_stems(spark, d)
+    sums = x.groupBy("code", "model", "exposed").agg(F.count("*").cast("double").alias("n"), F.sum((F.col("true_class") == F.col("pred_class")).cast("double")).alias("s"))
+    return bs.free_difference(cut(sums), "code", ["model"], "exposed", fx.REPS)
+
+
 def q_file_agreement(spark, d):
     """Each file against the one before it in its series: common images, largest change of a probability."""
     r = records(spark, d).where("readable and image_id is not null").groupBy("run_series", "file_seq", "image_id").agg(*(F.max(f"prob_{k}").alias(f"p{k}") for k in range(3)))
@@ -188,6 +216,47 @@ def q_nn_recheck(spark, d):
     return long.groupBy("z.kind", "z.state").agg(F.count("*").alias("n"))
 
 
+def _table(spark, d) -> DataFrame:
+    """The columns of the unified records that the checks against the split need."""
+    return cut(drift.unified(table(spark, d, "retrain_files")).select("run_series", "file_seq", "row_no", "image_id", "patient_id", "stem", "true_class", *(f"prob_{k}" for k in range(3)), *(f"logit_{k}" for k in range(3)), "split_sha256"))
+
+
+def q_split_errors(spark, d):
+    """run_series, file_seq, n, errors: what each file's records, under all names, break against the manifest and their series."""
+    from ..functions.session import plain_id
+    t = _table(spark, d).join(images(spark, d).select("image_id", F.col("patient_id").alias("owner"), "label"), "image_id", "left")
+    wrong = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+    ok = F.lit(True)
+    for k in range(3):
+        ok = ok & finite(f"logit_{k}")
+    per = t.groupBy("run_series", "file_seq").agg(
+        F.count("*").alias("n"), F.countDistinct("image_id").alias("n_images"), wrong(F.col("image_id").isNull() | (F.col("owner").isNull() & F.col("label").isNull())).alias("unknown_image"),
+        wrong(plain_id("patient_id") != F.col("owner")).alias("other_patient"), wrong(F.col("label") - 1 != F.col("true_class")).alias("other_class"), wrong(~ok).alias("logits_missing"),
+        (F.countDistinct("split_sha256") > 1).alias("split_hash_not_constant"))
+    every = t.groupBy("run_series").agg(F.countDistinct("image_id").alias("n_all"))
+    x = per.join(every, "run_series").withColumn("image_set", F.col("n_images") != F.col("n_all"))
+    names = ["image_set", "logits_missing", "other_class", "other_patient", "split_hash_not_constant", "unknown_image"]
+    return x.select("run_series", "file_seq", "n", F.array_join(F.array_compact(F.array(*(F.when(F.col(c), F.lit(c)) for c in names))), "|").alias("errors"))
+
+
+def q_consolidated_check(spark, d):
+    """Each file's probabilities against the consolidated rows (the last file's of each image): rows, rows apart by more than 1e-12, largest difference."""
+    r = records(spark, d).where("readable and image_id is not null")
+    one = latest(records(spark, d)).select("run_series", "image_id", *(F.col(f"prob_{k}").alias(f"q{k}") for k in range(3)))
+    apart = F.greatest(*(F.abs(F.col(f"prob_{k}") - F.col(f"q{k}")) for k in range(3)))
+    x = r.join(one, ["run_series", "image_id"]).withColumn("apart", apart)
+    return m.rounded(x.groupBy("run_series", "file_seq").agg(F.count("*").alias("n"), F.count_if(F.col("apart") > F.lit(1e-12)).alias("n_apart"), F.max("apart").alias("largest")), "largest")
+
+
+def q_recorded_hash(spark, d):
+    """Each file's recorded split hash, under all names, against the one its series recorded first: equal, other, several or none."""
+    t = _table(spark, d)
+    per = t.groupBy("run_series", "file_seq").agg(F.min("split_sha256").alias("lo"), F.max("split_sha256").alias("hi"))
+    first = per.where("lo is not null").groupBy("run_series").agg(F.min_by("lo", "file_seq").alias("recorded"))
+    x = per.join(first, "run_series", "left")
+    return x.select("run_series", "file_seq", F.when(F.col("lo").isNull(), "none").when(F.col("lo") != F.col("hi"), "several").when(F.col("lo") == F.col("recorded"), "equal").otherwise("other").alias("state"))
+
+
 def q_check_log(spark, d):
     """One table of named checks with PASS or FAIL and a detail."""
     inv = q_row_invariants(spark, d).agg(F.sum(F.col("bad_probability") + F.col("bad_sum") + F.col("bad_argmax") + F.col("bad_confidence")).alias("bad"))
@@ -216,8 +285,8 @@ def q_image_ids(spark, d):
 def queries() -> dict:
     return {
         "run_registry": q_run_registry, "run_queue": q_run_queue, "run_status": q_run_status, "file_errors": q_file_errors, "late_files": q_late_files, "run_totals": q_run_totals, "file_hashes": q_file_hashes,
-        "run_metrics": q_run_metrics, "run_ensemble": q_run_ensemble, "file_agreement": q_file_agreement, "softmax": q_softmax, "oof_contract": q_oof_contract, "row_invariants": q_row_invariants,
-        "id_contiguity": q_id_contiguity, "nn_recheck": q_nn_recheck, "check_log": q_check_log, "pair_recheck": q_pair_recheck, "image_ids": q_image_ids,
+        "run_metrics": q_run_metrics, "run_ensemble": q_run_ensemble, "run_bootstrap": q_run_bootstrap, "run_stem_difference": q_run_stem_difference, "file_agreement": q_file_agreement, "softmax": q_softmax, "oof_contract": q_oof_contract, "row_invariants": q_row_invariants,
+        "id_contiguity": q_id_contiguity, "nn_recheck": q_nn_recheck, "split_errors": q_split_errors, "consolidated_check": q_consolidated_check, "recorded_hash": q_recorded_hash, "check_log": q_check_log, "pair_recheck": q_pair_recheck, "image_ids": q_image_ids,
     }
 
 
@@ -253,7 +322,32 @@ count(*) FILTER (arm = 'A') = 1 AND count(*) FILTER (arm = 'B') = 1 AS e, count(
     best = screening.oracle_sql()["best_partner"]
     ids = " UNION ALL ".join(f"SELECT '{t}' AS table_name, min({c}) AS least, max({c}) AS most, count({c}) AS n, count(DISTINCT {c}) AS n_distinct, count({c}) = count(DISTINCT {c}) AS \"unique\", max({c}) - min({c}) + 1 = count(DISTINCT {c}) AS contiguous FROM {t}" for t, c in (("image_manifest", "image_id"), ("embeddings", "vec_id"), ("documents", "doc_id")))
     row = lambda name, src: f"SELECT '{name}' AS \"check\", CASE WHEN bad = 0 THEN 'PASS' ELSE 'FAIL' END AS status, bad || ' broken' AS detail FROM ({src})"
+    flag = lambda c: f"bool_or(coalesce({c}, false))"
+    err2 = {"image_set": "n_images <> n_all", "logits_missing": "lm", "other_class": "oc", "other_patient": "op", "split_hash_not_constant": "sh", "unknown_image": "ui"}
+    stem = "regexp_replace(patient_id, '^(MR[0-9]{6})[A-Z]$', '\\1')"
+    ls = f"""{_R}, {screening.IMAGES_SQL}, ik AS (SELECT image_id, patient_id AS pid, {stem} AS stem, fold FROM im WHERE patient_id IS NOT NULL),
+ie AS (SELECT a.*, EXISTS (SELECT 1 FROM ik b WHERE b.stem = a.stem AND b.pid <> a.pid AND b.fold <> a.fold) AS exposed FROM ik a),
+la AS (SELECT * FROM rec WHERE readable AND image_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_series, image_id ORDER BY file_seq DESC, row_no) = 1),
+lx AS (SELECT la.model, la.arm, true_class, pred_class, exposed, CASE WHEN stem LIKE 'MR%' THEN try_cast(regexp_extract(stem, '([0-9]{{6}})', 1) AS BIGINT) + 10000000 ELSE try_cast(stem AS BIGINT) END AS code FROM la JOIN ie USING (image_id)
+  WHERE true_class IS NOT NULL AND pred_class IS NOT NULL AND prob_0 IS NOT NULL AND prob_1 IS NOT NULL AND prob_2 IS NOT NULL), ly AS (SELECT * FROM lx WHERE code IS NOT NULL)"""
+    sides = "sum(w * s) FILTER (exposed) / nullif(sum(w * n) FILTER (exposed), 0) AS x, sum(w * s) FILTER (NOT exposed) / nullif(sum(w * n) FILTER (NOT exposed), 0) AS y"
+    ci = lambda e: f"{r(f'quantile_cont({e}, 0.025)', 'ci_lo')}, {r(f'quantile_cont({e}, 0.975)', 'ci_hi')}"
+    three = lambda src, key: " UNION ALL ".join(f"SELECT {key}, '{n}' AS metric, {e} AS value FROM {src}" for n, e in (("balanced_accuracy", m.BA_SQL), ("macro_f1", m.F1_SQL), ("accuracy", m.ACC_SQL)))
+    full = "rd LEFT JOIN wide USING (run_series, file_seq, row_no)"
     return {
+        "split_errors": f"""{drift.table_sql()}, {screening.IMAGES_SQL}, t AS (SELECT run_series, file_seq, w.image_id, {screening.pid_sql('w.patient_id')} AS pid, true_class, logit_0, logit_1, logit_2, split_sha256, im.patient_id AS owner, label FROM (SELECT * FROM {full}) w LEFT JOIN im ON im.image_id = w.image_id),
+p AS (SELECT run_series, file_seq, count(*) AS n, count(DISTINCT image_id) AS n_images, {flag('image_id IS NULL OR (owner IS NULL AND label IS NULL)')} AS ui, {flag('pid <> owner')} AS op, {flag('label - 1 <> true_class')} AS oc,
+  {flag('NOT (coalesce(isfinite(logit_0), false) AND coalesce(isfinite(logit_1), false) AND coalesce(isfinite(logit_2), false))')} AS lm, count(DISTINCT split_sha256) > 1 AS sh FROM t GROUP BY 1, 2), e AS (SELECT run_series, count(DISTINCT image_id) AS n_all FROM t GROUP BY 1)
+SELECT run_series, file_seq, n, concat_ws('|', {', '.join(f"CASE WHEN {c} THEN '{k}' END" for k, c in err2.items())}) AS errors FROM p JOIN e USING (run_series)""",
+        "consolidated_check": f"""{_R}, la AS (SELECT run_series, image_id, prob_0 AS q0, prob_1 AS q1, prob_2 AS q2 FROM rec WHERE readable AND image_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_series, image_id ORDER BY file_seq DESC, row_no) = 1),
+x AS (SELECT run_series, file_seq, greatest(abs(prob_0 - q0), abs(prob_1 - q1), abs(prob_2 - q2)) AS apart FROM rec JOIN la USING (run_series, image_id) WHERE readable) SELECT run_series, file_seq, count(*) AS n, count(*) FILTER (apart > 1e-12) AS n_apart, {r('max(apart)', 'largest')} FROM x GROUP BY 1, 2""",
+        "recorded_hash": f"""{drift.table_sql()}, p AS (SELECT run_series, file_seq, min(split_sha256) AS lo, max(split_sha256) AS hi FROM {full} GROUP BY 1, 2), f AS (SELECT run_series, arg_min(lo, file_seq) AS recorded FROM p WHERE lo IS NOT NULL GROUP BY 1)
+SELECT run_series, file_seq, CASE WHEN lo IS NULL THEN 'none' WHEN lo <> hi THEN 'several' WHEN lo = recorded THEN 'equal' ELSE 'other' END AS state FROM p LEFT JOIN f USING (run_series)""",
+        "run_bootstrap": f"""{ls}, st2 AS (SELECT code, min(true_class) AS true_class FROM ly GROUP BY 1), {fx.draws_sql('st2', 'code', 'true_class')}, cl AS ({m.cells_sql('ly', 'model, arm, code')}), wr AS (SELECT rep, model, arm, {bs._SUMC} FROM draws JOIN cl USING (code) GROUP BY ALL), wp AS ({m.cells_sql('ly', 'model, arm')}), vr AS ({three('wr', 'rep, model, arm')}), vp AS ({three('wp', 'model, arm')})
+SELECT model, arm, metric, {r('any_value(vp.value)', 'estimate')}, {ci('vr.value')} FROM vr JOIN vp USING (model, arm, metric) GROUP BY ALL""",
+        "run_stem_difference": f"""{ls}, st AS (SELECT DISTINCT code, 0 AS one FROM ly), {fx.draws_sql('st', 'code', 'one', salt=7)}, t AS (SELECT code, model, exposed, count(*)::DOUBLE AS n, sum((true_class = pred_class)::INT)::DOUBLE AS s FROM ly GROUP BY ALL),
+w AS (SELECT rep, model, {sides} FROM draws JOIN t USING (code) GROUP BY ALL), p AS (SELECT model, {sides.replace('w * ', '')} FROM t GROUP BY ALL)
+SELECT model, count(*) AS n_reps, {ci('w.x - w.y')}, {r('any_value(p.x)', 'with_side')}, {r('any_value(p.y)', 'without_side')}, {r('any_value(p.x - p.y)', 'difference')} FROM w JOIN p USING (model) WHERE w.x - w.y IS NOT NULL GROUP BY ALL""",
         "run_registry": f"{_R} SELECT run_series, count(*) AS n_files, sum(n_records)::BIGINT AS n_records, sum(n_readable)::BIGINT AS n_readable, max(file_seq) AS last_seq, count(DISTINCT fold) AS n_folds, {_part(1)} AS model, {_part(2)} AS arm, {_part(3)}::INT AS series_no FROM fi GROUP BY run_series",
         "run_queue": f"{_R}, {_QUEUE} SELECT * FROM qu",
         "run_status": f"{_R}, {_QUEUE} SELECT arm, count(*) FILTER (status = 'COMPLETED') AS completed, count(*) FILTER (status = 'NOT_STARTED') AS not_started, count(*) FILTER (status = 'PARTIAL') AS partial FROM qu GROUP BY arm",

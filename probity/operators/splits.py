@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import div, id_format, loose_stem, strict_stem
+from ..functions.expr import count_bin, div, id_format, loose_stem, share_bin, strict_stem
 from ..functions.ranks import GRID, quantile_name, quantiles
 from ..functions.session import plain_id, plain_stem, table
 from ..plans import fixtures as fx
@@ -103,6 +103,12 @@ def q_exposure(spark, d):
     return rounded(exposure_table(split, "unit_id", "cluster_id", "fold_b").withColumnRenamed("fold_b", "fold"), "frac_other_train")
 
 
+def q_exposure_levels(spark, d):
+    """Images by how many and what share of their patient's other images are in training."""
+    x = exposure_table(images(spark, d), "image_id", "patient_id", "fold")
+    return x.groupBy(count_bin("n_other_train").alias("count_level"), share_bin("frac_other_train").alias("share_level")).agg(F.count("*").alias("n"), F.countDistinct("patient_id").alias("n_patients"))
+
+
 def q_image_exposure(spark, d):
     return rounded(exposure_table(images(spark, d), "image_id", "patient_id", "fold"), "frac_other_train")
 
@@ -263,7 +269,7 @@ def q_rebalanced_moves(spark, d):
 def queries() -> dict:
     return {
         "rebalanced_moves": q_rebalanced_moves,
-        "inventory": q_inventory, "patient_sizes": q_patient_sizes, "fold_class": q_fold_class, "fold_violations": q_fold_violations, "exposure": q_exposure, "image_exposure": q_image_exposure,
+        "inventory": q_inventory, "patient_sizes": q_patient_sizes, "fold_class": q_fold_class, "fold_violations": q_fold_violations, "exposure": q_exposure, "exposure_levels": q_exposure_levels, "image_exposure": q_image_exposure,
         "overlap": q_overlap, "exposure_distribution": q_exposure_distribution, "row_folds": q_row_folds, "expected_same_fold": q_expected_same_fold, "split_checks": q_split_checks,
         "stem_groups": q_stem_groups, "stem_exposure": q_stem_exposure, "identity_comparison": q_identity_comparison, "id_formats": q_id_formats, "mapping_flags": q_mapping_flags,
         "group_integrity": q_group_integrity, "stem_table_check": q_stem_table_check, "split_field_count": q_split_field_count, "min_move": q_min_move, "min_move_margins": q_min_move_margins,
@@ -326,6 +332,8 @@ SELECT kind, value, count(*) AS n_images, count(DISTINCT patient_id) AS n_patien
         "fold_class": f"{_IM} SELECT f.f::INT AS fold, count(*) FILTER (label = 1) AS label_1, count(*) FILTER (label = 2) AS label_2, count(*) FILTER (label = 3) AS label_3 FROM range(1, 6) f(f) LEFT JOIN im ON im.fold = f.f GROUP BY 1",
         "fold_violations": f"{_IM} SELECT patient_id, {_sets('fold')} AS folds, {_sets('label')} AS labels, count(DISTINCT fold) AS n_folds, count(DISTINCT label) AS n_labels FROM im WHERE patient_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT fold) > 1 OR count(DISTINCT label) > 1",
         "exposure": f"{_SPLIT} SELECT *, {_EXPO_COLS} FROM ({exposure_sql('split', 'unit_id', 'cluster_id', 'fold_b')})",
+        "exposure_levels": f"""{_IM}, x AS (SELECT *, n_other_train::DOUBLE / nullif(n_other_total, 0) AS f FROM ({exposure_sql('im', 'image_id', 'patient_id', 'fold')})) SELECT CASE WHEN n_other_train = 0 THEN '0' WHEN n_other_train <= 9 THEN '1-9' WHEN n_other_train <= 13 THEN '10-13' WHEN n_other_train <= 17 THEN '14-17' ELSE '18+' END AS count_level,
+  CASE WHEN f IS NULL THEN 'NA' WHEN f = 0 THEN '0' WHEN f <= 0.65 THEN '(0,0.65]' WHEN f <= 0.8 THEN '(0.65,0.8]' WHEN f <= 0.9 THEN '(0.8,0.9]' ELSE '(0.9,1]' END AS share_level, count(*) AS n, count(DISTINCT patient_id) AS n_patients FROM x GROUP BY ALL""",
         "image_exposure": f"{_IM} SELECT *, {_EXPO_COLS} FROM ({exposure_sql('im', 'image_id', 'patient_id', 'fold')})",
         "overlap": f"{_SPLIT} {_overlap('fold_a', 'A')} UNION ALL {_overlap('fold_b', 'B')}",
         "exposure_distribution": f"""{_SPLIT}, e AS (SELECT x.*, u.true_class FROM ({exposure_sql('split', 'unit_id', 'cluster_id', 'fold_b')}) x JOIN unit u USING (unit_id)),

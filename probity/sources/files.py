@@ -99,12 +99,40 @@ def q_markdown_report(spark, d):
     return read_markdown(spark.read.text(path).withColumnRenamed("value", "line"), cols)
 
 
+def q_file_listing(spark, d):
+    """Predictions of one model written as one file a fold below folders, listed recursively in numeric order: place, name."""
+    path = scratch(spark, "listing")
+    rows = fx.predictions(spark, d).where("model = 'm0' and arm = 'A'").select(F.col("fold_a").cast("string").alias("fold"), "unit_id")
+    rows.repartition(5, "fold").write.partitionBy("fold").option("header", True).csv(path)
+    found = list_files(spark, path).where(F.col("path").endswith(".csv")).withColumn("fold", F.regexp_extract("path", "fold=([0-9]+)/", 1).cast("int"))
+    back = spark.read.option("header", True).csv(path, recursiveFileLookup=True).select(F.regexp_extract(F.input_file_name(), "fold=([0-9]+)/", 1).cast("int").alias("fold"))
+    return found.groupBy("fold").agg((F.count("*") > 0).alias("listed"), (F.min("bytes") > 0).alias("has_content"), (F.min(F.length("sha256")) == 64).alias("hashed")).join(back.groupBy("fold").agg(F.count("*").alias("n_rows")), "fold")
+
+
+def picture_forms(df: DataFrame, row: str, pixels: str, side: int) -> DataFrame:
+    """row, shape, md5 of the values as text, and the codes of the row's id written out again as text."""
+    codes = F.transform(F.split(F.col(row).cast("string"), ""), lambda c: F.ascii(c))
+    return df.select(row, F.concat_ws("x", F.expr(f"size({pixels}) div {side}"), F.lit(side)).alias("shape"), F.md5(F.array_join(F.transform(pixels, lambda v: v.cast("string")), ",")).alias("md5"), decode_codes(codes).alias("decoded"))
+
+
+def decode_codes(codes) -> F.Column:
+    """An array of character codes as text."""
+    return F.array_join(F.transform(codes, lambda c: F.char(c)), "")
+
+
+def q_picture_forms(spark, d):
+    one = spark.read.parquet(f"{d}/image_manifest.parquet").where("thumb is not null and image_id is not null").groupBy("image_id").agg(F.max("thumb").alias("thumb"))
+    return picture_forms(one, "image_id", "thumb", 10)
+
+
 def queries() -> dict:
-    return {"csv_roundtrip": q_csv_roundtrip, "json_roundtrip": q_json_roundtrip, "fold_files": q_fold_files, "markdown_report": q_markdown_report}
+    return {"file_listing": q_file_listing, "picture_forms": q_picture_forms, "csv_roundtrip": q_csv_roundtrip, "json_roundtrip": q_json_roundtrip, "fold_files": q_fold_files, "markdown_report": q_markdown_report}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "file_listing": f"WITH {fx.UNIT_SQL} SELECT fold_a AS fold, true AS listed, true AS has_content, true AS hashed, count(*) AS n_rows FROM unit GROUP BY 1",
+        "picture_forms": "SELECT image_id, (len(thumb) // 10) || 'x10' AS shape, md5(array_to_string(thumb, ',')) AS md5, image_id::VARCHAR AS decoded FROM (SELECT image_id, max(thumb) AS thumb FROM image_manifest WHERE thumb IS NOT NULL AND image_id IS NOT NULL GROUP BY 1)",
         "csv_roundtrip": f"WITH {sp.IMAGES_SQL} SELECT image_id, patient_id, label, fold FROM im",
         "json_roundtrip": f"SELECT model, arm, accuracy, macro_f1 FROM ({m.POINT_SQL})",
         "fold_files": f"{m.W} SELECT arm, fold_a AS fold, count(*) AS n, count(*) FILTER (true_class = pred_class) AS n_correct FROM pred WHERE model = 'm0' GROUP BY ALL",

@@ -38,8 +38,10 @@ def q_stream_windows(spark, d):
     """Events and their mean value in hourly windows by type, with a watermark of two hours."""
     out = scratch(spark, "windows")
     windows = arriving(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "2 hours").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
-    run_to_end(windows, lambda batch, number: batch.write.mode("overwrite").parquet(out), "complete", "hourly")
-    done = spark.read.parquet(out).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "mean_value")
+    # update mode: a batch gives the windows that it changed, and windows older than the watermark leave the state
+    run_to_end(windows, lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"), "update", "hourly")
+    last = spark.read.parquet(out).groupBy("window", "event_type").agg(F.max_by(F.struct("n", "mean_value"), "batch").alias("x")).select("window", "event_type", "x.*")
+    done = last.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "mean_value")
     return m.rounded(done, "mean_value")
 
 
