@@ -4,23 +4,24 @@ A thumb, centred and scaled to length 1, is a vector of term weights: its coordi
 of all thumbs, strongest axis first. The rotation changes no dot product, but puts much of the length on the
 leading terms. The join then works as an inverted index does:
 
-* The lists of the index are keyed by the quantised weights of the leading terms, so that every entry of a
-  list has its weights within known bounds. An entry of one side is posted to its own list, one of the other
-  side asks every list whose bounds let a dot product of at least the threshold be reached: for unit vectors
-  x.y >= t says |x - y|^2 <= 2 - 2t, so a list is out as soon as its nearest corner is farther away.
+* Terms are indexed in the order of their weights, as far as their weights are spread widely enough to tell vectors apart that
+  are less alike than the threshold, and as long as lists stay filled; the other terms are the residual. An entry's list
+  is that of its terms and their quantised weights together (thumbs are dense: a list of one term alone would hold half of all entries).
+* Every list keeps the largest and smallest weight of each of its terms and of the residual norm. A vector of the
+  other side asks the lists whose maximum-weight bound (the dot product with the best weights in the list plus the product of
+  the residual norms) reaches the threshold and whose weights are not farther away than the threshold allows.
 * Within a list, the dot product over a longer prefix of terms plus the product of the residual norms bounds
   the whole; pairs below the threshold are dropped. What is left gets its exact dot product.
 
 No pair that reaches the threshold is lost, at any size. Lists are cut into blocks on both sides, so a hot
 list becomes many bounded tasks. Equal vectors are joined once, as one class, and expanded at the end.
 
-Defined cases: unreadable images, missing and constant thumbs have no vector; null hashes match nothing;
+Defined cases: unreadable images, missing and constant thumbs and thumbs with a missing value have no vector; null hashes match nothing;
 repeated rows count once; ids without a manifest row are in no pair; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -45,70 +46,104 @@ def packed(df: DataFrame, thumb: str, keep: list[str]) -> DataFrame:
     return df.mapInPandas(pack, f"{fields}, payload binary")
 
 
-def axes(vectors: DataFrame) -> np.ndarray:
-    """Principal axes of all vectors, strongest first; the driver gets one number for each pair of terms."""
+def axes(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Principal axes of all vectors, strongest first, the mean square of the weights on each, and the number of vectors; the driver gets one number for each pair of terms."""
 
     def products(batches):
-        total = None
+        total, n = None, 0
         for pdf in batches:
             x = unit_rows(stacked(pdf["payload"]))
-            total = x.T @ x if total is None else total + x.T @ x
+            total, n = x.T @ x if total is None else total + x.T @ x, n + len(x)
         if total is not None:
             i, j = np.indices(total.shape)
-            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel()})
+            yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "v": total.ravel(), "n": n})
 
-    cells = vectors.mapInPandas(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    cells = vectors.mapInPandas(products, "i int, j int, v double, n bigint").groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).toPandas()
     if cells.empty:
-        return np.eye(1)
-    n = int(cells["i"].max()) + 1
-    m = np.zeros((n, n))
+        return np.eye(1), np.ones(1), 0
+    d, n = int(cells["i"].max()) + 1, int(cells["n"].iloc[0])
+    m = np.zeros((d, d))
     m[cells["i"], cells["j"]] = cells["v"]
-    return np.linalg.eigh((m + m.T) / 2)[1][:, ::-1]
+    spread, basis = np.linalg.eigh((m + m.T) / 2)
+    return basis[:, ::-1], np.maximum(spread[::-1], 0) / n, n
 
 
-def _lists(df: DataFrame, basis: np.ndarray, lead: int, width: float, reach: float | None) -> DataFrame:
-    """(list, id, payload): the list of each vector, or with reach every list that may hold a partner."""
-    steps = int(math.ceil((reach or 0) / width)) + 1
-    offsets = np.array(list(itertools.product(range(-steps, steps + 1), repeat=lead)), dtype=np.int64) if reach else np.zeros((1, lead), dtype=np.int64)
-    radix = 2 * int(math.ceil(4 / width)) + 1  # more than there are levels, the same for both sides
+def indexed_terms(spread: np.ndarray, n: int, reach: float, width: float, filled: int = 500) -> int:
+    """How many of the leading terms key a list: those with weights that deviate by half the reach or more, while lists hold `filled` entries on average."""
+    lists, k = 1.0, 0
+    for s in np.sqrt(spread):
+        lists *= max(1.0, 4 * s / width)
+        if k and (s < reach / 2 or lists * filled > n):
+            break
+        k += 1
+    return max(1, k)
+
+
+def post(df: DataFrame, basis: np.ndarray, terms: int, width: float) -> DataFrame:
+    """(list, id, payload): each vector in the list of its leading weights."""
+    radix = 2 * math.ceil(1 / width) + 3  # more than there are levels
 
     def assign(batches):
         for pdf in batches:
-            chunk = max(1, 4_000_000 // offsets.size)
-            for at in range(0, len(pdf), chunk):
-                part = pdf.iloc[at:at + chunk]
-                w = unit_rows(stacked(part["payload"])) @ basis[:, :lead]
-                own = np.floor(w / width).astype(np.int64)
-                cells = own[:, None, :] + offsets[None]
-                if reach:
-                    low = cells * width
-                    gap = np.maximum(np.maximum(low - w[:, None], w[:, None] - low - width), 0.0)
-                    row, k = np.nonzero((gap * gap).sum(axis=2) <= reach * reach + 1e-9)
-                else:
-                    row, k = np.arange(len(part)), np.zeros(len(part), dtype=int)
-                key = np.zeros(len(row), dtype=np.int64)
-                for d in range(lead):
-                    key = key * radix + (cells[row, k, d] + radix // 2)
-                yield pd.DataFrame({"list": key, "id": part["id"].to_numpy()[row], "payload": part["payload"].to_numpy()[row]})
+            level = np.floor(unit_rows(stacked(pdf["payload"])) @ basis[:, :terms] / width).astype(np.int64) + radix // 2
+            key = pd.util.hash_array(np.array(["|".join(map(str, r)) for r in level], dtype=object)).astype(np.int64) if radix ** terms >= 1 << 62 else level @ (radix ** np.arange(terms, dtype=np.int64))
+            yield pd.DataFrame({"list": key, "id": pdf["id"].to_numpy(), "payload": pdf["payload"].to_numpy()})
 
     return df.mapInPandas(assign, "list bigint, id bigint, payload binary")
 
 
-def cosine_join(left: DataFrame, right: DataFrame, at_least: float, lead: int | None = None, width: float = 0.25, block: int = 2048) -> DataFrame:
-    """(id_l, id_r, similarity): all pairs of (id, payload) rows whose cosine is at_least or more.
+def _weights(payload, basis: np.ndarray, terms: int) -> np.ndarray:
+    """The leading weights and, last, the residual norm."""
+    w = unit_rows(stacked(payload)) @ basis[:, :terms]
+    return np.hstack([w, np.sqrt(np.maximum(1 - (w * w).sum(axis=1, keepdims=True), 0))])
 
-    lead: terms that key a list. Without one it grows with the logarithm of the rows, so that lists keep
-    their length; the result is the same with any.
-    """
-    basis = axes(left.select("payload").unionByName(right.select("payload")))
-    if lead is None:
-        lead = max(2, min(6, round(math.log(max(right.count(), 1) / 2000, 4))))
-    lead, prefix, reach = min(lead, len(basis)), basis[:, :PREFIX], math.sqrt(max(0.0, 2 - 2 * at_least)) + 1e-6
-    posted, asked = cut(_lists(right, basis, lead, width, None)), cut(_lists(left, basis, lead, width, reach))
-    # there are at most (2 / width + 1) ** lead lists (9 ** 6 rows of 16 bytes): small enough to broadcast
-    sizes = posted.groupBy("list").agg(F.count("*").alias("n")).withColumn("n_r", F.ceil(F.col("n") / block).cast("int")).drop("n").join(
-        asked.groupBy("list").agg(F.count("*").alias("n")).withColumn("n_l", F.ceil(F.col("n") / block).cast("int")).drop("n"), "list")
-    sizes = F.broadcast(sizes)
+
+def directory(posted: DataFrame, basis: np.ndarray, terms: int) -> pd.DataFrame:
+    """One row a list: its number of entries, and the smallest (lo) and largest (hi) of each weight and of the residual norm."""
+    names = [f"{e}{k}" for e in ("lo", "hi") for k in range(terms + 1)]
+
+    def ends(batches):
+        for pdf in batches:
+            w = pd.DataFrame(_weights(pdf["payload"], basis, terms))
+            by = w.groupby(pdf["list"].to_numpy())
+            out = pd.concat([by.min(), by.max()], axis=1).set_axis(names, axis=1)
+            yield out.assign(n=by.size()).rename_axis("list").reset_index()
+
+    partial = posted.mapInPandas(ends, ", ".join(["list bigint", *(f"{c} double" for c in names), "n bigint"]))
+    return partial.groupBy("list").agg(*(F.min(c).alias(c) if c.startswith("lo") else F.max(c).alias(c) for c in names), F.sum("n").alias("n")).toPandas().sort_values("list")
+
+
+def ask(df: DataFrame, lists: pd.DataFrame, basis: np.ndarray, terms: int, at_least: float) -> DataFrame:
+    """(list, id, payload): each vector with every list that may hold a partner."""
+    key = lists["list"].to_numpy()
+    lo, hi = (lists[[f"{e}{k}" for k in range(terms + 1)]].to_numpy() for e in ("lo", "hi"))
+    chunk = max(1, 2_000_000 // max(1, len(key) * (terms + 1)))
+    apart = 2 - 2 * at_least + 1e-6
+
+    def assign(batches):
+        for pdf in batches:
+            w = _weights(pdf["payload"], basis, terms)
+            for at in range(0, len(pdf), chunk):
+                part = w[at:at + chunk, None]
+                bound = np.maximum(part * lo, part * hi).sum(axis=2)
+                gap = np.maximum(np.maximum(lo - part, part - hi), 0.0)
+                row, k = np.nonzero((bound >= at_least - 1e-9) & ((gap * gap).sum(axis=2) <= apart))
+                yield pd.DataFrame({"list": key[k], "id": pdf["id"].to_numpy()[at + row], "payload": pdf["payload"].to_numpy()[at + row]})
+
+    return df.mapInPandas(assign, "list bigint, id bigint, payload binary")
+
+
+def cosine_join(left: DataFrame, right: DataFrame, at_least: float, width: float = 0.25, block: int = 2048, terms: int | None = None) -> DataFrame:
+    """(id_l, id_r, similarity): all pairs of (id, payload) rows whose cosine is at_least or more. The result is the same with any width, block and number of terms."""
+    basis, spread, n = axes(left.select("payload").unionByName(right.select("payload")))
+    terms = min(terms or indexed_terms(spread, n, math.sqrt(max(0.0, 2 - 2 * at_least)), width), len(basis))
+    prefix = basis[:, :max(PREFIX, terms)]
+    posted = cut(post(right, basis, terms, width))
+    lists = directory(posted, basis, terms)
+    asked = cut(ask(left, lists, basis, terms, at_least))
+    # one row a list, of which there are at most as many as entries divided by `filled`
+    have = left.sparkSession.createDataFrame([(int(k), -(-int(c) // block)) for k, c in zip(lists["list"], lists["n"])], "list bigint, n_r int")
+    sizes = F.broadcast(asked.groupBy("list").agg(F.ceil(F.count("*") / block).cast("int").alias("n_l")).join(F.broadcast(have), "list"))
     piece = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     l_rows = asked.join(sizes, "list").withColumn("l", piece(F.col("n_l"))).withColumn("r", every(F.col("n_r"))).select("list", "l", "r", "id", "payload")

@@ -33,6 +33,25 @@ def test_cosine_join_equals_brute_force(spark, at_least, block):
     assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(s >= at_least))} and got
 
 
+@pytest.mark.parametrize("terms", [1, 2, 5, 25])
+def test_cosine_join_is_the_same_with_any_number_of_terms(spark, terms):
+    a, b = clustered(90, 13), clustered(110, 13)
+    got = {(r["id_l"], r["id_r"]) for r in ov.cosine_join(payload(spark, range(90), a), payload(spark, range(110), b), 0.95, terms=terms).collect()}
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(unit(a) @ unit(b).T >= 0.95))} and got
+
+
+def test_lists_that_cannot_reach_are_not_asked(spark):
+    x = clustered(400, 14)
+    p = payload(spark, range(400), x)
+    basis, spread, n = ov.axes(p)
+    terms = ov.indexed_terms(spread, 10**9, 0.245, 0.25)
+    posted = ov.post(p, basis, terms, 0.25)
+    lists = ov.directory(posted, basis, terms)
+    asked = ov.ask(p, lists, basis, terms, 0.97).groupBy("list").count().collect()
+    held = dict(zip(lists["list"], lists["n"]))
+    assert n == 400 and sum(held.values()) == 400 and sum(r["count"] * held[r["list"]] for r in asked) < 0.2 * 400 * 400
+
+
 def test_cosine_join_of_nothing(spark):
     one = payload(spark, [1], clustered(12, 2)[:1])
     assert ov.cosine_join(one, one.where("false"), 0.9).count() == 0
