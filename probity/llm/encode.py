@@ -13,11 +13,13 @@ strings that look like special tokens are ordinary text; texts and pieces may ha
 from __future__ import annotations
 
 import base64
+import os
 from functools import lru_cache
 
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import table
@@ -144,14 +146,27 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _sent(path: str) -> str:
+    """In a task: where Spark put the file."""
+    sent = SparkFiles.get(os.path.basename(path))
+    return sent if os.path.exists(sent) else path
+
+
+def _send(path: str) -> str:
+    """Have Spark hand the file to every executor, once a context: only the driver needs to see the path."""
+    SparkSession.active().sparkContext.addFile(path)
+    return path
+
+
 def token_ids(text: str | Column, path: str = VOCABULARY) -> Column:
     """A text's ids; map-only, so the corpus is never shuffled. Each Python worker reads the vocabulary once."""
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        v = vocabulary(path)
+        v = vocabulary(_sent(path))
         return pd.Series([v.encode(t) for t in texts])
 
+    _send(path)
     return ids(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
@@ -160,9 +175,10 @@ def token_count(text: str | Column, path: str = VOCABULARY) -> Column:
 
     @F.pandas_udf("bigint")
     def size(texts: pd.Series) -> pd.Series:
-        v = vocabulary(path)
+        v = vocabulary(_sent(path))
         return pd.Series([len(v.encode(t)) for t in texts], dtype="int64")
 
+    _send(path)
     return size(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 

@@ -68,6 +68,18 @@ def test_whole_corpus(spark, library):
     assert [got[r["doc_id"]] for r in docs] == library([r["text"] or "" for r in docs])
 
 
+def test_fertility_counts_the_library_s_tokens(spark, library):
+    from probity.functions.session import table
+    from probity.llm import queries as q
+    got = {r["lang"]: (r["n_docs"], r["n_tokens"], r["n_chars"]) for r in q.queries()["p6_fertility"](spark, str(DATA)).collect()}
+    want = {}
+    docs = table(spark, str(DATA), "documents").select("lang", "text").collect()
+    for r, ids in zip(docs, library([r["text"] or "" for r in docs])):
+        n = want.get(r["lang"], (0, 0, 0))
+        want[r["lang"]] = (n[0] + 1, n[1] + len(ids), n[2] + len(r["text"] or ""))
+    assert got == want
+
+
 # mixing
 
 def test_frame_deviates_less_than_a_block():
