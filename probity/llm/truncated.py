@@ -75,12 +75,15 @@ def _trigram(a: str, i: str) -> str:
 
 
 def trigrams(tokens: DataFrame) -> DataFrame:
-    """(tri, tri_c, inside, at_end): the hashes of all trigrams and of their classes, counted inside and at the ends of different texts."""
+    """(tri, tri_c, inside, at_end): the hashes of all trigrams and of their classes, counted inside and at the ends of different texts.
+
+    A trigram has one trigram of classes, so it is counted under its own hash alone.
+    """
     return tokens.sparkSession.sql(
         f"""
-        SELECT t.w AS tri, t.c AS tri_c, count_if(NOT t.last) AS inside, count_if(t.last) AS at_end FROM (
+        SELECT t.w AS tri, max(t.c) AS tri_c, count_if(NOT t.last) AS inside, count_if(t.last) AS at_end FROM (
           SELECT explode(transform(w, (x, i) -> struct({_trigram('w', 'i')} AS w, {_trigram('c', 'i')} AS c, i = size(w) - 1 AS last))) AS t
-          FROM {{tok}} WHERE size(w) > 0) GROUP BY 1, 2""", tok=tokens)
+          FROM {{tok}} WHERE size(w) > 0) GROUP BY 1""", tok=tokens)
 
 
 def limits(texts: DataFrame, least: int = 4, times: float = 6.0) -> DataFrame:
@@ -117,7 +120,7 @@ def cut_texts(documents: DataFrame, frequent: int = 20, share: float = 0.1, head
     rows, tokens = cut(read_texts(documents)), cut(read_tokens(documents))
     counts = cut(trigrams(tokens))
     by_class = spark.sql("SELECT tri_c, sum(inside) AS ci, sum(at_end) AS ce FROM {n} GROUP BY 1", n=counts)
-    by_word = spark.sql("SELECT tri, sum(inside) AS wi, sum(at_end) AS we FROM {n} GROUP BY 1 HAVING sum(inside + at_end) >= {least}", n=counts, least=frequent)
+    by_word = spark.sql("SELECT tri, inside AS wi, at_end AS we FROM {n} WHERE inside + at_end >= {least}", n=counts, least=frequent)
     # the words that something other than an ellipsis follows
     whole = spark.sql("SELECT DISTINCT x AS word FROM (SELECT explode(transform(w, (x, i) -> IF(get(c, i) = 'w' AND get(c, i + 1) <> 'e', x, NULL))) AS x FROM {tok}) WHERE x IS NOT NULL", tok=tokens)
     whole = cut(whole)
