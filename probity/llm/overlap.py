@@ -133,7 +133,7 @@ def ask(df: DataFrame, lists: pd.DataFrame, basis: np.ndarray, terms: int, at_le
     return df.mapInPandas(assign, "list bigint, id bigint, payload binary")
 
 
-def cosine_join(left: DataFrame, right: DataFrame, at_least: float, width: float = 0.25, block: int = 2048, terms: int | None = None) -> DataFrame:
+def cosine_join(left: DataFrame, right: DataFrame, at_least: float, width: float = 0.25, block: int = 8192, terms: int | None = None) -> DataFrame:
     """(id_l, id_r, similarity): all pairs of (id, payload) rows whose cosine is at_least or more. The result is the same with any width, block and number of terms."""
     basis, spread, n = axes(left.select("payload").unionByName(right.select("payload")))
     terms = min(terms or indexed_terms(spread, n, math.sqrt(max(0.0, 2 - 2 * at_least)), width), len(basis))
