@@ -61,7 +61,7 @@ def weighted_sums(weights: DataFrame, sums: DataFrame, unit: str, by: list[str],
 
     def multiply(w: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         if not len(w) or not len(s):
-            return pd.DataFrame({c: [] for c in ["rep", *by, *columns]})
+            return pd.DataFrame()
         group = s.groupby(by, sort=False, dropna=False).ngroup().to_numpy() if by else np.zeros(len(s), dtype=int)
         order = np.argsort(group, kind="stable")
         s, group = s.iloc[order], group[order]

@@ -147,7 +147,7 @@ def block_search(rows: DataFrame, row: str, vector: str, score, k: int, every: i
                 i, j = i[by], j[by]
                 top = np.arange(len(i)) - np.searchsorted(i, i) < k
                 parts.append(pd.DataFrame({"query": q["id"].to_numpy()[i[top]], "other": ids[j[top]], "turn": turn, "ncc": ncc[i[top], j[top]]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query": [], "other": [], "turn": [], "ncc": []})
+        return pd.concat(parts) if parts else pd.DataFrame()
 
     found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(best, "query bigint, other bigint, turn int, ncc double")
     order = Window.partitionBy("query").orderBy(F.desc("ncc"), "turn", "other")
