@@ -7,12 +7,12 @@ deterministic hash. The SQL texts say the same in another engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import P, argmax, h
 from ..functions.ranks import group_rank
-from ..functions.session import table
+from ..functions.session import cut, table
 
 MODELS, ARMS = ("m0", "m1", "m2", "m3"), ("A", "B")
 REPS = 1000  # replicates of the registered queries; 5,000 of `draws` and of a final report
@@ -29,20 +29,46 @@ def units(spark, sf_dir: str) -> DataFrame:
 
 def predictions(spark, sf_dir: str) -> DataFrame:
     """(model, arm, unit_id, cluster_id, pid, true_class, fold_a, probs, pred_class, confidence)."""
+    return predicted(units(spark, sf_dir))
+
+
+def predicted(split: DataFrame, *keep: str) -> DataFrame:
+    """The predictions for rows of units, with columns to keep."""
     grid = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(a).alias("arm"), F.lit(mi).cast("bigint").alias("mi"), F.lit(ai).cast("bigint").alias("ai"))
                                for mi, m in enumerate(MODELS) for ai, a in enumerate(ARMS))))
-    rows = units(spark, sf_dir).withColumn("g", grid).select("*", "g.*").drop("g").withColumn("s", F.col("mi") * 10 + F.col("ai") * 100)
+    rows = split.withColumn("g", grid).select("*", "g.*").drop("g").withColumn("s", F.col("mi") * 10 + F.col("ai") * 100)
     hit = h("unit_id", F.col("s") + 7) % 100 < 70 + 3 * F.col("mi") + 8 * F.col("ai") - h("cluster_id", F.col("s") + 9) % 30
     w = [1 + h("unit_id", F.col("s") + 1 + k) % 97 + F.when((F.col("true_class") == k) & hit, 300).otherwise(0) for k in range(3)]
     rows = rows.withColumns({f"w{k}": x for k, x in enumerate(w)}).withColumn("w", F.col("w0") + F.col("w1") + F.col("w2"))
     probs = F.array(*(F.col(f"w{k}").cast("double") / F.col("w") for k in range(3)))
-    return rows.select("model", "arm", "unit_id", "cluster_id", "pid", "true_class", "fold_a", probs.alias("probs")).withColumns(
+    return rows.select("model", "arm", "unit_id", "cluster_id", "pid", "true_class", "fold_a", *keep, probs.alias("probs")).withColumns(
         {"pred_class": argmax(F.col("probs")), "confidence": F.array_max("probs")})
 
 
 def row_folds(split: DataFrame, salt: int = 11) -> DataFrame:
-    """split (unit_id, true_class, fold_a, ...) with fold_b: rows in hashed order fill A's quota of each fold and class."""
-    return ranked_folds(group_rank(split.withColumn("_h", h("unit_id", salt)), ["true_class"], "_h", ["unit_id"], hash_width(split.count()), "_rank"), split).drop("_h")
+    """split (unit_id, true_class, fold_a, ...) with fold_b: rows in hashed order fill A's quota of each fold and class.
+
+    Only the last row of each quota is looked for, by counted ranges of hashes; a row's fold follows from its own
+    hash and id, so that no row is shuffled.
+    """
+    hashed = split.withColumn("_h", h("unit_id", salt)).withColumn("_range", F.expr(f"_h div {hash_width(split.count())}L"))
+    counts = cut(hashed.groupBy("true_class", "fold_a", "_range").agg(F.count("*").alias("n")))
+    upto = Window.partitionBy("true_class").orderBy("fold_a")
+    quota = counts.groupBy("true_class", "fold_a").agg(F.sum("n").alias("n")).select("true_class", F.col("fold_a").alias("fold_b"), F.sum("n").over(upto).alias("upto"))  # one row a class and fold
+    before = Window.partitionBy("true_class").orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)
+    ranges = counts.groupBy("true_class", "_range").agg(F.sum("n").alias("n")).withColumn("_before", F.sum("n").over(before) - F.col("n"))
+    ends = cut(ranges.join(F.broadcast(quota), "true_class").where("upto > _before and upto <= _before + n").select("true_class", "_range", "_before", "fold_b", "upto"))
+    within = Window.partitionBy("true_class", "_range").orderBy("_h", "unit_id")
+    inside = hashed.join(F.broadcast(ends.select("true_class", "_range").distinct()), ["true_class", "_range"]).select("true_class", "_range", "_h", "unit_id", F.row_number().over(within).alias("_in"))
+    last = inside.join(F.broadcast(ends), ["true_class", "_range"]).where("_before + _in = upto")
+    edges = cut(last.groupBy("true_class").agg(F.array_sort(F.collect_list(F.struct("_h", "unit_id", "fold_b"))).alias("_edges")))  # one entry a fold
+    mine = F.struct(h("unit_id", salt).alias("_h"), F.col("unit_id"))
+    fold = None
+    for i in range(edges.agg(F.max(F.size("_edges"))).first()[0] or 0):
+        edge = F.get(F.col("_edges"), F.lit(i))
+        here = mine <= F.struct(edge["_h"].alias("_h"), edge["unit_id"].alias("unit_id"))
+        fold = F.when(here, edge["fold_b"]) if fold is None else fold.when(here, edge["fold_b"])
+    return split.join(F.broadcast(edges), "true_class").withColumn("fold_b", F.lit(None).cast("int") if fold is None else fold).drop("_edges")
 
 
 def hash_width(n: int) -> int:
