@@ -7,7 +7,7 @@ deterministic hash. The SQL texts say the same in another engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import P, argmax, h
@@ -36,15 +36,31 @@ def predicted(split: DataFrame, *keep: str) -> DataFrame:
     """The predictions for rows of units, with columns to keep."""
     grid = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.lit(a).alias("arm"), F.lit(mi).cast("bigint").alias("mi"), F.lit(ai).cast("bigint").alias("ai"))
                                for mi, m in enumerate(MODELS) for ai, a in enumerate(ARMS))))
-    rows = split.withColumn("g", grid).select("*", "g.*").drop("g").withColumn("s", F.col("mi") * 10 + F.col("ai") * 100)
-    hit = h("unit_id", F.col("s") + 7) % 100 < 70 + 3 * F.col("mi") + 8 * F.col("ai") - h("cluster_id", F.col("s") + 9) % 30
-    w = [1 + h("unit_id", F.col("s") + 1 + k) % 97 + F.when((F.col("true_class") == k) & hit, 300).otherwise(0) for k in range(3)]
-    rows = rows.withColumns({f"w{k}": x for k, x in enumerate(w)}).withColumn("w", F.col("w0") + F.col("w1") + F.col("w2"))
-    probs = F.array(*(F.col(f"w{k}").cast("double") / F.col("w") for k in range(3)))
-    return rows.select("model", "arm", "unit_id", "cluster_id", "pid", "true_class", "fold_a", *keep, probs.alias("probs")).withColumns(
+    rows = split.withColumn("g", grid).select("*", "g.*").drop("g")
+    rows = rows.withColumns({f"w{k}": x for k, x in enumerate(_weights(F.col("mi"), F.col("ai")))})
+    return rows.select("model", "arm", "unit_id", "cluster_id", "pid", "true_class", "fold_a", *keep, _probs("w0", "w1", "w2").alias("probs")).withColumns(
         {"pred_class": argmax(F.col("probs")), "confidence": F.array_max("probs")})
 
 
+def _weights(mi: Column, ai: Column) -> list[Column]:
+    s = mi * 10 + ai * 100
+    hit = h("unit_id", s + 7) % 100 < 70 + 3 * mi + 8 * ai - h("cluster_id", s + 9) % 30
+    return [1 + h("unit_id", s + 1 + k) % 97 + F.when((F.col("true_class") == k) & hit, 300).otherwise(0) for k in range(3)]
+
+
+def _probs(*w: str) -> Column:
+    total = F.col(w[0]) + F.col(w[1]) + F.col(w[2])
+    return F.array(*(F.col(x).cast("double") / total for x in w))
+
+
+def predicted_classes(split: DataFrame, frames: list[tuple[str, str]]) -> DataFrame:
+    """split with p0, p1, ...: the class predicted by each of the (model, arm) frames, without a row for each of them."""
+    for i, (model, arm) in enumerate(frames):
+        w = {f"_w{k}": x for k, x in enumerate(_weights(F.lit(MODELS.index(model)).cast("bigint"), F.lit(ARMS.index(arm)).cast("bigint")))}
+        split = split.withColumns(w).withColumn("_p", _probs(*w)).withColumn(f"p{i}", argmax(F.col("_p"))).drop(*w, "_p")
+    return split
+
+
 def row_folds(split: DataFrame, salt: int = 11) -> DataFrame:
     """split (unit_id, true_class, fold_a, ...) with fold_b: rows in hashed order fill A's quota of each fold and class.
 

@@ -2,6 +2,8 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from probity.functions import whole
 from probity.functions.expr import P
@@ -64,3 +66,29 @@ def test_nulls_of_folds_equal_the_ranks_without_shuffling_a_replicate(spark):
             folds.setdefault(r[1], set()).add(f)
         assert got.pop(rep) == sum(len(f) > 1 for f in folds.values())
     assert not got
+
+
+def test_drawn_sums_equal_the_sums_over_a_table_of_draws(spark):
+    rng = random.Random(4)
+    units = spark.createDataFrame([(u * 3 + 1, u % 2, u % 4) for u in range(50)], "u bigint, c int, k int")
+    levels, columns = {"model": ("x", "y"), "arm": ("A", "B", "C")}, ["a", "n"]
+    row = lambda u: (u, rng.choice("xy"), rng.choice("AB"), rng.random(), 1.0)
+    own = spark.createDataFrame([row(rng.randrange(60) * 3 + 1) for _ in range(70)], "u bigint, model string, arm string, a double, n double")
+    kinds = spark.createDataFrame([row(k) for k in range(3) for _ in range(2)], "k bigint, model string, arm string, a double, n double")
+    for frame, sums, of in ((units.select("u", "c"), own, "u"), (units, kinds, "k")):
+        got = {tuple(r)[:4]: tuple(r)[4:] for r in b.drawn_sums(frame, sums, levels, columns, [(2026, 12), (777, 30)]).collect()}
+        for i, (salt, reps) in enumerate(((2026, 12), (777, 30))):
+            draws = fx.draws(units, "u", "c", reps, salt).join(units, "u")
+            for r in draws.join(sums, of).groupBy("rep", "model", "arm").agg(F.sum(F.col("w") * F.col("a")), F.sum(F.col("w") * F.col("n"))).collect():
+                assert got.pop((i, r[0], r[1], r[2])) == pytest.approx((r[3], r[4]))
+        assert not got
+    assert b.drawn_sums(units.where("false"), kinds, levels, columns, [(1, 2)]).count() == 0
+
+
+def test_draws_are_made_without_a_row_for_each(spark, monkeypatch):
+    def rows(*_, **__):
+        raise AssertionError("a row for each draw")
+
+    monkeypatch.setattr(fx, "draws", rows)
+    for query in (b.q_unchanged_fold_difference,):
+        assert query(spark, str(DATA)).columns
